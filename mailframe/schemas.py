@@ -18,11 +18,11 @@ RAW_MAIL = _struct(("mailbox", _S), ("uid_validity", _L), ("uid", _L), ("raw", T
 MAILBOX_STATE = _struct(("mailbox", _S), ("uid_validity", _L), ("uid_next", _L))
 CURSORS = _struct(("mailbox", _S), ("uid_validity", _L), ("last_uid", _L))
 
-ADDRESS = _struct(("name", _S), ("addr", _S))
-# What the MIME reader returns for one message; everything after it is native expressions.
+# What the MIME reader returns for one message; everything after it is native expressions. Times
+# are microseconds, of the instant and of the header's own clock: any year fits, unlike in pandas.
 MAIL_PARTS = _struct(
-    ("message_id_raw", _S), ("from", ADDRESS), ("subject", _S), ("sent_at", _TS),
-    ("sent_local", T.TimestampNTZType()), ("text", _S), ("html", _S), ("has_attachment", _B),
+    ("message_id_raw", _S), ("from_name", _S), ("from_addr", _S), ("subject", _S),
+    ("sent_us", _L), ("local_us", _L), ("text", _S), ("html", _S), ("has_attachment", _B),
     ("parse_error", _S),
 )
 
@@ -42,7 +42,8 @@ ARCHIVE = _struct(
     ("month", _S),
 )
 DIGEST_ITEMS = _struct(
-    ("mailbox", _S), ("uid_validity", _L), ("uid", _L), ("digest_id", _S), ("digested_at", _TS)
+    ("mailbox", _S), ("uid_validity", _L), ("uid", _L), ("digest_id", _S), ("digested_at", _TS),
+    ("received_month", _S),
 )
 DIGESTS = _struct(
     ("digest_id", _S), ("mailbox", _S), ("sent_at", _TS), ("window_start", _TS),
