@@ -32,8 +32,8 @@ def has_extension(path: Column | str) -> Column:
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All .eml and .txt files below ``path`` (or ``path`` itself) as (path, content).
 
-    Order by ``path`` where the output is shown; the scan itself needs none. Spark does not list
-    names that start with ``_`` or ``.``.
+    Order by ``path`` where the output is shown; the scan itself needs none. Spark lists neither
+    empty files nor names that start with ``_`` or ``.``.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
