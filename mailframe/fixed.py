@@ -50,16 +50,20 @@ ENTITIES = [
     ("&raquo;", "»"),
 ]
 
+# --- Fixed values: the white space that trimming removes ------------------
+SPACES = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- Fixed values: patterns, in the java.util.regex dialect ---------------
 # d: only \n ends a line; u: case folding beyond ASCII; \z: end of input.
 SCRIPT_OR_STYLE = r"(?isu)<(script|style)[^>]*>.*?</(script|style)>"
 BLOCK_TAG = r"(?iu)<(br|p|div|tr|li|h[1-6]|blockquote)[^>]*/?>"
 ANY_TAG = r"<[^>]+>"
-SPACE_CLASS = r"\t-\r \u0085\p{Z}"
-BLANK_RUN = r"[ \t]+"
-LINE_END_BLANKS = r" +(?=\n|\z)"
+EXTRA_BLANKS = r" +(?=\n)|( ) +"
 NEWLINE_RUN = r"\n{3,}"
-SIGNATURE = r"(?:\A|\n)--[ \t]*(?:\n[\s\S]*)?\z"
+SIGNATURE = r"(?md)^--[ \t]*$[\s\S]*"
 REPLY_HEADER = (
     r"(?imud)^(?:On .+wrote:[ \t\f\r]*|Le .+a [eé]crit[ \t\f\r]*:[ \t\f\r]*)\n(?=\n*>)"
 )
@@ -67,7 +71,8 @@ QUOTED_LINE = r"(?md)^>.*(?:\n|\z)"
 ID_TRIM_CHARS = "<> \t"
 UNSAFE_NAME_CHAR = r"[^A-Za-z0-9._-]"
 CAPITALS_RUN = r"[A-ZÀÂÆÇÉÈÊËÎÏÔŒÙÛÜ]{3,}"
-ACCUSATION = r"(?iu)(?<![A-Za-z0-9_])(accuse|exige|insiste|blame)"
+ACCUSATIONS = ["accuse", "exige", "insiste", "blame"]
+ACCUSATION = r"(?iu)(?<![A-Za-z0-9_])(" + "|".join(ACCUSATIONS) + ")"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 
 # --- Fixed values: time formats, in Spark's notation ----------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailframe import fixed
@@ -47,41 +49,58 @@ def _last_text(values: Column) -> Column:
     return F.coalesce(_text_of(F.try_element_at(texts, F.lit(-1))), F.lit(""))
 
 
-def validate_reply(raw: Column | str) -> Column:
-    """STRUCT<text, action, deadline, tone, status, err>; ``err`` names the first broken rule."""
-    raw = _col(raw)
-    one = _is_one_value(raw)
-    entries = F.map_entries(F.from_json(raw, "map<string,variant>", _STRICT))
-    names = ["summary", "action_required", "deadline", "tone"]
-    values = {name: _field_values(entries, name) for name in names}
-
-    summary = _last_text(values["summary"])
-    action = _last_text(values["action_required"])
-    tone = _last_text(values["tone"])
-    # An explicit null takes an earlier deadline back.
-    deadline = F.coalesce(
-        _text_of(F.try_element_at(values["deadline"], F.lit(-1))), F.lit("")
+_NAMES = ["summary", "action_required", "deadline", "tone"]
+
+
+def with_validation(df: DataFrame, raw: str = "raw", out: str = "checked") -> DataFrame:
+    """Add ``out``, STRUCT<text, action, deadline, tone, status, err>, for the replies in ``raw``.
+
+    ``err`` names the first broken rule. Works in projections because later rules read the parsed
+    reply several times, and an expression that holds a lambda is evaluated anew at every mention.
+    """
+    columns = df.columns
+    parsed = df.withColumns(
+        {
+            "_one": F.coalesce(_is_one_value(F.col(raw)), F.lit(False)),
+            "_entries": F.map_entries(F.from_json(raw, "map<string,variant>", _STRICT)),
+        }
     )
-    typed = one & entries.isNotNull()
-    for name in names:
-        typed = typed & _well_typed(values[name])
+    valued = parsed.select(
+        *columns,
+        (F.col("_one") & F.col("_entries").isNotNull()).alias("_is_object"),
+        *(_field_values(F.col("_entries"), name).alias(f"_{name}s") for name in _NAMES),
+    )
+    typed = reduce(lambda x, y: x & y, [_well_typed(F.col(f"_{name}s")) for name in _NAMES])
+    fields = valued.select(
+        *columns,
+        (F.col("_is_object") & typed).alias("_typed"),
+        *(_last_text(F.col(f"_{n}s")).alias(f"_{n}") for n in _NAMES if n != "deadline"),
+        # An explicit null takes an earlier deadline back.
+        F.coalesce(
+            _text_of(F.try_element_at("_deadlines", F.lit(-1))), F.lit("")
+        ).alias("_deadline"),
+    )
+    deadline = F.col("_deadline")
     real_date = deadline.rlike(fixed.ISO_DATE) & F.try_to_date(deadline, "yyyy-MM-dd").isNotNull()
-
     problem = (
-        F.when(~F.coalesce(typed, F.lit(False)), "invalid JSON")
-        .when(summary == "", "empty summary")
-        .when(~action.isin(fixed.ACTIONS), "invalid action_required")
-        .when(~tone.isin(fixed.TONES), "invalid tone")
+        F.when(~F.col("_typed"), "invalid JSON")
+        .when(F.col("_summary") == "", "empty summary")
+        .when(~F.col("_action_required").isin(fixed.ACTIONS), "invalid action_required")
+        .when(~F.col("_tone").isin(fixed.TONES), "invalid tone")
         .when((deadline != "") & ~real_date, "invalid deadline")
     )
-    good = problem.isNull()
-    return F.struct(
-        F.when(good, F.left(summary, F.lit(fixed.SUMMARY_CHAR_LIMIT))).alias("text"),
-        F.when(good, action).alias("action"),
-        F.when(good & (deadline != ""), deadline).alias("deadline"),
-        F.when(good, tone).alias("tone"),
-        F.when(good, "ok").otherwise("error").alias("status"),
-        problem.alias("err"),
+    judged = fields.withColumn("_err", problem)
+    good = F.col("_err").isNull()
+    return judged.select(
+        *columns,
+        F.struct(
+            F.when(good, F.left("_summary", F.lit(fixed.SUMMARY_CHAR_LIMIT))).alias("text"),
+            F.when(good, F.col("_action_required")).alias("action"),
+            F.when(good & (deadline != ""), deadline).alias("deadline"),
+            F.when(good, F.col("_tone")).alias("tone"),
+            F.when(good, "ok").otherwise("error").alias("status"),
+            F.col("_err").alias("err"),
+        ).alias(out),
     )
 
 
@@ -92,6 +111,9 @@ def lint_summary(
     text, status, err, truncated = (_col(c) for c in (text, status, err, truncated))
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
+    # The word pattern looks back at every position; a plain search first rules most text out.
+    loud = F.upper(text)
+    worded = reduce(lambda x, y: x | y, [loud.contains(w.upper()) for w in fixed.ACCUSATIONS])
     checks = F.array_compact(
         F.array(
             F.when(
@@ -99,7 +121,7 @@ def lint_summary(
             ),
             F.when(text.contains("!"), fixed.LINT_AFFECT),
             F.when(text.rlike(fixed.CAPITALS_RUN), fixed.LINT_CAPITALS),
-            F.when(text.rlike(fixed.ACCUSATION), fixed.LINT_ACCUSATION),
+            F.when(worded & text.rlike(fixed.ACCUSATION), fixed.LINT_ACCUSATION),
             F.when(truncated, fixed.LINT_TRUNCATED),
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,17 +11,16 @@ from pyspark.sql import functions as F
 from mailframe import fixed
 
 
+Step = Callable[[Column], Column]
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trim_space(c: Column | str) -> Column:
-    """Strip every kind of Unicode white space from both ends (``trim`` only knows U+0020).
-
-    The look-behind makes a long blank run in mid-text cost one step per character.
-    """
-    space = fixed.SPACE_CLASS
-    return F.regexp_replace(_col(c), f"^[{space}]+|(?<![{space}])[{space}]+\\z", "")
+    """Strip every kind of Unicode white space from both ends (``trim`` only knows U+0020)."""
+    return F.btrim(_col(c), F.lit(fixed.SPACES))
 
 
 def empty_to_null(c: Column | str) -> Column:
@@ -31,6 +31,15 @@ def null_to_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+def _replace_if(c: Column, needle: Column, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` only where a plain search says that the pattern can occur at all.
+
+    A search runs over the bytes; a pattern first needs the text decoded, and rebuilt afterwards.
+    Most text has nothing to replace.
+    """
+    return F.when(needle, F.regexp_replace(c, pattern, replacement)).otherwise(c)
+
+
 def _replace_closed(c: Column, pattern: str, replacement: str, closer: str) -> Column:
     """``regexp_replace`` over the part up to the last ``closer``; the rest cannot match.
 
@@ -43,31 +52,77 @@ def _replace_closed(c: Column, pattern: str, replacement: str, closer: str) -> C
     )
 
 
-def strip_html(c: Column | str) -> Column:
-    """Markup to text: scripts and styles go, block tags become newlines, entities are decoded."""
-    html = _replace_closed(_col(c), fixed.SCRIPT_OR_STYLE, " ", "</(?:script|style)>")
-    html = _replace_closed(html, fixed.BLOCK_TAG, "\n", ">")
-    html = _replace_closed(html, fixed.ANY_TAG, "", ">")
+def _drop_scripts(c: Column) -> Column:
+    return _replace_closed(c, fixed.SCRIPT_OR_STYLE, " ", "</(?:script|style)>")
+
+
+def _break_blocks(c: Column) -> Column:
+    return _replace_closed(c, fixed.BLOCK_TAG, "\n", ">")
+
+
+def _drop_tags(c: Column) -> Column:
+    return _replace_closed(c, fixed.ANY_TAG, "", ">")
+
+
+def _decode_entities(c: Column) -> Column:
     # "&" is decoded last, so that text such as "&amp;lt;" is decoded once and not twice.
-    return reduce(
-        lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])),
-        reversed(fixed.ENTITIES),
-        html,
+    pairs = reversed(fixed.ENTITIES)
+    return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), pairs, c)
+
+
+def _tabs_to_blanks(c: Column) -> Column:
+    return F.translate(c, "\t", " ")
+
+
+def _single_blanks(c: Column) -> Column:
+    return _replace_if(c, c.contains("  ") | c.contains(" \n"), fixed.EXTRA_BLANKS, "$1")
+
+
+def _single_empty_lines(c: Column) -> Column:
+    return _replace_if(c, c.contains("\n\n\n"), fixed.NEWLINE_RUN, "\n\n")
+
+
+def _cut_signature(c: Column) -> Column:
+    return _replace_if(c, c.contains("--"), fixed.SIGNATURE, "")
+
+
+def _drop_quotes(c: Column) -> Column:
+    unquoted = F.regexp_replace(
+        F.regexp_replace(c, fixed.REPLY_HEADER, ""), fixed.QUOTED_LINE, ""
     )
+    return F.when(c.startswith(">") | c.contains("\n>"), unquoted).otherwise(c)
+
+
+# The text rules as their steps, for ``with_steps``.
+STRIP_HTML: list[Step] = [_drop_scripts, _break_blocks, _drop_tags, _decode_entities]
+NORMALIZE: list[Step] = [_tabs_to_blanks, _single_blanks, _single_empty_lines, trim_space]
+STRIP_QUOTED: list[Step] = [_cut_signature, _drop_quotes, trim_space]
+
+
+def with_steps(df: DataFrame, name: str, start: Column | str, *steps: Step) -> DataFrame:
+    """Add ``name``: ``start`` after all ``steps``, a projection per step.
+
+    Most steps read their input more than once. Nested in one expression, the inner ones would be
+    repeated at every level; Spark keeps the projections apart for the same reason, and still
+    compiles them into one stage.
+    """
+    return reduce(lambda d, step: d.withColumn(name, step(F.col(name))), steps,
+                  df.withColumn(name, _col(start)))
+
+
+def strip_html(c: Column | str) -> Column:
+    """Markup to text: scripts and styles go, block tags become newlines, entities are decoded."""
+    return reduce(lambda text, step: step(text), STRIP_HTML, _col(c))
 
 
 def normalize_whitespace(c: Column | str) -> Column:
     """One blank between words, none at line ends, at most one empty line, trimmed."""
-    text = F.regexp_replace(_col(c), fixed.BLANK_RUN, " ")
-    text = F.regexp_replace(text, fixed.LINE_END_BLANKS, "")
-    return trim_space(F.regexp_replace(text, fixed.NEWLINE_RUN, "\n\n"))
+    return reduce(lambda text, step: step(text), NORMALIZE, _col(c))
 
 
 def strip_quoted(c: Column | str) -> Column:
     """Drop the signature, quoted lines and reply headers that stand directly before a quote."""
-    text = F.regexp_replace(_col(c), fixed.SIGNATURE, "")
-    text = F.regexp_replace(text, fixed.REPLY_HEADER, "")
-    return trim_space(F.regexp_replace(text, fixed.QUOTED_LINE, ""))
+    return reduce(lambda text, step: step(text), STRIP_QUOTED, _col(c))
 
 
 def truncate(c: Column | str, limit: int) -> Column:
@@ -79,26 +134,27 @@ def is_truncated(c: Column | str, limit: int) -> Column:
     return F.length(_col(c)) > limit if limit > 0 else F.lit(False)
 
 
-def clean_body(text: Column | str, html: Column | str | None = None) -> Column:
-    """Plain text if there is any, else the stripped markup; normalised, quotes removed."""
-    body = null_to_empty(text)
-    if html is not None:
-        body = F.when(body != "", body).otherwise(strip_html(null_to_empty(html)))
-    return strip_quoted(normalize_whitespace(body))
-
-
 def with_clean_body(
     df: DataFrame,
     text: str = "text",
     html: str | None = "html",
     limit: int = fixed.BODY_CHAR_LIMIT,
 ) -> DataFrame:
-    """Add ``body_text`` and ``truncated``; the full body is computed once for both."""
+    """Add ``body_text`` and ``truncated``.
+
+    The body is the plain text if there is any, else the stripped markup; normalised, with quotes
+    and signature removed, then cut.
+    """
+    plain = empty_to_null(text)
+    if html is not None:
+        # NULL where there is plain text, and NULL passes through all steps untouched.
+        df = with_steps(df, "_html", F.when(plain.isNull(), F.col(html)), *STRIP_HTML)
+        plain = F.coalesce(plain, F.col("_html"))
+    body = with_steps(df, "_body", null_to_empty(plain), *NORMALIZE, *STRIP_QUOTED)
     return (
-        df.withColumn("_body", clean_body(text, html))
-        .withColumn("body_text", truncate("_body", limit))
+        body.withColumn("body_text", truncate("_body", limit))
         .withColumn("truncated", is_truncated("_body", limit))
-        .drop("_body")
+        .drop("_body", "_html")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailframe import fixed
-from mailframe.functions.replies import validate_reply
+from mailframe.functions.replies import with_validation
 from mailframe.functions.text import null_to_empty
 from mailframe.schemas import ATTEMPT
 from mailframe.session import stage
@@ -143,10 +143,10 @@ def summarize(
     Attempts are written before anything reads them: a model call is dear and need not give the
     same answer twice. The time limit covers both attempts of a message.
     """
+    answered = run_model(prompt(df, language, False), factory, keys, timeout, parallelism)
+    held = F.col("call_error").isNull() & (F.col("checked.status") == "ok")
     first = stage(
-        run_model(prompt(df, language, False), factory, keys, timeout, parallelism)
-        .withColumn("_ok", F.col("call_error").isNull() & _valid("raw")),
-        "attempt-1",
+        with_validation(answered).withColumn("_ok", held).drop("checked"), "attempt-1"
     )
     left = F.lit(float(timeout)) - F.col("latency_ms") / 1000.0
     failed = first.where("not _ok").select(*keys, left.alias("budget_s"))
@@ -159,10 +159,6 @@ def summarize(
     return one.join(two, keys, "left")
 
 
-def _valid(raw: str):
-    return validate_reply(raw)["status"] == "ok"
-
-
 def pick_attempt(df: DataFrame) -> DataFrame:
     """Add ``model`` (the summary), ``raw_response``, ``latency_ms`` and ``retried``."""
     first = F.when(F.col("call_error_1").isNull(), F.col("_v1"))
@@ -177,10 +173,9 @@ def pick_attempt(df: DataFrame) -> DataFrame:
     )
     held = F.coalesce(first["status"] == "ok", F.lit(False))
     held_again = F.coalesce(second["status"] == "ok", F.lit(False))
+    checked = with_validation(with_validation(df, "raw_1", "_v1"), "raw_2", "_v2")
     return (
-        df.withColumn("_v1", validate_reply("raw_1"))
-        .withColumn("_v2", validate_reply("raw_2"))
-        .withColumn("model", F.when(held, first).when(held_again, second).otherwise(fallback))
+        checked.withColumn("model", F.when(held, first).when(held_again, second).otherwise(fallback))
         .withColumn("raw_response", F.when(held, F.col("raw_1")).otherwise(F.col("raw_2")))
         .withColumn(
             "latency_ms",

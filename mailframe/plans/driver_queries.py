@@ -39,14 +39,15 @@ def _ntz(value: str) -> Column:
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    pages = adapters.table(spark, sf, "pages")
-    body = text.normalize_whitespace(text.strip_html("html"))
-    return pages.select("page_id", body.alias("body_text"))
+    pages = adapters.table(spark, sf, "pages").select("page_id", "html")
+    body = text.with_steps(pages, "body_text", "html", *text.STRIP_HTML, *text.NORMALIZE)
+    return body.select("page_id", "body_text")
 
 
 def strip_html(spark: SparkSession, sf: str) -> DataFrame:
-    return adapters.table(spark, sf, "pages").select(
-        "page_id", text.strip_html("html").alias("stripped")
+    pages = adapters.table(spark, sf, "pages").select("page_id", "html")
+    return text.with_steps(pages, "stripped", "html", *text.STRIP_HTML).select(
+        "page_id", "stripped"
     )
 
 
@@ -225,10 +226,8 @@ def _with_replies(spark: SparkSession, sf: str) -> DataFrame:
 def validate_reply(spark: SparkSession, sf: str) -> DataFrame:
     docs = adapters.document_batch(spark, sf)
     raw = adapters.model_reply(F.col("uid") % 12, F.col("text"))
-    checked = docs.select("uid", raw.alias("raw")).select(
-        "uid", replies.validate_reply("raw").alias("v")
-    )
-    return checked.select("uid", "v.*")
+    checked = replies.with_validation(docs.select("uid", raw.alias("raw")))
+    return checked.select("uid", "checked.*")
 
 
 def pick_attempt(spark: SparkSession, sf: str) -> DataFrame:

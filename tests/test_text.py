@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 import models
 from mailframe.functions import text as tx
 
@@ -32,7 +30,9 @@ def test_whitespace_and_quotes_equal_line_model(spark):
     assert column_of(spark, bodies, tx.strip_quoted("c")) == [
         models.strip_quotes(b) for b in bodies
     ]
-    assert column_of(spark, bodies, tx.clean_body("c")) == [
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, text string")
+    cleaned = sorted(tx.with_clean_body(df, html=None, limit=0).collect(), key=lambda r: r.i)
+    assert [r.body_text for r in cleaned] == [
         models.strip_quotes(models.normalize(b)) for b in bodies
     ]
 
@@ -90,8 +90,10 @@ def test_strip_html_rules(spark):
 
 
 def test_long_unclosed_markup_stays_linear(spark):
-    hostile = ["<" * 300_000, "<p" * 150_000, "<script>" * 40_000, "a" + " " * 1 + " " * 200_000 + "b"]
-    out = column_of(spark, hostile, tx.clean_body(F.lit(""), "c"))
+    hostile = ["<" * 300_000, "<p" * 150_000, "<script>" * 40_000, "a" + "\u00a0" * 200_000 + "b"]
+    df = spark.createDataFrame([(i, "", h) for i, h in enumerate(hostile)], "i long, text string, html string")
+    cleaned = tx.with_clean_body(df, limit=0).orderBy("i").collect()
+    out = [r.body_text for r in cleaned]
     assert out[0] == hostile[0] and out[1] == hostile[1]
     assert out[2] == "" and out[3] == hostile[3]
 
