@@ -15,8 +15,7 @@ from mailframe.functions.text import _col
 def utc_second(c: Column | str) -> Column:
     """Cut the fraction of a second; keeps TIMESTAMP and TIMESTAMP_NTZ as they are."""
     c = _col(c)
-    fraction = F.date_part(F.lit("SECOND"), c) % F.lit(1)
-    return c - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
+    return c - (c - F.date_trunc("second", c))
 
 
 def received_at(sent_at: Column | str, processed_at: Column | str) -> Column:
@@ -26,12 +25,12 @@ def received_at(sent_at: Column | str, processed_at: Column | str) -> Column:
 
 def to_local(c: Column | str, zone: str) -> Column:
     """UTC to the wall clock of ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _col(c).cast("timestamp_ntz"))
+    return F.from_utc_timestamp(_col(c), zone).cast("timestamp_ntz")
 
 
 def to_utc(c: Column | str, zone: str) -> Column:
     """The wall clock of ``zone`` to UTC."""
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), _col(c).cast("timestamp_ntz"))
+    return F.to_utc_timestamp(_col(c), zone).cast("timestamp_ntz")
 
 
 def _interval(days: int = 0, hours: int = 0) -> Column:

@@ -241,7 +241,7 @@ def digest_text(
     blocks = _with_position(
         cards.select(*WINDOW_KEY, "received_at", "uid_validity", "uid", card_block().alias("_block")),
         WINDOW_KEY,
-    ).withColumn("page", F.floor(F.col("_position") / page_size).cast("bigint"))
+    ).withColumn("page", F.expr(f"_position div {int(page_size)}"))
     listed = F.array_sort(F.collect_list(F.struct("_position", "_block")))
     pages = blocks.groupBy(*WINDOW_KEY, "page").agg(
         F.array_join(F.transform(listed, lambda b: b["_block"]), "").alias("_body")

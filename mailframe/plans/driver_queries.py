@@ -388,10 +388,10 @@ def last_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 def pending_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Undigested rows of one week; marks of an unfinished digest do not count."""
-    messages = adapters.event_messages(spark, sf)
+    messages = adapters.event_messages(spark, sf, *WEEK)
     name = F.when(F.col("action_req") == "reply", "done").when(F.col("llm_status") == "error", "open")
     at = timing.utc_second(F.col("processed_at"))
-    items = messages.select(
+    items = adapters.event_messages(spark, sf).select(
         "mailbox", "uid_validity", "uid", name.alias("digest_id"), at.alias("digested_at")
     ).where("digest_id is not null")
     ledger = items.where("digest_id = 'done'").select("digest_id").distinct()
@@ -402,7 +402,7 @@ def pending_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest_cards(spark: SparkSession, sf: str) -> DataFrame:
-    week = digest.pending(adapters.event_messages(spark, sf), _ntz(WEEK[0]), _ntz(WEEK[1]))
+    week = digest.pending(adapters.event_messages(spark, sf, *WEEK), _ntz(WEEK[0]), _ntz(WEEK[1]))
     cards = digest.digest_cards(week, ZONE)
     shown = [c for c in cards.columns if c.startswith(("card_", "is_"))]
     return cards.select("mailbox", "uid", *shown)
@@ -414,19 +414,21 @@ def digest_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return audited.select("mailbox", "uid", "window_start", "window_end", "stranded")
 
 
+LATE = "2024-01-09 00:00:00"
+
+
 def digest_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    messages = adapters.event_messages(spark, sf)
-    windows = _windows(messages)
-    late = messages.where(F.col("received_at") >= _ntz("2024-01-09 00:00:00"))
+    windows = stage(_windows(adapters.event_messages(spark, sf)), "windows")
+    late = adapters.event_messages(spark, sf, LATE)
     return digest.digest_sizes(windows, digest.assign_windows(late, windows))
 
 
 def digest_text(spark: SparkSession, sf: str) -> DataFrame:
-    messages = adapters.event_messages(spark, sf)
-    windows = _windows(messages)
-    late = messages.where(F.col("received_at") >= _ntz("2024-01-09 00:00:00"))
-    cards = digest.digest_cards(digest.assign_windows(late, windows), ZONE)
-    return digest.digest_text(windows, cards, ZONE, "EST", page_size=100)
+    """Windows and their rows are written once: the document reads them several times."""
+    windows = stage(_windows(adapters.event_messages(spark, sf)), "windows")
+    late = adapters.event_messages(spark, sf, LATE)
+    rows = stage(digest.assign_windows(late, windows), "rows")
+    return digest.digest_text(windows, digest.digest_cards(rows, ZONE), ZONE, "EST", page_size=100)
 
 
 def mark_digested(spark: SparkSession, sf: str) -> DataFrame:
