@@ -93,9 +93,10 @@ def new_archive_rows(
         )
         .select(*MESSAGE_KEY, "raw_path", "base_path", "sha", "year", "month")
     )
-    content = raw.select(*MESSAGE_KEY, "raw", F.sha2("raw", 256).alias("sha")).dropDuplicates(
-        [*MESSAGE_KEY, "sha"]
-    )
-    return fresh.join(content, [*MESSAGE_KEY, "sha"]).select(
+    key = [*MESSAGE_KEY, "sha"]
+    content = raw.select(*MESSAGE_KEY, "raw", F.sha2("raw", 256).alias("sha"))
+    # One join and, for a message delivered twice, one window on the same keys: where the new rows
+    # are too many to broadcast, the bytes are shuffled once for both.
+    return first_per_key(fresh.join(content, key), key, ["raw_path"]).select(
         "raw_path", "base_path", "sha", "raw", "year", "month"
     )

@@ -250,11 +250,19 @@ def digest_text(
         F.lit(fixed.DIGEST_TITLE + "\n"), bound("window_start"), F.lit(" to "),
         bound("window_end"), F.lit("\n"),
     )
-    page = F.coalesce("page", F.lit(0).cast("bigint"))
-    body = F.coalesce("_body", F.lit("\n" + fixed.DIGEST_EMPTY + "\n"))
-    return windows.join(pages, WINDOW_KEY, "left").select(
-        *WINDOW_KEY, page.alias("page"), F.concat(F.when(page == 0, head).otherwise(""), body).alias("text")
+    filled = pages.select(
+        *WINDOW_KEY,
+        "page",
+        F.concat(F.when(F.col("page") == 0, head).otherwise(""), "_body").alias("text"),
     )
+    # Pages carry their window, so only empty windows are looked up. Joining the pages to the
+    # windows would send all pages of one window to one task.
+    empty = windows.join(cards.select(*WINDOW_KEY).distinct(), WINDOW_KEY, "left_anti").select(
+        *WINDOW_KEY,
+        F.lit(0).cast("bigint").alias("page"),
+        F.concat(head, F.lit("\n" + fixed.DIGEST_EMPTY + "\n")).alias("text"),
+    )
+    return filled.unionByName(empty)
 
 
 # --- completion ------------------------------------------------------------

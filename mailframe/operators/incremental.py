@@ -31,18 +31,24 @@ def baseline(mailbox_state: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def new_since(
-    raw: DataFrame, cursors: DataFrame, mailbox_state: DataFrame | None = None
+    raw: DataFrame,
+    cursors: DataFrame,
+    mailbox_state: DataFrame | None = None,
+    small_cursors: bool = False,
 ) -> DataFrame:
     """Rows above their mailbox's cursor in the cursor's epoch.
 
-    With ``mailbox_state``, a mailbox whose epoch moved on gives no rows (see ``baseline``). The
-    cursor table has one row per mailbox; Spark broadcasts it when its size allows, and splits a
-    hot mailbox of the other side when it does not.
+    With ``mailbox_state``, a mailbox whose epoch moved on gives no rows (see ``baseline``).
+    ``small_cursors`` is the result of a size check (``fits_broadcast``): the raw bytes then stay
+    where they are. Without it Spark decides by its own threshold, and splits a hot mailbox when
+    it has to shuffle.
     """
     live = cursors.where((F.col("uid_validity") != 0) & (F.col("last_uid") < fixed.MAX_UID))
     if mailbox_state is not None:
         live = live.join(mailbox_state, ["mailbox", "uid_validity"], "left_semi")
     live = live.select("mailbox", "uid_validity", "last_uid")
+    if small_cursors:
+        live = F.broadcast(live)
     return (
         raw.join(live, ["mailbox", "uid_validity"]).where("uid > last_uid").drop("last_uid")
     )

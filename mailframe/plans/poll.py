@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mailframe import fixed
 from mailframe.functions.text import empty_to_null, format_address
 from mailframe.functions.timing import received_at, to_local, utc_second
-from mailframe.operators.archive import archive_paths, new_archive_rows
+from mailframe.operators.archive import archive_month, archive_paths, new_archive_rows
 from mailframe.operators.incremental import (
     advance_cursors,
     baseline,
@@ -24,7 +24,7 @@ from mailframe.operators.incremental import (
 from mailframe.operators.model import ClientFactory, build_prompt, pick_attempt, summarize
 from mailframe.operators.scope import batch_counts, flag_scope, route_outcome
 from mailframe.schemas import MESSAGE_KEY
-from mailframe.session import stage
+from mailframe.session import fits_broadcast, stage
 from mailframe.sources.corpus import parse_mail
 from mailframe.sources.tables import MailTables
 
@@ -72,21 +72,18 @@ def process_batch(
         "batch",
     )
 
+    archived = tables.archive(archive_months(batch))
     paths = stage(
         archive_paths(
             batch.select(*MESSAGE_KEY, "message_id", "received_local", "sha"),
-            tables.archive(),
+            archived,
             prefix="mailbox",
         ),
         "paths",
     )
-    tables.append_archive(new_archive_rows(paths, raw, tables.archive()))
+    tables.append_archive(new_archive_rows(paths, raw, archived))
 
-    unique = uids_are_unique(batch)
-    fresh = insert_absent(
-        batch.withColumn("message_id", empty_to_null("message_id")), tables.messages(), unique
-    )
-    fresh = stage(flag_scope(fresh, settings.allowlist), "fresh")
+    fresh = stage(flag_scope(fresh_rows(batch, tables.messages()), settings.allowlist), "fresh")
     # Catalyst does not move filters through a Python map: only these rows may reach the model.
     asked = fresh.where("parse_error is null and in_scope").withColumn(
         "from_display", format_address("from_name", "from_addr")
@@ -116,6 +113,31 @@ def process_batch(
     return batch_counts(batch, stored)
 
 
+def archive_months(batch: DataFrame, most: int = 1000) -> list[str] | None:
+    """The archive months of a batch; None where its dates are too many to list."""
+    months = batch.select(archive_month("received_local").alias("m")).distinct().limit(most + 1)
+    found = [row.m for row in months.collect()]
+    return found if len(found) <= most else None
+
+
+def fresh_rows(batch: DataFrame, messages: DataFrame) -> DataFrame:
+    """The rows of ``batch`` to store.
+
+    Decided on the keys alone. What is dropped is written as a table of keys, and as it is mostly
+    small, Spark then removes it from the batch by a broadcast: the bodies are not shuffled. A
+    batch that repeats uids needs whole rows to tell its copies apart.
+    """
+    batch = batch.withColumn("message_id", empty_to_null("message_id"))
+    if not uids_are_unique(batch):
+        return insert_absent(batch, messages)
+    keys = batch.select(*MESSAGE_KEY, "message_id")
+    kept = insert_absent(keys, messages, unique_uids=True)
+    dropped = stage(
+        keys.select(*MESSAGE_KEY).join(kept, MESSAGE_KEY, "left_anti"), "dropped"
+    )
+    return batch.join(dropped, MESSAGE_KEY, "left_anti")
+
+
 def poll(
     tables: MailTables,
     raw: DataFrame,
@@ -127,6 +149,7 @@ def poll(
     cursors = tables.cursors()
     started = stage(baseline(mailbox_state, cursors), "baseline")
     resets = started.where("initialized")
-    counts = process_batch(tables, new_since(raw, cursors, mailbox_state), settings, now, resets)
+    new = new_since(raw, cursors, mailbox_state, fits_broadcast(cursors))
+    counts = process_batch(tables, new, settings, now, resets)
     flags = started.select("mailbox", "initialized")
     return flags.join(counts, "mailbox", "left").na.fill(0)

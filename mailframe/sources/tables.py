@@ -40,8 +40,10 @@ class MailTables:
     def messages(self) -> DataFrame:
         return self._read("messages", schemas.MESSAGES)
 
-    def archive(self) -> DataFrame:
-        return self._read("archive", schemas.ARCHIVE)
+    def archive(self, months: list[str] | None = None) -> DataFrame:
+        """The archive, or only the directories of some ``YYYY/MM``."""
+        rows = self._read("archive", schemas.ARCHIVE)
+        return rows if months is None else rows.where(F.concat_ws("/", "year", "month").isin(months))
 
     def digest_items(self) -> DataFrame:
         return self._read("digest_items", schemas.DIGEST_ITEMS)
