@@ -104,26 +104,44 @@ def with_validation(df: DataFrame, raw: str = "raw", out: str = "checked") -> Da
     )
 
 
-def lint_summary(
-    text: Column | str, status: Column | str, err: Column | str, truncated: Column | str
-) -> Column:
-    """Warnings on one summary, in fixed order; a failed one only reports its failure."""
-    text, status, err, truncated = (_col(c) for c in (text, status, err, truncated))
-    text = F.coalesce(text, F.lit(""))
-    size = F.length(text)
-    # The word pattern looks back at every position; a plain search first rules most text out.
-    loud = F.upper(text)
-    worded = reduce(lambda x, y: x | y, [loud.contains(w.upper()) for w in fixed.ACCUSATIONS])
+def with_lint(
+    df: DataFrame,
+    text: Column | str,
+    status: Column | str,
+    err: Column | str,
+    truncated: Column | str,
+    out: str = "checks",
+) -> DataFrame:
+    """Add ``out``, the warnings on each summary in fixed order; a failed one only reports that.
+
+    The word pattern looks back at every position, so plain searches in the upper-cased text rule
+    most summaries out first. That text is a column of its own: inside the branch of a condition
+    it would be made once per word.
+    """
+    columns = df.columns
+    summary = F.coalesce(_col(text), F.lit(""))
+    failed = _col(status) == "error"
+    prepared = df.select(
+        *columns,
+        summary.alias("_text"),
+        F.upper(summary).alias("_upper"),
+        F.coalesce(failed, F.lit(False)).alias("_failed"),
+        F.concat(F.lit(fixed.LINT_FALLBACK), F.coalesce(_col(err), F.lit(""))).alias("_failure"),
+        F.coalesce(_col(truncated), F.lit(False)).alias("_cut"),
+    )
+    text, size = F.col("_text"), F.length("_text")
+    worded = reduce(
+        lambda x, y: x | y, [F.col("_upper").contains(w.upper()) for w in fixed.ACCUSATIONS]
+    )
     checks = F.array_compact(
         F.array(
-            F.when(
-                size > fixed.SUMMARY_CHAR_LIMIT, F.format_string(fixed.LINT_TOO_LONG, size)
-            ),
+            F.when(size > fixed.SUMMARY_CHAR_LIMIT, F.format_string(fixed.LINT_TOO_LONG, size)),
             F.when(text.contains("!"), fixed.LINT_AFFECT),
             F.when(text.rlike(fixed.CAPITALS_RUN), fixed.LINT_CAPITALS),
             F.when(worded & text.rlike(fixed.ACCUSATION), fixed.LINT_ACCUSATION),
-            F.when(truncated, fixed.LINT_TRUNCATED),
+            F.when(F.col("_cut"), fixed.LINT_TRUNCATED),
         )
     )
-    failed = F.array(F.concat(F.lit(fixed.LINT_FALLBACK), F.coalesce(err, F.lit(""))))
-    return F.when(status == "error", failed).otherwise(checks)
+    return prepared.select(
+        *columns, F.when(F.col("_failed"), F.array("_failure")).otherwise(checks).alias(out)
+    )

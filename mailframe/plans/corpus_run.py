@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailframe import fixed
-from mailframe.functions.replies import lint_summary
+from mailframe.functions.replies import with_lint
 from mailframe.operators.model import ClientFactory, pick_attempt, summarize
 from mailframe.session import stage
 from mailframe.sources.corpus import parse_corpus
@@ -15,13 +15,6 @@ _RECORD = ["path", "from_display", "subject", "has_attachment", "truncated", "bo
            "parse_error"]
 
 
-def with_checks(df: DataFrame) -> DataFrame:
-    """Add ``checks`` to rows that carry ``model`` and ``truncated``."""
-    return df.withColumn(
-        "checks", lint_summary("model.text", "model.status", "model.err", "truncated")
-    )
-
-
 def summarize_corpus(
     files: DataFrame,
     factory: ClientFactory,
@@ -39,7 +32,8 @@ def summarize_corpus(
     answers = pick_attempt(
         summarize(readable, factory, ["path"], language, timeout, parallelism)
     ).select("path", "model", "raw_response", "latency_ms", "retried")
-    done = with_checks(parsed.join(answers, "path", "left"))
+    answered = parsed.join(answers, "path", "left")
+    done = with_lint(answered, "model.text", "model.status", "model.err", "truncated")
     unread = F.col("parse_error").isNotNull()
     return done.select(
         *_RECORD,

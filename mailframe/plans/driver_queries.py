@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from mailframe.functions import replies, text, timing
 from mailframe.operators import archive, dedupe, digest, incremental, model, report, scope
-from mailframe.plans.corpus_run import with_checks
 from mailframe.plans.poll import PollSettings, poll
 from mailframe.plans.weekly import run_digest
 from mailframe.schemas import RAW_MAIL
@@ -287,7 +286,8 @@ def _linted(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("n_chars") % 17 == 0, "unreadable").alias("parse_error"),
         F.col("n_chars").alias("latency_ms"),
     )
-    return with_checks(rows).withColumn("status", F.col("model.status"))
+    linted = replies.with_lint(rows, "model.text", "model.status", "model.err", "truncated")
+    return linted.withColumn("status", F.col("model.status"))
 
 
 def lint_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,7 +410,7 @@ def digest_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 def digest_assignment(spark: SparkSession, sf: str) -> DataFrame:
     messages = adapters.event_messages(spark, sf)
-    audited = digest.audit_windows(messages, _windows(messages))
+    audited = digest.audit_windows(messages, stage(_windows(messages), "windows"))
     return audited.select("mailbox", "uid", "window_start", "window_end", "stranded")
 
 
