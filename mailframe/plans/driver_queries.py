@@ -103,7 +103,7 @@ def received_at(spark: SparkSession, sf: str) -> DataFrame:
 def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
     docs = adapters.document_batch(spark, sf)
     labels = adapters.table(spark, sf, "labels").withColumnRenamed("doc_id", "uid")
-    ok = F.col("quality") == 1
+    ok = F.coalesce(F.col("quality"), F.lit(0)) == 1
     summary = F.struct(
         F.when(ok, F.left("text", F.lit(200))).otherwise("could not summarize").alias("text"),
         F.when(ok, "fyi").alias("action"),
@@ -112,7 +112,7 @@ def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(ok, "ok").otherwise("error").alias("status"),
         F.when(~ok, "validation failed after retry").alias("err"),
     )
-    rows = docs.join(labels, "uid").select(
+    rows = docs.join(labels, "uid", "left").select(
         "uid",
         F.when(F.col("n_chars") < 200, F.concat(F.lit("short by "), F.lit(200) - F.col("n_chars")))
         .alias("parse_error"),
@@ -163,7 +163,7 @@ def advance_cursors(spark: SparkSession, sf: str) -> DataFrame:
     events = adapters.event_log(spark, sf)
     cursors, state = _cursors(events), _state(events)
     resets = incremental.baseline(state, cursors).where("initialized")
-    new = incremental.new_since(events.where(F.col("value") > 90), cursors, state)
+    new = incremental.new_since(events, cursors, state)
     return incremental.advance_cursors(cursors, resets, incremental.batch_moves(new))
 
 
@@ -349,10 +349,12 @@ def archive_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(messages: DataFrame) -> DataFrame:
-    """The weekly runs that the data spans, without the one that failed."""
-    runs = messages.select("mailbox", timing.next_week_start("received_at", ZONE).alias("run_at"))
+    """The weekly runs that the data spans, without one that failed, and an empty week after it."""
+    run = timing.next_week_start("received_at", ZONE)
+    runs = messages.select("mailbox", run.alias("run_at")).distinct()
+    after = runs.select("mailbox", timing.next_week_start("run_at", ZONE).alias("run_at"))
     failed = (F.col("mailbox") == FAILED_RUN[0]) & (F.col("run_at") == _ntz(FAILED_RUN[1]))
-    return runs.distinct().where(~failed)
+    return runs.unionByName(after).distinct().where(~failed)
 
 
 def _windows(messages: DataFrame) -> DataFrame:
@@ -414,20 +416,17 @@ def digest_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return audited.select("mailbox", "uid", "window_start", "window_end", "stranded")
 
 
-LATE = "2024-01-09 00:00:00"
-
-
 def digest_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    windows = stage(_windows(adapters.event_messages(spark, sf)), "windows")
-    late = adapters.event_messages(spark, sf, LATE)
-    return digest.digest_sizes(windows, digest.assign_windows(late, windows))
+    messages = adapters.event_messages(spark, sf)
+    windows = stage(_windows(messages), "windows")
+    return digest.digest_sizes(windows, digest.assign_windows(messages, windows))
 
 
 def digest_text(spark: SparkSession, sf: str) -> DataFrame:
     """Windows and their rows are written once: the document reads them several times."""
-    windows = stage(_windows(adapters.event_messages(spark, sf)), "windows")
-    late = adapters.event_messages(spark, sf, LATE)
-    rows = stage(digest.assign_windows(late, windows), "rows")
+    messages = adapters.event_messages(spark, sf)
+    windows = stage(_windows(messages), "windows")
+    rows = stage(digest.assign_windows(messages, windows), "rows")
     return digest.digest_text(windows, digest.digest_cards(rows, ZONE), ZONE, "EST", page_size=100)
 
 

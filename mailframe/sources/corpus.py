@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from email import message_from_bytes
 from email.header import decode_header
 from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,7 +97,7 @@ def _dates(value: str) -> tuple[int | None, int | None]:
     return (local - offset) // micro, local // micro
 
 
-def read_mail(raw: bytes) -> dict:
+def read_mail(raw: bytes, sender: Callable[[str], tuple[str, str]] = _sender) -> dict:
     """The parts of one message that the native expressions work on."""
     message = message_from_bytes(raw)
     if not message.keys():
@@ -112,7 +113,7 @@ def read_mail(raw: bytes) -> dict:
             body = _decode(part.get_payload(decode=True) or b"", part.get_content_charset())
             bodies[kind] = body.replace("\r\n", "\n")
     sent_us, local_us = _dates(_header(message, "date"))
-    from_name, from_addr = _sender(_header(message, "from"))
+    from_name, from_addr = sender(_header(message, "from"))
     return {
         "message_id_raw": _header(message, "message-id"),
         "from_name": from_name,
@@ -132,11 +133,13 @@ _FAILED = dict.fromkeys(MAIL_PARTS.names)
 
 def _read_batches(column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Senders repeat; address lists are the slowest header to read.
+        sender = lru_cache(maxsize=10_000)(_sender)
         for batch in batches:
             parts = []
             for raw in batch[column]:
                 try:
-                    parts.append(read_mail(bytes(raw)))
+                    parts.append(read_mail(bytes(raw), sender))
                 except Exception as failure:  # noqa: BLE001 - a bad message is a row
                     reason = str(failure) or type(failure).__name__
                     parts.append({**_FAILED, "parse_error": reason})
