@@ -150,7 +150,9 @@ def _state(events: DataFrame) -> DataFrame:
 
 def new_since_cursor(spark: SparkSession, sf: str) -> DataFrame:
     events = adapters.event_log(spark, sf)
-    new = incremental.new_since(events, _cursors(events), _state(events))
+    cursors = stage(_cursors(events), "cursors")
+    listed = events.where(incremental.scan_bound(cursors))
+    new = incremental.new_since(listed, cursors, _state(events))
     return new.select("mailbox", "uid_validity", "uid")
 
 

@@ -19,6 +19,7 @@ from mailframe.operators.incremental import (
     batch_moves,
     insert_absent,
     new_since,
+    scan_bound,
     uids_are_unique,
 )
 from mailframe.operators.model import ClientFactory, build_prompt, pick_attempt, summarize
@@ -149,7 +150,8 @@ def poll(
     cursors = tables.cursors()
     started = stage(baseline(mailbox_state, cursors), "baseline")
     resets = started.where("initialized")
-    new = new_since(raw, cursors, mailbox_state, fits_broadcast(cursors))
+    listed = raw.where(scan_bound(cursors))
+    new = new_since(listed, cursors, mailbox_state, fits_broadcast(cursors))
     counts = process_batch(tables, new, settings, now, resets)
     flags = started.select("mailbox", "initialized")
     return flags.join(counts, "mailbox", "left").na.fill(0)

@@ -42,6 +42,22 @@ def test_new_since_cursor(spark):
     assert rows(inc.new_since(raw, cursors, state), "uid") == []
 
 
+def test_scan_bound_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.range(100).selectExpr(
+        "if(id < 50, 'a', 'b') mailbox", "1L uid_validity", "id uid", "cast(cast(id as string) as binary) raw"
+    ).write.parquet(path)
+    raw = spark.read.parquet(path)
+    cursors = spark.createDataFrame([("a", 1, 40), ("b", 1, 90)], schemas.CURSORS)
+    for most in (200, 1):
+        new = inc.new_since(raw.where(inc.scan_bound(cursors, most)), cursors)
+        assert rows(new, "uid") == [(u,) for u in [*range(41, 50), *range(91, 100)]]
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan(uid,40)" in plan
+    nothing = spark.createDataFrame([], schemas.CURSORS)
+    assert raw.where(inc.scan_bound(nothing)).count() == 0
+
+
 def test_cursor_moves(spark):
     cursors = spark.createDataFrame([("a", 7, 99), ("b", 1, 5)], schemas.CURSORS)
     resets = spark.createDataFrame([("a", 8, 39)], schemas.CURSORS)
