@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, topk
+from . import bpe, exact_dedup, language, mixing, quality, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_word_bpe": op5_word_bpe,
+    "op6_toxicity": op6_toxicity,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
 }
