@@ -1,9 +1,11 @@
 """Connected groups of items that share buckets, without pairing all members of a bucket.
 
-Candidates are pairs of items in one bucket. A first round only tests each item against the smallest
-item of each of its buckets; what is confirmed joins components. Then only buckets that still hold
-more than one component are looked at, and there only pairs of different components. So every pair
-of a bucket is either tested or already connected, and no link between components is lost.
+Candidates are pairs of items in one bucket. A first round tests each item only against the most
+central item of each of its buckets, the one whose buckets are fullest: of a text and its many
+edited copies that is the text itself. What is confirmed joins components. Then only buckets that
+still hold more than one component are looked at: each item against the centre of another
+component, and at last the caller finds the links between the components of such a family. So every
+possible link is either tested or already inside a component, and none is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 Confirm = Callable[[DataFrame], DataFrame]
+Across = Callable[[DataFrame], DataFrame]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,36 +48,71 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def link(buckets: DataFrame, confirm: Confirm) -> DataFrame:
+def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     """(node, component) of all nodes with a link; ``buckets`` has (bucket, node), both long.
 
-    ``confirm`` takes distinct pairs (a, b), a < b, and returns those that are links. Buckets are
-    never gathered: a bucket is known by its smallest and largest node or component, aggregates that
-    are combined before the shuffle, and joined back to its rows.
+    ``confirm`` takes distinct pairs (a, b), a < b, and returns those that are links. ``across`` takes
+    the rows (bucket, node, c) of buckets that hold several components c and returns links (a, b)
+    that connect all components with a link between them. Buckets are
+    never gathered: a bucket is known by its size, its centre and its smallest and largest component,
+    aggregates that are combined before the shuffle, and joined back to its rows.
     """
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = stage(buckets.join(ends, "bucket").select("bucket", "node", "low", "high"), "shared-buckets")
-    low = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    tested = stage(low.distinct(), "tested-pairs")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(buckets.join(sizes, "bucket"), "shared-buckets")
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    shared = stage(shared.select("bucket", "node").join(weight, "node"), "shared-buckets")
+    centre = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("centre")
+    hubs = shared.groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.node")).alias("hub"))
+    first = shared.join(hubs, "bucket").where("node <> hub")
+    tested = stage(_pairs(first, "node", "hub"), "tested-pairs")
     links = stage(confirm(tested), "links")
-    for hub in ("high", None):
+    for last in (False, True):
         found = stage(components(links), "components")
-        # Only buckets of more than one component go on.
         placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
             "c", F.coalesce("c", "node")
         )
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high")
-        left = stage(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "high", "c"), "mixed-buckets")
-        if hub:
-            # A second hub settles most of what the first one could not.
-            hubs = left.where("node = high").select("bucket", F.col("node").alias("hub"), F.col("c").alias("hub_c")).distinct()
-            pairs = left.join(hubs, "bucket").where("c <> hub_c").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        # Only buckets of more than one component go on.
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), centre).where("low < high")
+        left = stage(placed.join(mixed, "bucket").select("bucket", "node", "c", "weight", "centre"), "mixed-buckets")
+        if last:
+            more = across(left.select("bucket", "node", "c"))
         else:
-            one, other = left.alias("x"), left.alias("y")
-            pairs = one.join(other, F.expr("x.bucket = y.bucket and x.c < y.c")).select(
-                F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+            # The most central item outside the component of the bucket's centre is the next hub.
+            own = left.where("node = -centre.node").select("bucket", F.col("c").alias("own"))
+            others = left.join(own, "bucket")
+            hubs = others.where("c <> own").groupBy("bucket").agg(
+                F.max(F.struct("weight", (-F.col("node")).alias("node"), "c")).alias("next")
             )
-        fresh_pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "tested-pairs")
-        tested = tested.unionByName(fresh_pairs)
-        links = links.unionByName(stage(confirm(fresh_pairs), "links"))
+            pairs = _pairs(left.join(hubs, "bucket").where("c <> next.c").withColumn("hub", -F.col("next.node")), "node", "hub")
+            more = confirm(stage(pairs.join(tested, ["a", "b"], "left_anti"), "tested-pairs"))
+        links = links.unionByName(stage(more, "links"))
     return components(links)
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """(node, family): nodes of (bucket, node) rows that a chain of common buckets connects."""
+    first = rows.groupBy("bucket").agg(F.min("node").alias("b"))
+    found = components(rows.join(first, "bucket").select(F.col("node").alias("a"), "b"))
+    return found.select("node", F.col("component").alias("family"))
+
+
+def tiles(nodes: DataFrame, size: int) -> DataFrame:
+    """(family, i, j, node, part): every pair of tiles of a family, for blocked comparison.
+
+    A family of (family, node) rows is dealt into tiles of about ``size`` nodes; each node goes to the
+    pairs of its own tile, so that rows grow by the number of tiles, not of nodes. ``part`` is the
+    node's tile.
+    """
+    counts = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    dealt = nodes.join(counts, "family").withColumn("n", F.ceil(F.col("size") / size).cast("int")).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    )
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return other.select(
+        "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part"
+    )
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct (a, b), a < b, of two columns."""
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()

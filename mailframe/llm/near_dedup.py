@@ -3,7 +3,8 @@
 Minima of a document's word shingles under many hashes give band keys, by which candidates meet, and
 their low bits, packed into a few numbers. Of a candidate pair, counts of equal low bits, corrected for
 chance collisions, estimate the similarity; pairs clearly below the threshold go no further, all
-others are confirmed on their full shingle sets.
+others are confirmed on their full shingle sets. Where a family of candidates stays in several
+components (texts around one long passage, say), its full sets are compared in tiles.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .linking import link
+from .linking import families, link, tiles
 
 SHINGLE = 5
 # Links need a share of at least LEAST / 100 of common shingles.
@@ -28,7 +29,9 @@ BITS = 2
 # A pair at the threshold is estimated lower than this once in some hundred thousand times.
 ESTIMATE = 0.55
 CACHED_WORDS = 300_000
-SLAB = 8192
+SLAB = 4096
+# Documents of one tile where a family is compared in blocks.
+TILE_ROWS = 384
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, low array<long>"
 
 _RANDOM = np.random.RandomState(5)
@@ -163,6 +166,64 @@ def _confirmer(documents: DataFrame, classes: DataFrame):
     return confirm
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of slabs of the incidence matrix."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, column.max(initial=-1) + 1 + SLAB, SLAB))
+    for start, end in zip(edges, edges[1:], strict=False):
+        slab = np.zeros((len(sets), SLAB), np.float32)
+        slab[owner[start:end], column[start:end] % SLAB] = 1
+        out += slab @ slab.T
+    return out.astype(np.int64)
+
+
+def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links that join the components of two tiles, each component pair once."""
+    rows = rows.sort_by("node")
+    nodes, parts, names = (rows[c].to_numpy() for c in ("node", "part", "c"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows["found"].to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    common = common_counts(sets)
+    near = 100 * common >= LEAST * (sizes[:, None] + sizes[None, :] - common)
+    near &= names[:, None] < names[None, :]
+    if key[1] != key[2]:
+        near &= parts[:, None] != parts[None, :]
+    x, y = np.nonzero(near)
+    _, first = np.unique(np.stack([names[x], names[y]]), axis=1, return_index=True)
+    a, b = nodes[x[first]], nodes[y[first]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _across(documents: DataFrame):
+    """Links between components of one family, on full sets and in tiles."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingle_set(t, hashes).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "c", "found"]
+            )
+
+    def links(rows: DataFrame) -> DataFrame:
+        family = stage(families(rows), "families")
+        nodes = rows.select("node", "c").distinct()
+        texts = documents.join(nodes, F.col("doc_id") == F.col("node")).select("node", "c", "text")
+        sets = stage(texts.mapInArrow(sets_of, "node long, c long, found binary").distinct(), "mixed-sets")
+        met = tiles(family, TILE_ROWS).join(sets, "node")
+        return met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct()
+
+    return links
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -182,7 +243,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
         "near-classes",
     )
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"))
-    found = stage(link(buckets, _confirmer(texts, classes)), "near-components")
+    found = stage(link(buckets, _confirmer(texts, classes), _across(texts)), "near-components")
     of_class = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_id").alias("class_id"), F.coalesce("component", "rep").alias("component")
     )
