@@ -254,3 +254,12 @@ def near_groups(documents: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """The document with the smallest id of each group, and all that link with nothing, with all columns.
+
+    Rows that repeat the kept id all stay; rows without an id stay.
+    """
+    gone = stage(near_groups(documents).where("not kept").select("doc_id").distinct(), "near-copies")
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)

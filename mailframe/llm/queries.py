@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, near_dedup, quality, topk, toxicity
+from . import bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = line_dedup.drop_lists(table(spark, sf_dir, "documents"))
+    return lists.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_word_bpe": op5_word_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
