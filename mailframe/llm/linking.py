@@ -3,9 +3,9 @@
 Candidates are pairs of items in one bucket. A first round tests each item only against the most
 central item of each of its buckets, the one whose buckets are fullest: of a text and its many
 edited copies that is the text itself. What is confirmed joins components. Then only buckets that
-still hold more than one component are looked at: each item against the centre of another
-component, and at last the caller finds the links between the components of such a family. So every
-possible link is either tested or already inside a component, and none is lost.
+still hold more than one component are looked at, and the caller finds the links between the
+components of such a family. So every possible link is either tested or already inside a component,
+and none is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stage(large.where("a <> b").distinct(), "links")
+        large = large.where("a <> b")
         # Every edge now goes from a node to a smaller one.
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -64,29 +64,15 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     centre = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("centre")
     hubs = shared.groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.node")).alias("hub"))
     first = shared.join(hubs, "bucket").where("node <> hub")
-    tested = stage(_pairs(first, "node", "hub"), "tested-pairs")
-    links = stage(confirm(tested), "links")
-    for last in (False, True):
-        found = stage(components(links), "components")
-        placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
-            "c", F.coalesce("c", "node")
-        )
-        # Only buckets of more than one component go on.
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), centre).where("low < high")
-        left = stage(placed.join(mixed, "bucket").select("bucket", "node", "c", "weight", "centre"), "mixed-buckets")
-        if last:
-            more = across(left.select("bucket", "node", "c"))
-        else:
-            # The most central item outside the component of the bucket's centre is the next hub.
-            own = left.where("node = -centre.node").select("bucket", F.col("c").alias("own"))
-            others = left.join(own, "bucket")
-            hubs = others.where("c <> own").groupBy("bucket").agg(
-                F.max(F.struct("weight", (-F.col("node")).alias("node"), "c")).alias("next")
-            )
-            pairs = _pairs(left.join(hubs, "bucket").where("c <> next.c").withColumn("hub", -F.col("next.node")), "node", "hub")
-            more = confirm(stage(pairs.join(tested, ["a", "b"], "left_anti"), "tested-pairs"))
-        links = links.unionByName(stage(more, "links"))
-    return components(links)
+    links = stage(confirm(stage(_pairs(first, "node", "hub"), "tested-pairs")), "links")
+    found = stage(components(links), "components")
+    placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
+        "c", F.coalesce("c", "node")
+    )
+    # Only buckets of more than one component go on.
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    left = stage(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c"), "mixed-buckets")
+    return components(links.unionByName(stage(across(left), "links")))
 
 
 def families(rows: DataFrame) -> DataFrame:

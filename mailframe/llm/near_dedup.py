@@ -167,7 +167,7 @@ def _confirmer(documents: DataFrame, classes: DataFrame):
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of slabs of the incidence matrix."""
+    """Sizes of intersections of different sets, by products of slabs of the incidence matrix."""
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, times = np.unique(values, return_inverse=True, return_counts=True)
