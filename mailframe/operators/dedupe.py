@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,63 +58,32 @@ def _leads(mine: str) -> Column:
     return F.col(mine).isNull() | (F.col(mine) == F.col("_o"))
 
 
-# So few open rows are decided in one task; a round costs several stages whatever its size.
-LAST_ROWS = 100_000
-_KEY_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
-
-def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the rows, given in order, whose keys no kept row has; "" is no key."""
-    taken_a, taken_b = {""}, {""}
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch["_ja"], batch["_jb"]):
-            free = (a == "" or a not in taken_a) and (b == "" or b not in taken_b)
-            keep.append(free)
-            if free:
-                taken_a.add(a)
-                taken_b.add(b)
-        yield batch[keep]
-
-
-def _decide_in_order(rows: DataFrame) -> DataFrame:
-    """The orders to keep of a counted, small number of rows."""
-    formats = {"timestampFormat": _KEY_TIMES, "timestampNTZFormat": _KEY_TIMES}
-    keyed = rows.select(
-        "_o",
-        *(F.coalesce(F.to_json(f"_{k}", formats), F.lit("")).alias(f"_j{k}") for k in "ab"),
-    )
-    ordered = keyed.coalesce(1).sortWithinPartitions("_o").select("_ja", "_jb")
-    kept = ordered.mapInPandas(_first_come, "_ja string, _jb string")
-    return keyed.join(kept, ["_ja", "_jb"], "left_semi").select("_o")
-
-
-def _matching_rounds(pairs: DataFrame, last_rows: int) -> DataFrame:
+def _matching_rounds(pairs: DataFrame) -> DataFrame:
     """Orders of the rows that a sequential first-wins insert would keep.
 
     Every round keeps the rows that come first in both of their groups and drops the undecided
-    rows that share a key with one of them, the kept ones included. Rounds are written tables, so
-    that lost executors cost one round and plans stay short. Most rows are decided in the first
-    ones; ``last_rows`` are few enough to be decided one by one.
+    rows that share a key with one of them, the kept ones included. The first row of all always
+    leads, so that rounds end; most rows are decided in the first ones. A round is one written
+    table, so that lost executors cost one round and plans stay short.
     """
-    undecided = stage(_pre_reduce(pairs), "dedupe-open")
+    undecided = _pre_reduce(pairs)
     kept = []
-    while undecided.count() > last_rows:
-        won = stage(
+    while True:
+        marked = stage(
             undecided.join(_least(undecided, "_a", "_ma"), "_a", "left")
             .join(_least(undecided, "_b", "_mb"), "_b", "left")
-            .where(_leads("_ma") & _leads("_mb"))
-            .select("_o", "_a", "_b"),
-            "dedupe-won",
+            .select("_o", "_a", "_b", (_leads("_ma") & _leads("_mb")).alias("_won")),
+            "dedupe-round",
         )
+        won, rest = marked.where("_won"), marked.where("not _won")
         kept.append(won.select("_o"))
-        undecided = stage(
-            undecided.join(won.select("_a"), "_a", "left_anti")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        undecided = (
+            rest.join(won.select("_a"), "_a", "left_anti")
             .join(won.select("_b"), "_b", "left_anti")
-            .select("_o", "_a", "_b"),
-            "dedupe-open",
+            .select("_o", "_a", "_b")
         )
-    return reduce(DataFrame.unionByName, kept, _decide_in_order(undecided))
 
 
 def dedupe_two_keys(
@@ -125,7 +92,6 @@ def dedupe_two_keys(
     key_a: list[str],
     key_b: list[str],
     unique_a: bool = False,
-    last_rows: int = LAST_ROWS,
 ) -> DataFrame:
     """Keep what inserting rows in ``order`` under two unique constraints would keep.
 
@@ -146,6 +112,6 @@ def dedupe_two_keys(
     free = keyed.where("_a is null and _b is null")
     # Repeats of one (a, b) pair: a key once taken stays taken, so only the first can be kept.
     pairs = bound.groupBy("_a", "_b").agg(F.min("_o").alias("_o")).select("_o", "_a", "_b")
-    kept = _matching_rounds(pairs, last_rows)
+    kept = _matching_rounds(pairs)
     chosen = first_per_key(bound, ["_o"], ["_o"]).join(kept, "_o", "left_semi")
     return chosen.select(*columns).unionByName(free.select(*columns))

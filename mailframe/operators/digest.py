@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +82,14 @@ def _bucket(c: Column | str) -> Column:
     return F.unix_date(F.col(c).cast("date") if isinstance(c, str) else c.cast("date"))
 
 
-def assign_windows(df: DataFrame, windows: DataFrame, how: str = "inner") -> DataFrame:
+def assign_windows(
+    df: DataFrame, windows: DataFrame, how: str = "inner", as_of_run: bool = True
+) -> DataFrame:
     """Join every message to the window ``start <= received_at < end`` of its mailbox.
 
-    A message counts for a window only if it had been processed before that run. Windows are
+    Over a history of windows a message counts for one only if it had been processed by that run
+    (``as_of_run``), in its own second at the latest. A run that takes place now has only what is
+    there, and tests nothing but the marks. Windows are
     listed once per day they touch, messages join on (mailbox, day) and the range is checked
     behind that: an equi join whose keys also split a hot mailbox by day. Windows of a mailbox do
     not overlap, so a message finds one at most, and ``left`` keeps every message once.
@@ -98,8 +105,9 @@ def assign_windows(df: DataFrame, windows: DataFrame, how: str = "inner") -> Dat
         & (F.col("m._day") == F.col("w._day"))
         & (F.col("m.received_at") >= F.col("w.window_start"))
         & (F.col("m.received_at") < F.col("w.window_end"))
-        & (F.col("m.processed_at") < F.col("w.window_end"))
     )
+    if as_of_run:
+        on = on & (F.col("m.processed_at") <= F.col("w.window_end"))
     return left.join(right, on, how).select(
         *(F.col(f"m.{c}") for c in df.columns), "w.window_start", "w.window_end"
     )
@@ -220,11 +228,32 @@ def _with_position(cards: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def zone_name(instant: Column | str, local: Column, zone: str) -> Column:
+    """The zone's short name at an instant, by the offset between its clock and UTC.
+
+    A zone without names, such as a plain offset, is shown as ``zone`` itself.
+    """
+    try:
+        rules = ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        return F.lit(zone)
+    names = {}
+    for year in range(1970, 2038):
+        for month in range(1, 13):
+            at = datetime(year, month, 1, tzinfo=timezone.utc).astimezone(rules)
+            names[int(at.utcoffset().total_seconds())] = at.tzname()
+    moment = F.col(instant) if isinstance(instant, str) else instant
+    offset = F.unix_seconds(local.cast("timestamp")) - F.unix_seconds(moment.cast("timestamp"))
+    shown = F.lit(zone)
+    for seconds, name in sorted(names.items()):
+        shown = F.when(offset == seconds, F.lit(name)).otherwise(shown)
+    return shown
+
+
 def digest_text(
     windows: DataFrame,
     cards: DataFrame,
     zone: str = fixed.DEFAULT_ZONE,
-    zone_label: str = "UTC",
     page_size: int = 1000,
 ) -> DataFrame:
     """The text digest of every window as pages (mailbox, window, page, text).
@@ -235,8 +264,8 @@ def digest_text(
     """
 
     def bound(c: str) -> Column:
-        local = F.date_format(to_local(c, zone), fixed.CARD_TIME)
-        return F.concat(local, F.lit(f" {zone_label}"))
+        local = to_local(c, zone)
+        return F.concat(F.date_format(local, fixed.CARD_TIME), F.lit(" "), zone_name(c, local, zone))
 
     blocks = _with_position(
         cards.select(*WINDOW_KEY, "received_at", "uid_validity", "uid", card_block().alias("_block")),

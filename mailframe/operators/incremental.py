@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,67 +32,63 @@ def baseline(mailbox_state: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def new_since(
-    raw: DataFrame,
-    cursors: DataFrame,
-    mailbox_state: DataFrame | None = None,
-    small_cursors: bool = False,
+    raw: DataFrame, cursors: DataFrame, mailbox_state: DataFrame | None = None
 ) -> DataFrame:
     """Rows above their mailbox's cursor in the cursor's epoch.
 
-    With ``mailbox_state``, a mailbox whose epoch moved on gives no rows (see ``baseline``).
-    ``small_cursors`` is the result of a size check (``fits_broadcast``): the raw bytes then stay
-    where they are. Without it Spark decides by its own threshold, and splits a hot mailbox when
-    it has to shuffle.
+    With ``mailbox_state``, a mailbox whose epoch moved on gives no rows (see ``baseline``). The
+    lowest live cursor is a scalar subquery, whose value Spark hands to the scan of the raw mail at
+    any number of mailboxes; the join is the exact test. Spark broadcasts cursors if they are small
+    and splits a hot mailbox when it has to shuffle.
     """
     live = cursors.where((F.col("uid_validity") != 0) & (F.col("last_uid") < fixed.MAX_UID))
     if mailbox_state is not None:
         live = live.join(mailbox_state, ["mailbox", "uid_validity"], "left_semi")
     live = live.select("mailbox", "uid_validity", "last_uid")
-    if small_cursors:
-        live = F.broadcast(live)
+    lowest = live.agg(F.min("last_uid")).scalar()
     return (
-        raw.join(live, ["mailbox", "uid_validity"]).where("uid > last_uid").drop("last_uid")
+        raw.where(F.col("uid") > lowest)
+        .join(live, ["mailbox", "uid_validity"])
+        .where("uid > last_uid")
+        .drop("last_uid")
     )
 
 
-def scan_bound(cursors: DataFrame, most: int = 200) -> Column:
-    """What the cursors say about new rows, in literals that reach the scan of the raw mail.
-
-    ``new_since`` stays the exact test; but a join condition cannot skip row groups, and without
-    literals every poll would read the bytes of the whole log. Up to ``most`` mailboxes get a
-    bound each, more of them share the lowest one.
-    """
-    rows = cursors.select("mailbox", "uid_validity", "last_uid").limit(most + 1).collect()
-    if len(rows) > most:
-        lowest = cursors.agg(F.min("last_uid")).first()[0]
-        return F.col("uid") > F.lit(lowest)
-    bounds = [
-        (F.col("mailbox") == row.mailbox)
-        & (F.col("uid_validity") == row.uid_validity)
-        & (F.col("uid") > row.last_uid)
-        for row in rows
-    ]
-    return reduce(lambda x, y: x | y, bounds, F.lit(False))
-
-
 def batch_moves(batch: DataFrame) -> DataFrame:
     """The cursor moves of one batch; duplicates move the cursor too."""
     return batch.groupBy("mailbox", "uid_validity").agg(F.max("uid").alias("last_uid"))
 
 
-def advance_cursors(cursors: DataFrame, *moves: DataFrame) -> DataFrame:
-    """The cursor table after ``moves``; later arguments win, epoch and uid change together."""
-    ranked = cursors.select("mailbox", "uid_validity", "last_uid", F.lit(0).alias("_rank"))
-    for rank, move in enumerate(moves, 1):
-        ranked = ranked.unionByName(
-            move.select("mailbox", "uid_validity", "last_uid", F.lit(rank).alias("_rank"))
+def advance_cursors(
+    cursors: DataFrame, resets: DataFrame | None = None, moves: DataFrame | None = None
+) -> DataFrame:
+    """The cursor table after a run: ``resets`` replace a cursor, ``moves`` only raise it.
+
+    A move counts inside the epoch of its mailbox's cursor, however late and in whatever order its
+    batch arrives; an epoch changes by a reset alone. A mailbox without a cursor starts at the
+    highest move of its newest epoch.
+    """
+    key = ["mailbox", "uid_validity", "last_uid"]
+    current = cursors.select(*key)
+    if resets is not None:
+        ranked = current.withColumn("_rank", F.lit(0)).unionByName(
+            resets.select(*key).withColumn("_rank", F.lit(1))
         )
-    newest = F.max(F.struct("_rank", "uid_validity", "last_uid"))
-    return (
-        ranked.groupBy("mailbox")
-        .agg(newest.alias("_c"))
-        .select("mailbox", "_c.uid_validity", "_c.last_uid")
+        current = _newest(ranked, "_rank", "uid_validity", "last_uid")
+    if moves is None:
+        return current
+    known = current.withColumnsRenamed({"uid_validity": "_epoch", "last_uid": "_uid"})
+    moved = moves.select(*key).join(known, "mailbox", "full")
+    raised = moved.where("_epoch is null or uid_validity = _epoch").select(
+        "mailbox", "uid_validity", F.greatest("last_uid", "_uid").alias("last_uid")
     )
+    return _newest(raised.unionByName(current), "uid_validity", "last_uid")
+
+
+def _newest(rows: DataFrame, *order: str) -> DataFrame:
+    """One cursor per mailbox, the greatest by ``order``."""
+    best = rows.groupBy("mailbox").agg(F.max(F.struct(*order)).alias("_c"))
+    return best.select("mailbox", "_c.uid_validity", "_c.last_uid")
 
 
 def known_keys(batch: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from mailframe import fixed
 from mailframe.functions.text import null_to_empty, trim_space
 
-# Up to this many entries the allowlist is part of the expression; above it, a joined table.
-MAX_INLINE_ENTRIES = 10_000
-
 
 def normalize_sender(c: Column | str) -> Column:
     return F.lower(trim_space(null_to_empty(c)))
@@ -32,12 +29,8 @@ def flag_scope(
     if allowlist is None:
         allowlist = []
     if isinstance(allowlist, list):
-        entries = sorted(set(split_allowlist(",".join(allowlist))))
-        if not entries:
-            return df.withColumn("in_scope", F.lit(True))
-        if len(entries) <= MAX_INLINE_ENTRIES:
-            return df.withColumn("in_scope", normalize_sender(sender).isin(entries))
-        allowlist = df.sparkSession.createDataFrame([(e,) for e in entries], "addr string")
+        entries = [(part,) for text in allowlist for part in text.split(",")]
+        allowlist = df.sparkSession.createDataFrame(entries, "addr string")
 
     entry = allowlist.columns[0]
     allowed = (

@@ -105,7 +105,7 @@ def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
     labels = adapters.table(spark, sf, "labels").withColumnRenamed("doc_id", "uid")
     ok = F.coalesce(F.col("quality"), F.lit(0)) == 1
     summary = F.struct(
-        F.when(ok, F.left("text", F.lit(200))).otherwise("could not summarize").alias("text"),
+        F.when(ok, F.col("text")).otherwise("could not summarize").alias("text"),
         F.when(ok, "fyi").alias("action"),
         F.when(ok & (F.col("toxic") == 0), "2024-03-01").when(ok, "").alias("deadline"),
         F.when(ok & (F.col("toxic") == 1), "heated").when(ok, "neutral").alias("tone"),
@@ -151,8 +151,7 @@ def _state(events: DataFrame) -> DataFrame:
 def new_since_cursor(spark: SparkSession, sf: str) -> DataFrame:
     events = adapters.event_log(spark, sf)
     cursors = stage(_cursors(events), "cursors")
-    listed = events.where(incremental.scan_bound(cursors))
-    new = incremental.new_since(listed, cursors, _state(events))
+    new = incremental.new_since(events, cursors, _state(events))
     return new.select("mailbox", "uid_validity", "uid")
 
 
@@ -429,7 +428,7 @@ def digest_text(spark: SparkSession, sf: str) -> DataFrame:
     messages = adapters.event_messages(spark, sf)
     windows = stage(_windows(messages), "windows")
     rows = stage(digest.assign_windows(messages, windows), "rows")
-    return digest.digest_text(windows, digest.digest_cards(rows, ZONE), ZONE, "EST", page_size=100)
+    return digest.digest_text(windows, digest.digest_cards(rows, ZONE), ZONE, page_size=100)
 
 
 def mark_digested(spark: SparkSession, sf: str) -> DataFrame:

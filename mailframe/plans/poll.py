@@ -19,13 +19,12 @@ from mailframe.operators.incremental import (
     batch_moves,
     insert_absent,
     new_since,
-    scan_bound,
     uids_are_unique,
 )
 from mailframe.operators.model import ClientFactory, build_prompt, pick_attempt, summarize
 from mailframe.operators.scope import batch_counts, flag_scope, route_outcome
 from mailframe.schemas import MESSAGE_KEY
-from mailframe.session import fits_broadcast, stage
+from mailframe.session import stage
 from mailframe.sources.corpus import parse_mail
 from mailframe.sources.tables import MailTables
 
@@ -109,16 +108,14 @@ def process_batch(
     )
     tables.append_messages(stored)
 
-    moves = [m for m in (resets, batch_moves(batch)) if m is not None]
-    tables.write_cursors(advance_cursors(cursors, *moves), tables.next_cursor_version())
+    moved = advance_cursors(cursors, resets, batch_moves(batch))
+    tables.write_cursors(moved, tables.next_cursor_version())
     return batch_counts(batch, stored)
 
 
-def archive_months(batch: DataFrame, most: int = 1000) -> list[str] | None:
-    """The archive months of a batch; None where its dates are too many to list."""
-    months = batch.select(archive_month("received_local").alias("m")).distinct().limit(most + 1)
-    found = [row.m for row in months.collect()]
-    return found if len(found) <= most else None
+def archive_months(batch: DataFrame) -> DataFrame:
+    """The archive months (``YYYY/MM``) of a batch, as a staged table of its own."""
+    return stage(batch.select(archive_month("received_local").alias("of")).distinct(), "months")
 
 
 def fresh_rows(batch: DataFrame, messages: DataFrame) -> DataFrame:
@@ -150,8 +147,7 @@ def poll(
     cursors = tables.cursors()
     started = stage(baseline(mailbox_state, cursors), "baseline")
     resets = started.where("initialized")
-    listed = raw.where(scan_bound(cursors))
-    new = new_since(listed, cursors, mailbox_state, fits_broadcast(cursors))
+    new = new_since(raw, cursors, mailbox_state)
     counts = process_batch(tables, new, settings, now, resets)
     flags = started.select("mailbox", "initialized")
     return flags.join(counts, "mailbox", "left").na.fill(0)

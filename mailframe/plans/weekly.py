@@ -40,7 +40,7 @@ def pending_rows(tables: MailTables, windows: DataFrame) -> DataFrame:
         months & (F.col("received_at") >= low) & (F.col("received_at") < high)
     )
     marks = completed_marks(tables.digest_items().where(months), tables.digests())
-    return assign_windows(messages, windows).join(marks, MESSAGE_KEY, "left_anti")
+    return assign_windows(messages, windows, as_of_run=False).join(marks, MESSAGE_KEY, "left_anti")
 
 
 def run_digest(
@@ -48,7 +48,6 @@ def run_digest(
     deliver: Callable[[DataFrame], None],
     end: datetime | None = None,
     zone: str = fixed.DEFAULT_ZONE,
-    zone_label: str = "",
     page_size: int = 1000,
 ) -> DataFrame:
     """Deliver the digest of every mailbox, then complete it; returns the ledger rows.
@@ -61,7 +60,7 @@ def run_digest(
         window_bounds(tables.cursors(), tables.digests(), end, zone), "digest-windows"
     )
     rows = stage(pending_rows(tables, windows), "digest-rows")
-    deliver(digest_text(windows, digest_cards(rows, zone), zone, zone_label or zone, page_size))
+    deliver(digest_text(windows, digest_cards(rows, zone), zone, page_size))
     ledger = stage(ledger_rows(windows, rows), "digest-ledger")
     tables.complete_digest(mark_digested(rows), ledger)
     return ledger

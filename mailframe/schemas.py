@@ -26,9 +26,6 @@ MAIL_PARTS = _struct(
     ("parse_error", _S),
 )
 
-SUMMARY = _struct(
-    ("text", _S), ("action", _S), ("deadline", _S), ("tone", _S), ("status", _S), ("err", _S)
-)
 ATTEMPT = _struct(("raw", _S), ("call_error", _S), ("latency_ms", _L))
 
 MESSAGES = _struct(

@@ -54,11 +54,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-# A table of short keys with this many rows takes some 100 MB on each executor.
-BROADCAST_ROWS = 1_000_000
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table of keys is small enough to broadcast, by counting no more than needed."""
-    return df.limit(rows + 1).count() <= rows

@@ -40,10 +40,14 @@ class MailTables:
     def messages(self) -> DataFrame:
         return self._read("messages", schemas.MESSAGES)
 
-    def archive(self, months: list[str] | None = None) -> DataFrame:
-        """The archive, or only the directories of some ``YYYY/MM``."""
+    def archive(self, months: DataFrame | None = None) -> DataFrame:
+        """The archive, or only the directories of a table of ``YYYY/MM`` in column ``of``."""
         rows = self._read("archive", schemas.ARCHIVE)
-        return rows if months is None else rows.where(F.concat_ws("/", "year", "month").isin(months))
+        if months is None:
+            return rows
+        parts = months.select(F.substring_index("of", "/", 1).alias("year"), F.substring_index("of", "/", -1).alias("month"))
+        # Both are folder columns: Spark prunes by the other side's values when it runs.
+        return rows.join(parts, ["year", "month"], "left_semi")
 
     def digest_items(self) -> DataFrame:
         return self._read("digest_items", schemas.DIGEST_ITEMS)

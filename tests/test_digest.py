@@ -99,12 +99,12 @@ def golden_rows(spark):
     five = timedelta(hours=5)
     start = datetime(2026, 6, 1, 8) + five
     rows = [
-        ("a", 1, 1, start + timedelta(hours=1), START, "Board", "board@example.test",
-         "Meeting <details>", "The board requests confirmation.", "reply", "2026-06-05", "heated",
-         True, "ok", "/data/archive/2026/06/one.eml"),
-        ("a", 1, 2, start + timedelta(hours=2), START, None, "other@example.test",
-         "Automated notice", "could not summarize - read original", None, None, None, False,
-         "error", "/data/archive/2026/06/two.eml"),
+        ("a", 1, 1, start + timedelta(hours=1), START, "Tea shop", "orders@tea.example",
+         "Your <green> tea", "The parcel waits at the counter.", "reply", "2026-06-07", "heated",
+         True, "ok", "/data/archive/2026/06/tea.eml"),
+        ("a", 1, 2, start + timedelta(hours=2), START, None, "bot@tea.example",
+         "Stock list", "could not summarize - read original", None, None, None, False,
+         "error", "/data/archive/2026/06/stock.eml"),
     ]
     windows = spark.createDataFrame(
         [("a", start, start + timedelta(days=7)), ("empty", start, start + timedelta(days=7))],
@@ -116,24 +116,24 @@ def golden_rows(spark):
 def test_text_document(spark):
     df, windows = golden_rows(spark)
     cards = dg.digest_cards(dg.assign_windows(df, windows), "-05:00")
-    pages = dg.digest_text(windows, cards, "-05:00", "EST").collect()
+    pages = dg.digest_text(windows, cards, "America/Panama").collect()
     text = {r.mailbox: r.text for r in pages}
     assert len(pages) == 2
     assert text["a"] == (
         "Weekly email digest\n"
         "Jun 1, 2026 08:00 EST to Jun 8, 2026 08:00 EST\n"
         "\n---\n"
-        "Jun 1, 2026 09:00 | Board <board@example.test>\n"
-        "Meeting <details>\n"
-        "The board requests confirmation.\n"
-        "Action: reply | Deadline: 2026-06-05 | Tone: heated\n"
-        "Original: /data/archive/2026/06/one.eml\n"
+        "Jun 1, 2026 09:00 | Tea shop <orders@tea.example>\n"
+        "Your <green> tea\n"
+        "The parcel waits at the counter.\n"
+        "Action: reply | Deadline: 2026-06-07 | Tone: heated\n"
+        "Original: /data/archive/2026/06/tea.eml\n"
         "\n---\n"
-        "Jun 1, 2026 10:00 | other@example.test\n"
-        "Automated notice\n"
+        "Jun 1, 2026 10:00 | bot@tea.example\n"
+        "Stock list\n"
         "could not summarize - read original\n"
         "Action: none | Tone: neutral | Summary error | Out of scope\n"
-        "Original: /data/archive/2026/06/two.eml\n"
+        "Original: /data/archive/2026/06/stock.eml\n"
     )
     assert text["empty"] == (
         "Weekly email digest\n"
@@ -163,9 +163,32 @@ def test_pages_join_to_the_document(spark, page_size):
         "mailbox string, window_start timestamp, window_end timestamp",
     )
     cards = dg.digest_cards(dg.assign_windows(spark.createDataFrame(rows, ROW), windows), "UTC")
-    pages = dg.digest_text(windows, cards, "UTC", "UTC", page_size).orderBy("page").collect()
+    pages = dg.digest_text(windows, cards, "UTC", page_size).orderBy("page").collect()
     text = "".join(p.text for p in pages)
     want = [f"/{r[2]}.eml" for r in sorted(rows, key=lambda r: (r[3], r[1], r[2]))]
     assert [line[10:] for line in text.split("\n") if line.startswith("Original: ")] == want
     assert [p.page for p in pages] == list(range(-(-40 // page_size)))
     assert text.startswith("Weekly email digest\nJun 1, 2026 00:00 UTC to Jun 8, 2026 00:00 UTC\n\n---\n")
+
+
+def test_zone_names_of_each_bound(spark):
+    windows = spark.createDataFrame(
+        [("a", datetime(2025, 3, 3, 13), datetime(2025, 3, 10, 12)),
+         ("b", datetime(2025, 10, 27, 12), datetime(2025, 11, 3, 13))],
+        "mailbox string, window_start timestamp, window_end timestamp",
+    )
+    df, _ = golden_rows(spark)
+    cards = dg.digest_cards(dg.assign_windows(df.limit(0), windows), "America/Toronto")
+    text = {r.mailbox: r.text for r in dg.digest_text(windows, cards, "America/Toronto").collect()}
+    assert "Mar 3, 2025 08:00 EST to Mar 10, 2025 08:00 EDT" in text["a"]
+    assert "Oct 27, 2025 08:00 EDT to Nov 3, 2025 08:00 EST" in text["b"]
+
+
+def test_mail_of_the_runs_own_second_is_in_its_digest(spark):
+    df, windows = golden_rows(spark)
+    now = windows.where("mailbox = 'a'").first().window_end
+    late = df.limit(1).withColumn("processed_at", F.lit(now).cast("timestamp"))
+    assert dg.assign_windows(late, windows).count() == 1
+    later = df.limit(1).withColumn("processed_at", F.lit(now + timedelta(seconds=9)).cast("timestamp"))
+    assert dg.assign_windows(later, windows).count() == 0
+    assert dg.assign_windows(later, windows, as_of_run=False).count() == 1

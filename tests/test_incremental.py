@@ -42,20 +42,32 @@ def test_new_since_cursor(spark):
     assert rows(inc.new_since(raw, cursors, state), "uid") == []
 
 
-def test_scan_bound_reaches_the_scan(spark, tmp_path):
+def test_lowest_cursor_bounds_the_scan(spark, tmp_path):
     path = str(tmp_path / "raw")
     spark.range(100).selectExpr(
         "if(id < 50, 'a', 'b') mailbox", "1L uid_validity", "id uid", "cast(cast(id as string) as binary) raw"
     ).write.parquet(path)
     raw = spark.read.parquet(path)
     cursors = spark.createDataFrame([("a", 1, 40), ("b", 1, 90)], schemas.CURSORS)
-    for most in (200, 1):
-        new = inc.new_since(raw.where(inc.scan_bound(cursors, most)), cursors)
-        assert rows(new, "uid") == [(u,) for u in [*range(41, 50), *range(91, 100)]]
-        plan = new._jdf.queryExecution().executedPlan().toString()
-        assert "GreaterThan(uid,40)" in plan
+    new = inc.new_since(raw, cursors)
+    assert rows(new, "uid") == [(u,) for u in [*range(41, 50), *range(91, 100)]]
+    assert "scalar-subquery" in new._jdf.queryExecution().optimizedPlan().toString()
     nothing = spark.createDataFrame([], schemas.CURSORS)
-    assert raw.where(inc.scan_bound(nothing)).count() == 0
+    assert inc.new_since(raw, nothing).count() == 0
+
+
+def test_late_moves_never_lower_a_cursor_or_its_epoch(spark):
+    cursors = spark.createDataFrame([("a", 8, 100), ("b", 8, 100)], schemas.CURSORS)
+    late = spark.createDataFrame(
+        [("a", 7, 5), ("b", 8, 60), ("c", 3, 4), ("c", 2, 9)], schemas.CURSORS
+    )
+    got = inc.advance_cursors(cursors, None, late)
+    want = [("a", 8, 100), ("b", 8, 100), ("c", 3, 4)]
+    assert rows(got, "mailbox", "uid_validity", "last_uid") == want
+    reset = spark.createDataFrame([("a", 9, 3)], schemas.CURSORS)
+    after = spark.createDataFrame([("a", 8, 200), ("a", 9, 7)], schemas.CURSORS)
+    got = inc.advance_cursors(cursors, reset, after)
+    assert rows(got, "mailbox", "uid_validity", "last_uid") == [("a", 9, 7), ("b", 8, 100)]
 
 
 def test_cursor_moves(spark):
@@ -106,11 +118,11 @@ def test_known_test_has_no_nested_loop(spark):
 
 def test_scope_flag_list_and_table(spark):
     df = spark.createDataFrame(
-        [(1, " Board@Condo.TLD "), (2, "x@y"), (3, None)], "i long, from_addr string"
+        [(1, " Desk@Lending.EXAMPLE "), (2, "x@y"), (3, None)], "i long, from_addr string"
     )
-    listed = scope.split_allowlist(" board@condo.tld , ,B@c.d")
-    assert listed == ["board@condo.tld", "b@c.d"]
-    table = spark.createDataFrame([("board@CONDO.tld ",), ("",), (None,)], "entry string")
+    listed = scope.split_allowlist(" desk@lending.example , ,B@c.d")
+    assert listed == ["desk@lending.example", "b@c.d"]
+    table = spark.createDataFrame([("desk@LENDING.example ",), ("",), (None,)], "entry string")
     blank = spark.createDataFrame([("",), ("  ",)], "entry string")
     for allow, want in (
         (listed, [True, False, False]), (table, [True, False, False]),

@@ -14,7 +14,7 @@ from mailframe.streaming.ingest import ingest_stream
 GOOD = '{"summary":"ok then","action_required":"reply","deadline":"2026-06-05","tone":"neutral"}'
 
 
-def mail(uid, message_id, sender="board@condo.tld", body="Bonjour", date="Tue, 2 Jun 2026 10:00:00 -0400",
+def mail(uid, message_id, sender="desk@lending.example", body="Bonjour", date="Tue, 2 Jun 2026 10:00:00 -0400",
          mailbox="a", validity=8):
     text = f"From: Board <{sender}>\nSubject: s{uid}\nDate: {date}\n"
     if message_id:
@@ -77,7 +77,7 @@ def state_of(spark, *rows):
 
 
 def test_polls_and_digest(spark, tables):
-    settings = PollSettings(scripted, allowlist=["BOARD@condo.tld"], zone="UTC")
+    settings = PollSettings(scripted, allowlist=["DESK@lending.example"], zone="UTC")
     now = datetime(2026, 6, 3)
     old = [mail(100, "old")]
     first = poll(tables, raw_of(spark, old), state_of(spark, ("a", 8, 101)), settings, now)
