@@ -29,6 +29,8 @@ BLOCK_ROWS = 64
 # The prior counts as much as one example of this similarity.
 PRIOR_WEIGHT = 0.3
 THRESHOLD = 0.5
+# Term sets whose votes a task remembers, at most.
+REMEMBERED = 20_000
 # ASCII signs separate words, A-Z are lowered, all other bytes stay.
 FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -108,7 +110,8 @@ class BlockMaxIndex:
             scores = np.zeros(BLOCK_ROWS)
             for term in terms:
                 a, b = self.starts[term][block], self.starts[term][block + 1]
-                scores[self.rows[term][a:b] - block * BLOCK_ROWS] += vector[term] * self.weights[term][a:b]
+                if a < b:
+                    scores[self.rows[term][a:b] - block * BLOCK_ROWS] += vector[term] * self.weights[term][a:b]
             at = np.flatnonzero(scores > 0)
             rows, found = np.concatenate([rows, at + block * BLOCK_ROWS]), np.concatenate([found, scores[at]])
             if len(found) > k:
@@ -185,14 +188,20 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids, votes, idf = model.value
+        seen: dict[tuple[int, ...], tuple[float, list[int]]] = {(): (prior, [])}
         for batch in batches:
             scores, evidence = [], []
-            for found in batch.column(2).to_pylist():
-                near, cosines = index.nearest(_unit(found, idf)) if found else ([], np.empty(0))
-                weights = cosines * votes[near] if len(near) else np.empty(0)
-                liked = (weights * index.labels[near]).sum() if len(near) else 0.0
-                scores.append(float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT)))
-                evidence.append(ids[near].tolist() if len(near) else [])
+            for found in map(tuple, batch.column(2).to_pylist()):
+                if found not in seen:
+                    if len(seen) > REMEMBERED:
+                        seen = {(): (prior, [])}
+                    near, cosines = index.nearest(_unit(list(found), idf))
+                    weights = cosines * votes[near]
+                    liked = (weights * index.labels[near]).sum()
+                    score = float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT))
+                    seen[found] = score, ids[near].tolist()
+                scores.append(seen[found][0])
+                evidence.append(seen[found][1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
