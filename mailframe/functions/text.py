@@ -53,7 +53,14 @@ def _replace_closed(c: Column, pattern: str, replacement: str, closer: str) -> C
 
 
 def _drop_scripts(c: Column) -> Column:
-    return _replace_closed(c, fixed.SCRIPT_OR_STYLE, " ", "</(?:script|style)>")
+    """Script and style elements become blanks.
+
+    An element that is never closed means that no later one is closed either. So each match starts
+    where the last one ended, passes over text without an opener, and the search ends at the first
+    opener that fails: every opener is looked at once.
+    """
+    plain = r"(?isu)\G([^<]*+(?:<(?!script|style)[^<]*+)*+)"
+    return _replace_if(c, c.contains("<"), plain + fixed.SCRIPT_OR_STYLE, "$1 ")
 
 
 def _break_blocks(c: Column) -> Column:

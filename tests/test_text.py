@@ -89,6 +89,26 @@ def test_strip_html_rules(spark):
     assert column_of(spark, list(cases), tx.strip_html("c")) == list(cases.values())
 
 
+def test_scripts_equal_plain_substitution(spark):
+    import re
+
+    rnd = random.Random(3)
+    bits = ["<script", "<style>", "<script a=1>", "</script>", "</STYLE>", ">", "<", "<b>", "x", "é🎉", "\n", "</script"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    want = [re.sub(r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ", t) for t in texts]
+    assert column_of(spark, texts, tx._drop_scripts(tx.F.col("c"))) == want
+
+
+def test_unclosed_openers_before_one_closer_stay_linear(spark):
+    import time
+
+    for opener in ("<script ", "<style>", "<p ", "<"):
+        text = opener * (1_000_000 // len(opener)) + "</script>"
+        start = time.perf_counter()
+        column_of(spark, [text], tx.strip_html("c"))
+        assert time.perf_counter() - start < 15
+
+
 def test_long_unclosed_markup_stays_linear(spark):
     hostile = ["<" * 300_000, "<p" * 150_000, "<script>" * 40_000, "a" + "\u00a0" * 200_000 + "b"]
     df = spark.createDataFrame([(i, "", h) for i, h in enumerate(hostile)], "i long, text string, html string")
