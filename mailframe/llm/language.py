@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_order, held_out
 
 ORDER = 3
-# Training documents per language: the bound of what is learned from.
+# Training documents per language, about: the bound of what is learned from.
 SAMPLE_ROWS = 1000
 # Contexts kept, of all orders; the most visited ones of any language.
 CONTEXTS = 8192
@@ -53,16 +53,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_counts(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(lang, gram, n) over a bounded sample per language of rows that are not held out.
 
-    Sampled are the rows of each language with the lowest hash of their id; rows are chosen on the
-    narrow columns and their texts read afterwards.
+    Sampled are the rows whose hash of the id falls into a share of all hashes that gives about
+    ``sample_rows`` rows of the language, so that no language meets in one task; rows are chosen on
+    the narrow columns and their texts read afterwards.
     """
     usable = documents.select("doc_id", "lang", "text").where(
         "doc_id is not null and lang is not null and text is not null"
     ).where(~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(hash_order(F.col("doc_id")), "doc_id")
-    chosen = (
-        usable.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_rows)
-    )
+    ids = usable.select("doc_id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    place = F.pmod(hash_order(F.col("doc_id")), F.lit(1 << 31)) / float(1 << 31)
+    chosen = ids.join(sizes, "lang").where(place < F.lit(float(sample_rows)) / F.col("of_lang"))
     texts = usable.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
     return texts.select("lang", "text").distinct().mapInArrow(_count_grams, "lang string, gram long, n long").groupBy(
         "lang", "gram"
