@@ -69,8 +69,10 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
         "c", F.coalesce("c", "node")
     )
-    # Only buckets of more than one component go on.
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    # Only buckets of more than one component go on; of two items, the one pair has been tested.
+    mixed = placed.groupBy("bucket").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")
+    ).where("low < high and size > 2")
     left = stage(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c"), "mixed-buckets")
     return components(links.unionByName(stage(across(left), "links")))
 
