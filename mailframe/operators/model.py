@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as CallTimeout
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,39 +56,39 @@ def build_prompt(
 def _attempt_runner(factory: ClientFactory) -> Callable[[Iterator], Iterator]:
     """A map over batches: one client per partition, every failure becomes a row."""
 
-    def one_call(pool, client, system, user, budget):
-        start = time.monotonic()
-        raw, error = None, None
+    def answer(client, system, user, budget, out):
         try:
-            if budget <= 0:
-                raise CallTimeout
-            raw = pool.submit(client, system, user, budget).result(timeout=budget)
-        except CallTimeout:
-            error = "time limit exceeded"
+            out.put((client(system, user, budget), None))
         except Exception as failure:  # noqa: BLE001 - any failure of the client is data
-            error = str(failure) or type(failure).__name__
+            out.put((None, str(failure) or type(failure).__name__))
+
+    def one_call(client, system, user, budget):
+        start = time.monotonic()
+        raw, error = None, "time limit exceeded"
+        if budget > 0:
+            # A late call keeps its thread, which does not keep the worker from ending.
+            out = SimpleQueue()
+            Thread(target=answer, args=(client, system, user, budget, out), daemon=True).start()
+            try:
+                raw, error = out.get(timeout=budget)
+            except Empty:
+                pass
         return raw, error, int((time.monotonic() - start) * 1000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
-        pool = ThreadPoolExecutor(max_workers=1)
         for batch in batches:
-            results = []
-            for system, user, budget in zip(
-                batch["system_prompt"], batch["user_prompt"], batch["budget_s"]
-            ):
-                result = one_call(pool, client, system, user, budget)
-                if result[1] == "time limit exceeded":
-                    # The late call keeps its thread; the next message gets a new one.
-                    pool.shutdown(wait=False, cancel_futures=True)
-                    pool = ThreadPoolExecutor(max_workers=1)
-                results.append(result)
+            results = [
+                one_call(client, system, user, budget)
+                for system, user, budget in zip(
+                    batch["system_prompt"], batch["user_prompt"], batch["budget_s"]
+                )
+            ]
             out = batch.drop(columns=["system_prompt", "user_prompt", "budget_s"])
             out["raw"], out["call_error"], out["latency_ms"] = (
                 [r[i] for r in results] for i in range(3)
             )
             yield out
-        pool.shutdown(wait=False)
 
     return run
 

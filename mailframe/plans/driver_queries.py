@@ -485,6 +485,17 @@ def mail_parse(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def mail_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Attachments, HTML only, encoded words, unreadable dates, no mail, alternatives."""
+    parsed = parse_mail(adapters.mail_shapes(spark, sf))
+    return parsed.select(
+        "uid", "from_name", "from_addr", "subject", "body_text",
+        F.coalesce("has_attachment", F.lit(False)).alias("has_attachment"),
+        F.col("parse_error").isNotNull().alias("unread"), "sent_local",
+        F.col("sent_at").cast("timestamp_ntz").alias("sent_at"),
+    )
+
+
 def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as .txt files, found and read by the corpus scan."""
     path = work_dir(spark, "corpus")
@@ -529,8 +540,8 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     tables = MailTables(spark, work_dir(spark, "store"))
     incoming, checkpoint = work_dir(spark, "incoming"), work_dir(spark, "checkpoint")
     raw = adapters.raw_documents(spark, sf)
-    # The first delivery ends at the median uid of the table.
-    middle = raw.agg(F.median("uid").cast("bigint")).scalar()
+    # The first delivery ends in the middle of the uids.
+    middle = raw.agg(F.expr("max(uid) div 2")).scalar()
     for part in (raw.where(F.col("uid") <= middle), raw):
         part.write.mode("append").parquet(incoming)
         source = spark.readStream.schema(RAW_MAIL).parquet(incoming)
@@ -560,7 +571,7 @@ QUERIES: dict[str, Query] = {
         validate_reply, pick_attempt, model_attempts, lint_summary, run_report, records_json,
         archive_paths, archive_sink, week_start, digest_windows, window_bounds, last_digest,
         pending_digest, digest_cards, digest_assignment, digest_sizes, digest_text, mark_digested,
-        digest_ledger, mail_parse, corpus_scan, poll_run, stream_ingest,
+        digest_ledger, mail_parse, mail_shapes, corpus_scan, poll_run, stream_ingest,
         stream_backlog,
     )
 }

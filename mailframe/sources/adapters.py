@@ -98,6 +98,52 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mail_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as mail of six shapes, by uid: see ``kind`` for each.
+
+    0 an attachment, 1 HTML only, 2 encoded words, 3 an unreadable date, 4 no mail at all, 5 plain
+    and HTML alternatives.
+    """
+    kind = F.col("uid") % 6
+    text = F.coalesce("text", F.lit(""))
+    html = F.concat(
+        F.lit("<style>p{color:red}</style><p>"), F.md5(text), F.lit(" &amp; "), "lang", F.lit("</p>")
+    )
+    title = F.concat(F.lit("note é "), F.col("uid").cast("string"))
+    subject = F.when(
+        kind == 2, F.concat(F.lit("=?utf-8?b?"), F.base64(title.cast("binary")), F.lit("?="))
+    ).otherwise(title)
+    date = F.when(kind == 3, "some day in spring").otherwise("Tue, 2 Jul 2024 09:15:00 +0200")
+    typed = "Content-Type: {}; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    # The boundary is one that no text holds.
+    cut = F.concat(F.lit("part-"), F.sha2(text, 256))
+
+    def parts(family: str, second: Column) -> Column:
+        return F.concat(
+            F.lit(f"Content-Type: multipart/{family}; boundary=\""), cut, F.lit("\"\n\n--"), cut,
+            F.lit("\n" + typed.format("text/plain")), text, F.lit("\n\n--"), cut, F.lit("\n"), second,
+            F.lit("\n--"), cut, F.lit("--\n"),
+        )
+
+    file = F.lit(
+        "Content-Type: application/pdf\nContent-Disposition: attachment; filename=\"n.pdf\"\n"
+        "Content-Transfer-Encoding: base64\n\nJVBERi0xLjQK\n"
+    )
+    page = F.concat(F.lit(typed.format("text/html")), html)
+    body = (
+        F.when(kind == 0, parts("mixed", file))
+        .when(kind == 1, page)
+        .when(kind == 5, parts("alternative", page))
+        .otherwise(F.concat(F.lit(typed.format("text/plain")), text))
+    )
+    mail = F.concat(
+        F.lit("From: "), "source", F.lit(" Desk <"), "source", F.lit("@example.test>\nSubject: "),
+        subject, F.lit("\nDate: "), date, F.lit("\nMIME-Version: 1.0\n"), body,
+    )
+    raw = F.when(kind == 4, F.concat(F.lit("\n"), text)).otherwise(mail)
+    return document_batch(spark, sf_dir).select("uid", raw.cast("binary").alias("raw"))
+
+
 def reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as replies: new text, a header, the quoted turn before, a signature."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
