@@ -360,6 +360,28 @@ def test_line_groups_equal_brute_force(spark):
         assert kept.get(i) == (None if gone else left)
 
 
+def test_similar_lines_of_every_length_meet(spark):
+    """Lines of 4 to 100 words with as many edits as LEAST allows: each second line goes, each first one stays."""
+    rnd = random.Random(8)
+    word = lambda: "the" if rnd.random() < 0.2 else f"w{rnd.randint(0, 10**9)}"
+    rows, want = [], {}
+    for i in range(600):
+        size = rnd.choice([4, 5, 9, 10, 12, 14, 20, 27, 30, 31, 50, 80, 100])
+        line = [word() for _ in range(size)]
+        edited, kind = list(line), rnd.randrange(3)
+        edits = size // 5 if kind < 2 else max(k for k in range(size) if k <= (size + k) // 5)
+        for at in rnd.sample(range(size), edits) if kind == 0 else []:
+            edited[at] = word()
+        for _ in range(edits if kind else 0):
+            at = rnd.randrange(len(edited))
+            edited[at : at + (kind == 1)] = [] if kind == 1 else [word()]
+        rows.append((i, " ".join(line) + "\n" + " ".join(edited)))
+        want[i] = [1]
+        assert line_dedup.similar(*rows[-1][1].split("\n"))
+    got = {r.doc_id: r.dropped for r in line_dedup.drop_lists(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_lines_of_odd_rows(odd, none):
     rows = {r.doc_id: r.dropped for r in line_dedup.drop_lists(odd).collect()}
     assert rows[6] == [1, 3] and rows[2] == [0] and rows[4] == []
