@@ -154,6 +154,17 @@ def test_field_finds_what_patterns_miss_and_decodes_like_brute_force(spark):
         assert field.decode(scores) == tags
 
 
+def test_field_learns_from_rare_secrets(spark):
+    """More clean documents than the sample takes do not switch the field off."""
+    rnd = random.Random(6)
+    key = lambda: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24)) + "7"
+    rows = [(i, f"some words and call 555-{rnd.randint(10**8, 10**9)} now") for i in range(400)]
+    rows += [(1000 + i, f"some words token = '{key()}' and call 555-{rnd.randint(10**8, 10**9)} now") for i in range(3)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.learn(documents, rows=8, runs=40) is not None
+    assert secret_scan.learn(documents.where("doc_id < 1000"), rows=8, runs=40) is None
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secret_scan.find_secrets(odd).collect()
     empty = hashlib.sha256(b"").hexdigest()
