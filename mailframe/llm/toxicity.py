@@ -1,14 +1,16 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact cosine of weighted TF-IDF vectors.
 
-Terms are words and word beginnings (inflected forms share a beginning). The vocabulary holds the
-terms that a likelihood ratio ties to toxic examples of a bounded labelled sample; their document
-frequencies are counted over all documents. Examples lie in an inverted index whose postings are cut
+Terms are words and word beginnings (inflected forms share a beginning). The vocabulary holds all terms
+that two examples of a bounded labelled sample have, toxic or not; their document frequencies are
+counted over all documents. A term weighs its frequency in the text, times its inverse document
+frequency, times the root of the likelihood ratio that ties it to either class. Examples lie in an inverted index whose postings are cut
 into blocks of examples, each term knowing its largest weight in a block. A document scores blocks
 in the order of their upper bounds until no other block can hold a nearer example.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,42 +21,47 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import held_out, labelled_sample
 
-# Labelled documents of each class that are learned from, at most; terms of the vocabulary, at most.
+# Labelled documents of each class that are learned from, at most; of these, a term is in so many at least.
 PER_CLASS = 4000
-TERMS = 2048
-LEAST_RATIO = 25.0
+LEAST_EXAMPLES = 2
 BEGINNINGS = (4, 5, 6)
+EXAMPLE = "doc_id long, label int, terms array<int>, counts array<int>"
 NEIGHBOURS = 15
 BLOCK_ROWS = 64
+# Blocks that a search scores first; it goes on with twice as many each time.
+FIRST_BLOCKS = 8
 # The prior counts as much as one example of this similarity.
 PRIOR_WEIGHT = 0.3
 THRESHOLD = 0.5
-# Term sets whose votes a task remembers, at most.
+# Texts' terms whose votes a task remembers, at most.
 REMEMBERED = 20_000
 # ASCII signs separate words, A-Z are lowered, all other bytes stay.
 FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def terms_of(text: str) -> set[bytes]:
-    """Words of a text and their beginnings, marked by a final star."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
-    found = set(words)
+def term_counts(text: str) -> dict[bytes, int]:
+    """How often a text has its words and their beginnings, these marked by a final star."""
+    words = Counter(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
+    found = dict(words)
     for length in BEGINNINGS:
-        found.update([w[:length] + b"*" for w in words if len(w) >= length])
+        for word, n in words.items():
+            if len(word) >= length:
+                start = word[:length] + b"*"
+                found[start] = found.get(start, 0) + n
     return found
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(terms_of(text))
+            found = sorted(term_counts(text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["label", "term"]
             )
 
 
-def vocabulary(sample: DataFrame, sizes: dict[int, int], most: int = TERMS) -> list[bytes]:
-    """Terms more frequent in toxic examples, by the log-likelihood ratio of their document counts."""
+def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> tuple[list[bytes], np.ndarray]:
+    """Terms of LEAST_EXAMPLES examples, and the log-likelihood ratio of their document counts in the classes."""
     counts = sample.select("label", "text").mapInArrow(_term_rows, "label int, term binary").groupBy("term").agg(
         F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")
     )
@@ -68,75 +75,89 @@ def vocabulary(sample: DataFrame, sizes: dict[int, int], most: int = TERMS) -> l
         part(F.col("a"), n1 * share) + part(n1 - F.col("a"), n1 * (1 - share))
         + part(F.col("b"), n0 * share) + part(n0 - F.col("b"), n0 * (1 - share))
     )
-    rows = (
-        counts.where(F.col("a") / n1 > 2 * F.col("b") / n0).withColumn("ratio", ratio)
-        .where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.col("ratio").desc(), "term").limit(most).collect()
-    )
-    return [bytes(r["term"]) for r in rows]
+    rows = counts.where(F.col("a") + F.col("b") >= LEAST_EXAMPLES).select("term", ratio.alias("ratio")).orderBy("term").toArrow()
+    return rows["term"].to_pylist(), np.maximum(rows["ratio"].to_numpy(), 0.0)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+# Terms and their weights, as a mapping or as two arrays.
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+
+
+def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+    if not isinstance(vector, dict):
+        return vector
+    return np.fromiter(vector, np.int32, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples as postings in blocks, with the largest weight of each block."""
+    """Unit vectors of examples as postings by term and block, with the largest weight of each such list."""
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], n_terms: int):
+    def __init__(self, vectors: list[Vector], labels: list[int], n_terms: int):
         self.labels = np.array(labels, np.float64)
         self.n_blocks = -(-max(len(vectors), 1) // BLOCK_ROWS)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for row, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings[term].append((row, weight))
-        self.rows = [np.array([r for r, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p], np.float64) for p in postings]
-        edges = np.arange(self.n_blocks + 1) * BLOCK_ROWS
-        self.starts = [np.searchsorted(rows, edges) for rows in self.rows]
-        self.most = np.zeros((n_terms, self.n_blocks))
-        for term, rows in enumerate(self.rows):
-            np.maximum.at(self.most[term], rows // BLOCK_ROWS, self.weights[term])
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [_arrays(v) for v in vectors]
+        none = [(np.empty(0, np.int32), np.empty(0))]
+        rows = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(t) for t, _ in pairs])
+        terms, weights = (np.concatenate([p[i] for p in pairs or none]) for i in (0, 1))
+        order = np.lexsort((rows, terms))
+        self.rows, self.weights = rows[order], weights[order]
+        lists = terms[order].astype(np.int64) * self.n_blocks + self.rows // BLOCK_ROWS
+        first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.empty(0, np.int64)
+        self.starts = np.r_[first, len(lists)]
+        self.blocks = lists[first] % self.n_blocks
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1))
+
+    def nearest(self, vector: Vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples of positive cosine, all weights exact.
 
         Blocks are scored by falling upper bound; the search ends when the bound of the next block
-        is no higher than the k-th cosine found. Equal cosines stay in the order of that search.
+        is no higher than the k-th cosine found. Equal cosines stay in the order of the examples.
         """
-        terms = list(vector)
-        bounds = np.array([vector[t] for t in terms]) @ self.most[terms]
+        terms, weights = _arrays(vector)
+        a, b = self.of_term[terms], self.of_term[terms + 1]
+        lists, weights = _ranges(a, b), np.repeat(weights, b - a)
+        bounds = np.bincount(self.blocks[lists], weights * self.most[lists], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        rows, found, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in order:
-            if bounds[block] <= least + 1e-12:
-                break
-            scores = np.zeros(BLOCK_ROWS)
-            for term in terms:
-                a, b = self.starts[term][block], self.starts[term][block + 1]
-                if a < b:
-                    scores[self.rows[term][a:b] - block * BLOCK_ROWS] += vector[term] * self.weights[term][a:b]
-            at = np.flatnonzero(scores > 0)
-            rows, found = np.concatenate([rows, at + block * BLOCK_ROWS]), np.concatenate([found, scores[at]])
-            if len(found) > k:
-                best = np.argsort(-found, kind="stable")[:k]
-                rows, found = rows[best], found[best]
-            if len(found) == k:
-                least = found.min()
-        best = np.argsort(-found, kind="stable")
-        return rows[best], found[best]
-
-
-def _unit(terms: list[int], idf: np.ndarray) -> dict[int, float]:
-    """Terms are present or not; weights are their document frequencies, at length 1."""
-    weights = idf[terms]
-    return dict(zip(terms, (weights / np.sqrt((weights * weights).sum())).tolist(), strict=True)) if terms else {}
+        rank = np.empty(self.n_blocks, np.int64)
+        rank[order] = np.arange(self.n_blocks)
+        rank = rank[self.blocks[lists]]
+        rows, found, start, step = np.empty(0, np.int64), np.empty(0), 0, FIRST_BLOCKS
+        while start < self.n_blocks and not (len(found) == k and bounds[order[start]] <= found[-1] + 1e-12):
+            met = (rank >= start) & (rank < start + step)
+            a, b = self.starts[lists[met]], self.starts[lists[met] + 1]
+            at = _ranges(a, b)
+            scores = np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[met], b - a))
+            new = np.flatnonzero(scores > 0)
+            rows, found = np.concatenate([rows, new]), np.concatenate([found, scores[new]])
+            best = np.lexsort((rows, -found))[:k]
+            rows, found = rows[best], found[best]
+            start, step = start + step, 2 * step
+        return rows, found
+
+
+def _unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by frequency in the text and ``weight`` of the terms, at length 1; those of weight 0 are left out."""
+    found = counts * weight[terms]
+    some = found > 0
+    found = found[some]
+    return terms[some].astype(np.int32), found / np.sqrt((found * found).sum()) if len(found) else found
 
 
 def score_toxicity(
-    documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_terms: int = TERMS
+    documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence.
 
     Only labels of rows that are not held out are learned; a score depends on the text alone: the
     votes of the nearest examples, weighted by cosine and by how many rows an example stands for,
-    with the share of toxic rows among those without any term as prior. Texts without a term, empty
+    with the share of toxic examples among those without any term as prior. Texts without a term, empty
     or null, get that prior. Without labels every score is 0. ``evidence`` lists the ids of the
     nearest examples. Repeated rows are scored each; no rows give none.
     """
@@ -146,62 +167,70 @@ def score_toxicity(
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     sizes = {c: sizes.get(c, 0) for c in (0, 1)}
-    terms = vocabulary(sample, sizes, most_terms) if sizes[0] and sizes[1] else []
-    place = {term: i for i, term in enumerate(terms)}
-    of_vocabulary = frozenset(terms)
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Terms of the vocabulary in each whole text."""
-        for batch in batches:
-            found = [sorted(place[t] for t in of_vocabulary & terms_of(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "held_out", "terms"]
-            )
-
+    terms, ratios = vocabulary(sample, sizes) if sizes[0] and sizes[1] else ([], np.empty(0))
+    n_terms = len(terms)
+    words = spark.sparkContext.broadcast({term: i for i, term in enumerate(terms)})
+    del terms
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    # Ids and a few numbers of each document, so that texts are read once.
-    found = stage(texts.mapInArrow(hits, "doc_id long, held_out boolean, terms array<int>"), "toxic-terms")
-    n_docs = found.count()
-    frequency = {
-        r["term"]: r["n"]
-        for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-
-    # The examples: at most 2 * per_class short lists of numbers.
-    rows = sorted(
-        sample.select("doc_id", "label", "text").mapInArrow(_example_rows(place, of_vocabulary), "doc_id long, label int, terms array<int>").collect(),
-        key=lambda r: r["doc_id"],
-    )
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents have each term, and under -1 how many there are."""
+        place, seen, n = words.value, np.zeros(len(words.value) + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[_known(text, place)[0]] += 1
+                n += 1
+        seen[-1] = n
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(at == len(place), -1, at), pa.int64()), pa.array(seen[at], pa.int64())], names=["term", "n"]
+        )
+
+    counted = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(n_terms + 1, np.int64)
+    frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    weight = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1) * np.sqrt(ratios)
+
+    # The examples: at most 2 * per_class lists of numbers.
+    listed = sample.select("doc_id", "label", "text").mapInArrow(_example_rows(words), EXAMPLE).orderBy("doc_id").toArrow()
+    columns = (listed["doc_id"].to_pylist(), listed["label"].to_pylist(), _lists(listed["terms"]), _lists(listed["counts"]))
+    rows = [{"doc_id": i, "label": label, "vector": _unit(t, n, weight)} for i, label, t, n in zip(*columns, strict=True)]
+    del listed, columns
     stands_for = {c: max(totals.get(c, 0), sizes[c]) / max(sizes[c], 1) for c in (0, 1)}
-    bare = [stands_for[r["label"]] * np.array([1, r["label"]]) for r in rows if not r["terms"]]
+    bare = [stands_for[r["label"]] * np.array([1, r["label"]]) for r in rows if not len(r["vector"][0])]
     bare_all, bare_toxic = np.sum(bare, axis=0) if bare else (0.0, 0.0)
     prior = float(bare_toxic / bare_all) if bare_all else 0.0
-    examples = [r for r in rows if r["terms"]]
-    index = BlockMaxIndex([_unit(list(r["terms"]), idf) for r in examples], [r["label"] for r in examples], len(terms))
+    examples = [r for r in rows if len(r["vector"][0])]
+    index = BlockMaxIndex([r["vector"] for r in examples], [r["label"] for r in examples], n_terms)
     ids = np.array([r["doc_id"] for r in examples], np.int64)
     votes = np.array([stands_for[r["label"]] for r in examples])
-    model = spark.sparkContext.broadcast((index, ids, votes, idf))
+    model = spark.sparkContext.broadcast((index, ids, votes, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, votes, idf = model.value
-        seen: dict[tuple[int, ...], tuple[float, list[int]]] = {(): (prior, [])}
+        index, ids, votes, weight = model.value
+        seen: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
         for batch in batches:
             scores, evidence = [], []
-            for found in map(tuple, batch.column(2).to_pylist()):
-                if found not in seen:
+            for text in batch.column(2).to_pylist():
+                found, counts = _known(text, words.value)
+                key = found.tobytes(), counts.tobytes()
+                if key not in seen:
                     if len(seen) > REMEMBERED:
-                        seen = {(): (prior, [])}
-                    near, cosines = index.nearest(_unit(list(found), idf))
-                    weights = cosines * votes[near]
-                    liked = (weights * index.labels[near]).sum()
-                    score = float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT))
-                    seen[found] = score, ids[near].tolist()
-                scores.append(seen[found][0])
-                evidence.append(seen[found][1])
+                        seen.clear()
+                    vector = _unit(found, counts, weight)
+                    if len(vector[0]):
+                        near, cosines = index.nearest(vector)
+                        weights = cosines * votes[near]
+                        liked = (weights * index.labels[near]).sum()
+                        score = float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT))
+                        seen[key] = score, ids[near].tolist()
+                    else:
+                        seen[key] = prior, []
+                scores.append(seen[key][0])
+                evidence.append(seen[key][1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
@@ -210,15 +239,25 @@ def score_toxicity(
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
 
-    return found.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+
 
+def _known(text: str, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text that are in the vocabulary, in order, and how often it has them."""
+    found = sorted((place[t], n) for t, n in term_counts(text).items() if t in place)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
-def _example_rows(place: dict[bytes, int], of_vocabulary: frozenset[bytes]):
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(x.values) for x in column]
+
+
+def _example_rows(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(place[t] for t in of_vocabulary & terms_of(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"]
-            )
+            found = [_known(x, words.value) for x in batch.column(2).to_pylist()]
+            columns = [pa.array([f[i].tolist() for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "label", "terms", "counts"])
 
     return run

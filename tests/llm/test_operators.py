@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -187,6 +188,19 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+def test_rare_insults_and_clean_words_both_count(spark):
+    """Two examples teach a word, of either class; without one that the classes differ in, the prior stands."""
+    rows = [(i, f"insult{i // 2} plain words here", 1) for i in range(20)] + [(100 + i, f"kind{i // 2} plain words here", 0) for i in range(200)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    shown = {r[1] for r in rows if sum(q[1] == r[1] for q in rows) == 2}
+    asked = [(10_000 + i, text) for i, text in enumerate(sorted(shown))]
+    documents = spark.createDataFrame([r[:2] for r in rows] + asked, "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(documents, known).collect()}
+    for i, text in asked:
+        assert got[i].predicted == int(text.startswith("insult")) and got[i].evidence
+
+
 def test_classifiers_of_odd_rows(odd, none, labels, no_labels):
     for score in (quality.score_quality, toxicity.score_toxicity):
         for known in (labels, no_labels):
