@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secret_scan, topk, toxicity
+from . import alignment, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secret_scan, topk, toxicity, whitening
 from .common import table
 
 
@@ -53,6 +53,17 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.shifted_vectors(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_secrets": op2_secrets,
@@ -64,6 +75,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
