@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secret_scan, topk, toxicity, whitening
+from . import (
+    alignment, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secret_scan, substring, topk, toxicity, whitening,
+)
 from .common import table
 
 
@@ -60,6 +62,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.drop_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(whitening.shifted_vectors(table(spark, sf_dir, "embeddings")))
 
@@ -76,6 +83,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_token_alignment": op11_token_alignment,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_whitening": op13_whitening,
 }
 
