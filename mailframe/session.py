@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +49,37 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
+# With this on, the shuffle files of a query go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df``, drop the shuffles that it took, and read it back."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
+    return _write(df, work_dir(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function like ``stage`` whose tables are removed at the end of the block.
+
+    What the block returns must not read them any more: stage it with ``stage``.
+    """
+    root = work_dir(spark, name)
+    numbers = iter(range(1_000_000))
+    try:
+        yield lambda df, label: _write(df, f"{root}/{next(numbers)}-{label}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
