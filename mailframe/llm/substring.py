@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import scratch, stage
 
 WINDOW = 13
 # Texts of so many characters are laid end to end and recompressed at once; a longer one alone.
@@ -208,19 +208,19 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
     texts = texts.where("doc_id is not null and text is not null")
-    held = stage(texts.mapInArrow(_symbols(window), "doc_id long, version int, symbol long"), "window-symbols")
-    # One row per document and symbol, so a count above one is a second document.
-    shared = held.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
-    marked = held.join(shared, "symbol", "left_semi").groupBy("doc_id", "version")
-    marked = stage(marked.agg(F.collect_set("symbol").alias("symbols")), "shared-symbols")
-    windows = texts.join(marked, ["doc_id", "version"]).select("doc_id", "version", "text", "symbols")
-    windows = stage(
-        windows.mapInArrow(_shared_windows(window), "doc_id long, version int, start int, key long, check int"), "windows"
-    )
-    first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("first < last").select("key", "check", "first")
-    later = windows.join(first, ["key", "check"]).where("doc_id > first").groupBy("doc_id", "version")
-    return stage(later.agg(F.collect_set("start").alias("starts")), "repeats")
+    with scratch(documents.sparkSession, "substring") as keep:
+        held = keep(texts.mapInArrow(_symbols(window), "doc_id long, version int, symbol long"), "symbols")
+        # One row per document and symbol, so a count above one is a second document.
+        shared = held.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
+        marked = held.join(shared, "symbol", "left_semi").groupBy("doc_id", "version")
+        marked = keep(marked.agg(F.collect_set("symbol").alias("symbols")), "shared")
+        windows = texts.join(marked, ["doc_id", "version"]).select("doc_id", "version", "text", "symbols")
+        shape = "doc_id long, version int, start int, key long, check int"
+        windows = keep(windows.mapInArrow(_shared_windows(window), shape), "windows")
+        first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        first = first.where("first < last").select("key", "check", "first")
+        later = windows.join(first, ["key", "check"]).where("doc_id > first").groupBy("doc_id", "version")
+        return stage(later.agg(F.collect_set("start").alias("starts")), "repeats")
 
 
 def drop_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
