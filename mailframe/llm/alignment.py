@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .bpe import byte_letters
+from .common import blocks
 
-CACHED_STRETCHES = 400_000
+# Texts of so many characters are aligned at once; a longer one alone.
+BLOCK = 1_000_000
+CACHED_STRETCHES = 250_000
 CACHED_LETTERS = 20_000_000
 # New stretches that are encoded as one text.
 ROW_STRETCHES = 2_000
@@ -257,15 +260,16 @@ def _align_rows(path_a: str, path_b: str):
         names = [column.split()[0] for column in ALIGNED.split(", ")]
         types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string(), *[pa.list_(pa.int64())] * 2]
         for batch in batches:
-            out = []
-            found = aligner.align(batch.column(1).to_pylist())
-            for doc_id, (*sizes, shown, keys, times) in zip(batch.column(0).to_pylist(), found, strict=True):
-                for start in range(0, max(len(keys), 1), ROW_PAIRS):
-                    part = slice(start, start + ROW_PAIRS)
-                    out.append((row, start // ROW_PAIRS, doc_id, *sizes, shown, keys[part], times[part]))
-                row += 1
-            columns = zip(*out, strict=True) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for block in blocks(texts, BLOCK):
+                out = []
+                for doc_id, (*sizes, shown, keys, times) in zip(ids[block], aligner.align(texts[block]), strict=True):
+                    for start in range(0, max(len(keys), 1), ROW_PAIRS):
+                        part = slice(start, start + ROW_PAIRS)
+                        out.append((row, start // ROW_PAIRS, doc_id, *sizes, shown, keys[part], times[part]))
+                    row += 1
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,18 @@ def fresh(base: str, taken: Iterable[str]) -> str:
     return base
 
 
+def blocks(texts: list[str | None], letters: int) -> Iterator[slice]:
+    """Consecutive texts of about so many characters together; a longer text is a block alone."""
+    start = size = 0
+    for row, text in enumerate(texts):
+        if row > start and size + len(text or "") > letters:
+            yield slice(start, row)
+            start, size = row, 0
+        size += len(text or "")
+    if texts:
+        yield slice(start, len(texts))
+
+
 def hash_order(*keys: Column) -> Column:
     """A reproducible pseudo-random order of keys."""
     return F.xxhash64(*keys)

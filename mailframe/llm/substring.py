@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch, stage
+from .common import blocks
 
 WINDOW = 13
 # Texts of so many characters are laid end to end and recompressed at once; a longer one alone.
@@ -130,16 +131,10 @@ def _windows(names: np.ndarray, wall: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Rows of a batch whose texts together fill a block: the first row, and their words."""
-    start, letters, words = 0, 0, []
-    for row, text in enumerate(batch.column(2).to_pylist()):
-        if words and letters + len(text) > BLOCK:
-            yield start, words
-            start, letters, words = row, 0, []
-        letters += len(text)
-        words.append(text.encode("utf-8", "surrogatepass").split())
-    if words:
-        yield start, words
+    """The words of the texts of a batch, block by block, with the number of a block's first row."""
+    texts = batch.column(2).to_pylist()
+    for block in blocks(texts, BLOCK):
+        yield block.start, [text.encode("utf-8", "surrogatepass").split() for text in texts[block]]
 
 
 def _symbols(window: int):
