@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailframe.session import stage
+from mailframe.session import scratch, stage
+
+Staging = Callable[[DataFrame, str], DataFrame]
 
 
 def _any_null(columns: list[str]) -> Column:
@@ -58,32 +61,96 @@ def _leads(mine: str) -> Column:
     return F.col(mine).isNull() | (F.col(mine) == F.col("_o"))
 
 
-def _matching_rounds(pairs: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, won: DataFrame) -> DataFrame:
+    """The rows that share no key with a kept one."""
+    return (
+        rows.join(won.select("_a"), "_a", "left_anti")
+        .join(won.select("_b"), "_b", "left_anti")
+        .select("_o", "_a", "_b")
+    )
+
+
+def _blockers(undecided: DataFrame) -> DataFrame:
+    """Every row with what is earlier in its groups: ``_to`` if that is one row, ``_many`` if more.
+
+    The two smallest orders of a key are aggregates that Spark combines before the shuffle; no
+    group is sorted. A row without either leads both of its groups.
+    """
+    rows = undecided
+    for key in ("_a", "_b"):
+        least, second = f"_m{key}", f"_s{key}"
+        rows = rows.join(_least(undecided, key, least), key, "left")
+        after = rows.where(F.col("_o") > F.col(least)).select("_o", key)
+        rows = rows.join(_least(after, key, second), key, "left")
+    ahead = {}
+    for key in ("_a", "_b"):
+        least, second = F.col(f"_m{key}"), F.col(f"_s{key}")
+        ahead[key] = F.when(F.col(key).isNull() | (F.col("_o") == least), 0).when(F.col("_o") == second, 1).otherwise(2)
+    several = ahead["_a"] + ahead["_b"] > 1
+    one = F.when(ahead["_a"] == 1, F.col("_m_a")).when(ahead["_b"] == 1, F.col("_m_b"))
+    return rows.select("_o", "_a", "_b", F.when(~several, one).alias("_to"), several.alias("_many"))
+
+
+def _jump(steps: DataFrame) -> DataFrame:
+    """Every row under way goes on by what the row that it has reached has gone."""
+    open_ = steps.where("_many is null")
+    further = steps.select(*(F.col(c).alias(f"_n{c}") for c in steps.columns))
+    moved = open_.join(further, F.col("_to") == F.col("_n_o")).select(
+        "_o", F.col("_n_to").alias("_to"), (F.col("_odd") != F.col("_n_odd")).alias("_odd"), F.col("_n_many").alias("_many")
+    )
+    return steps.where("_many is not null").unionByName(moved)
+
+
+def _follow(blocked: DataFrame, keep: Staging) -> DataFrame:
+    """Rows with one blocker, followed to the end of their path: (_o, _many, _odd).
+
+    Such a row is kept if its blocker is not, so that along a path of them the number of steps
+    decides. Every round doubles the steps of all rows twice (pointer jumping), and a row stops at the
+    first row that leads (``_many`` false) or has several blockers (true). Only rows under way are
+    joined: no two or more of them meet at one end, where all rows of a path would be one hot key.
+    """
+    ends = blocked.where("_to is null").select(F.col("_o").alias("_end"), F.col("_many").alias("_stop"))
+    steps = blocked.where("_to is not null").select("_o", "_to").join(ends, F.col("_to") == F.col("_end"), "left")
+    steps = keep(steps.select("_o", "_to", F.lit(True).alias("_odd"), F.col("_stop").alias("_many")), "steps")
+    while not steps.where("_many is null").isEmpty():
+        steps = keep(_jump(_jump(steps)), "steps")
+    return steps.select("_o", "_many", "_odd")
+
+
+def _matching_rounds(pairs: DataFrame, keep: Staging) -> DataFrame:
     """Orders of the rows that a sequential first-wins insert would keep.
 
-    Every round keeps the rows that come first in both of their groups and drops the undecided
-    rows that share a key with one of them, the kept ones included. The first row of all always
-    leads, so that rounds end; most rows are decided in the first ones. A round is one written
-    table, so that lost executors cost one round and plans stay short.
+    A first round keeps the rows that lead both of their groups and drops the undecided rows that
+    share a key with one of them; that decides most. What is left is decided by whole paths: rows
+    with a single blocker follow it to the path's end, in rounds that quadruple their steps. Only rows
+    with several blockers, and paths that end at one, wait for the next turn. Every round is one
+    written table, so that lost executors cost one round and plans stay short.
     """
     undecided = _pre_reduce(pairs)
-    kept = []
-    while True:
-        marked = stage(
-            undecided.join(_least(undecided, "_a", "_ma"), "_a", "left")
-            .join(_least(undecided, "_b", "_mb"), "_b", "left")
-            .select("_o", "_a", "_b", (_leads("_ma") & _leads("_mb")).alias("_won")),
-            "dedupe-round",
+    marked = keep(
+        undecided.join(_least(undecided, "_a", "_ma"), "_a", "left")
+        .join(_least(undecided, "_b", "_mb"), "_b", "left")
+        .select("_o", "_a", "_b", (_leads("_ma") & _leads("_mb")).alias("_won")),
+        "leaders",
+    )
+    won, rest = marked.where("_won"), marked.where("not _won")
+    kept = [won.select("_o")]
+    undecided = keep(_without(rest, won), "undecided")
+    while not undecided.isEmpty():
+        blocked = keep(_blockers(undecided), "blockers")
+        ended = _follow(blocked, keep).withColumnsRenamed({"_many": "_stopped"})
+        decided = keep(
+            blocked.join(ended, "_o", "left").select(
+                "_o", "_a", "_b",
+                F.when(F.col("_to").isNull(), ~F.col("_many")).otherwise(~F.col("_stopped") & ~F.col("_odd")).alias("_won"),
+                F.when(F.col("_to").isNull(), F.col("_many")).otherwise(F.col("_stopped")).alias("_waits"),
+            ),
+            "decided",
         )
-        won, rest = marked.where("_won"), marked.where("not _won")
+        won = decided.where("_won")
         kept.append(won.select("_o"))
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, kept)
-        undecided = (
-            rest.join(won.select("_a"), "_a", "left_anti")
-            .join(won.select("_b"), "_b", "left_anti")
-            .select("_o", "_a", "_b")
-        )
+        undecided = keep(_without(decided.where("_waits"), won), "undecided")
+    return reduce(DataFrame.unionByName, kept)
 
 
 def dedupe_two_keys(
@@ -112,6 +179,7 @@ def dedupe_two_keys(
     free = keyed.where("_a is null and _b is null")
     # Repeats of one (a, b) pair: a key once taken stays taken, so only the first can be kept.
     pairs = bound.groupBy("_a", "_b").agg(F.min("_o").alias("_o")).select("_o", "_a", "_b")
-    kept = _matching_rounds(pairs)
+    with scratch(df.sparkSession, "dedupe") as keep:
+        kept = stage(_matching_rounds(pairs, keep), "dedupe-kept")
     chosen = first_per_key(bound, ["_o"], ["_o"]).join(kept, "_o", "left_semi")
     return chosen.select(*columns).unionByName(free.select(*columns))

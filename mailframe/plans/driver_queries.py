@@ -206,6 +206,39 @@ def batch_dedupe_two_keys(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.dedupe_two_keys(rows, ["arrival"], ["sender_key"], ["message_id"])
 
 
+def dedupe_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Redelivered mail under ever new ids: each row shares one key with the row before it.
+
+    A small value breaks the chain, so that chains of many lengths, the longest in the hundreds or
+    thousands, decide their rows in turns.
+    """
+    n = F.col("uid")
+    linked = F.col("value") >= 0.1
+    rows = adapters.event_log(spark, sf).select(
+        n.alias("arrival"),
+        F.when(linked | (n % 2 == 1), F.expr("(uid + 1) div 2")).alias("uid_key"),
+        F.when(linked | (n % 2 == 0), F.expr("uid div 2")).alias("id_key"),
+    )
+    return dedupe.dedupe_two_keys(rows, ["arrival"], ["uid_key"], ["id_key"])
+
+
+def known_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch against a hundred times more stored mail, of which the index opens few files."""
+    tables = MailTables(spark, work_dir(spark, "store"))
+    message_id = F.concat_ws("-", "user_id", F.floor("value"))
+    logged = adapters.event_log(spark, sf).select("uid", message_id.alias("message_id"))
+    stored = _as_stored(adapters.event_messages(spark, sf).join(logged, "uid"))
+    for delivery in (0, 1):
+        tables.append_messages(stored.where(F.col("uid") % 2 == delivery))
+    batch = adapters.table(spark, sf, "supplier").select(
+        F.lit("click").alias("mailbox"),
+        F.lit(1).cast("bigint").alias("uid_validity"),
+        (F.col("s_suppkey") * 7).alias("uid"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.concat_ws("-", "s_nationkey", F.col("s_suppkey") % 100)).alias("message_id"),
+    )
+    return incremental.unknown_only(batch, tables.messages_like(batch)).select("uid", "message_id")
+
+
 # --- replies -----------------------------------------------------------------
 
 
@@ -437,18 +470,17 @@ def mark_digested(spark: SparkSession, sf: str) -> DataFrame:
     return marks.select("mailbox", "uid", "digest_id", "digested_at")
 
 
+def _as_stored(rows: DataFrame) -> DataFrame:
+    """Event messages in the shape of the message table; without an id unless they have one."""
+    instants = {c: F.col(c).cast("timestamp") for c in ("received_at", "processed_at")}
+    absent = {c: F.lit(None).cast("string") for c in ("message_id", "llm_error") if c not in rows.columns}
+    return rows.withColumns(instants | absent)
+
+
 def _stored_events(spark: SparkSession, sf: str) -> MailTables:
     """A store that holds the event log, with a cursor per mailbox."""
     tables = MailTables(spark, work_dir(spark, "store"))
-    rows = adapters.event_messages(spark, sf).withColumns(
-        {
-            "received_at": F.col("received_at").cast("timestamp"),
-            "processed_at": F.col("processed_at").cast("timestamp"),
-            "message_id": F.lit(None).cast("string"),
-            "llm_error": F.lit(None).cast("string"),
-        }
-    )
-    tables.append_messages(rows)
+    tables.append_messages(_as_stored(adapters.event_messages(spark, sf)))
     tables.write_cursors(incremental.batch_moves(tables.messages()), 0)
     return tables
 
@@ -567,7 +599,8 @@ QUERIES: dict[str, Query] = {
     for query in (
         html_to_text, strip_html, clean_reply, message_names, build_prompt, scope_flag,
         received_at, outcome_rows, outcome_counts, new_since_cursor, baseline_reset,
-        advance_cursors, known_filter, insert_absent, batch_dedupe, batch_dedupe_two_keys,
+        advance_cursors, known_filter, known_index, insert_absent, batch_dedupe, batch_dedupe_two_keys,
+        dedupe_chain,
         validate_reply, pick_attempt, model_attempts, lint_summary, run_report, records_json,
         archive_paths, archive_sink, week_start, digest_windows, window_bounds, last_digest,
         pending_digest, digest_cards, digest_assignment, digest_sizes, digest_text, mark_digested,

@@ -83,7 +83,9 @@ def process_batch(
     )
     tables.append_archive(new_archive_rows(paths, raw, archived))
 
-    fresh = stage(flag_scope(fresh_rows(batch, tables.messages()), settings.allowlist), "fresh")
+    asked = batch.select(*MESSAGE_KEY, empty_to_null("message_id").alias("message_id"))
+    known = stage(tables.messages_like(asked), "known")
+    fresh = stage(flag_scope(fresh_rows(batch, known), settings.allowlist), "fresh")
     # Catalyst does not move filters through a Python map: only these rows may reach the model.
     asked = fresh.where("parse_error is null and in_scope").withColumn(
         "from_display", format_address("from_name", "from_addr")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailframe import schemas
+from mailframe.session import stage
+from mailframe.sources.key_index import KeyIndex
 
 
 def received_month(c: str = "received_at") -> Column:
@@ -29,6 +31,10 @@ class MailTables:
     spark: SparkSession
     root: str
 
+    @property
+    def known(self) -> KeyIndex:
+        return KeyIndex(self.spark, f"{self.root}/known")
+
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -40,6 +46,27 @@ class MailTables:
     def messages(self) -> DataFrame:
         return self._read("messages", schemas.MESSAGES)
 
+    def messages_like(self, batch: DataFrame) -> DataFrame:
+        """(message key, message_id) of the stored messages that share a row key or an id with ``batch``.
+
+        The index names them, and the months to look in; it may name a message that a run died
+        before storing, so that they are looked up. The list of months is as long as the history
+        has months. A store without an index gives all messages.
+        """
+        keys = ["mailbox", "uid_validity", "uid"]
+        found = self.known.matching(batch)
+        stored = self.messages().select(*keys, "message_id", "received_month")
+        if found is None:
+            return stored.drop("received_month")
+        found = stage(found, "known-messages")
+        months = [r[0] for r in found.select("received_month").distinct().collect()]
+        # A message without a time is in a folder of its own.
+        of_months = F.col("received_month").isin([m for m in months if m is not None])
+        if None in months:
+            of_months |= F.col("received_month").isNull()
+        of_months = stored.where(of_months).drop("received_month")
+        return of_months.join(found.select(*keys).distinct(), keys, "left_semi")
+
     def archive(self, months: DataFrame | None = None) -> DataFrame:
         """The archive, or only the directories of a table of ``YYYY/MM`` in column ``of``."""
         rows = self._read("archive", schemas.ARCHIVE)
@@ -68,12 +95,18 @@ class MailTables:
         return 0 if newest is None else newest + 1
 
     def append_messages(self, rows: DataFrame) -> None:
-        """Append, partitioned by received month so that window bounds prune directories."""
-        rows.withColumn("received_month", received_month()).select(
-            *schemas.MESSAGES.names
-        ).write.mode("append").partitionBy(
-            "received_month"
-        ).parquet(f"{self.root}/messages")
+        """Append, partitioned by received month so that window bounds prune directories.
+
+        The keys go to the index first. Should the run die in between, the index names messages that
+        are not there, which lookups allow for.
+        """
+        rows = rows.withColumn("received_month", received_month()).select(*schemas.MESSAGES.names)
+        keys = [*schemas.MESSAGE_KEY, "message_id", "received_month"]
+        new = rows.select(*keys)
+        if not self.known.generations():
+            new = new.unionByName(self.messages().select(*keys))
+        self.known.add(new)
+        rows.write.mode("append").partitionBy("received_month").parquet(f"{self.root}/messages")
 
     def append_archive(self, rows: DataFrame) -> None:
         rows.select(*schemas.ARCHIVE.names).write.mode("append").partitionBy(

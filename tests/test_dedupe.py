@@ -1,6 +1,8 @@
 import random
+from contextlib import contextmanager
 
 import models
+from mailframe.operators import dedupe
 from mailframe.operators.dedupe import dedupe_two_keys, first_per_key
 
 
@@ -48,3 +50,48 @@ def test_group_limit_runs_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id as o", "cast(id % 7 as string) as b")
     plan = first_per_key(df, ["b"], ["o"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def count_tables(monkeypatch):
+    """Names of the tables that two-key dedupe writes from now on."""
+    written = []
+    real = dedupe.scratch
+
+    @contextmanager
+    def counted(spark, name):
+        with real(spark, name) as keep:
+            def note(df, label):
+                written.append(label)
+                return keep(df, label)
+
+            yield note
+
+    monkeypatch.setattr(dedupe, "scratch", counted)
+    return written
+
+
+def test_a_long_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    written = count_tables(monkeypatch)
+    chain = [(i, f"u{(i + 1) // 2}", f"m{i // 2}") for i in range(1000)]
+    assert kept(spark, chain) == [row for row in chain if row[0] % 2 == 0]
+    assert len(written) <= 12
+
+
+def test_chains_in_any_order_and_rings(spark):
+    rnd = random.Random(9)
+    rows, start = [], 0
+    for length in (1, 2, 3, 7, 40, 65):
+        orders = rnd.sample(range(start, start + length), length)
+        ring = length > 3 and length % 2 == 0
+        for i, order in enumerate(orders):
+            rows.append((order, f"u{start + (i + 1) // 2}", f"m{start + (i % (length if ring else 10**6)) // 2}"))
+        start += length
+    assert kept(spark, rows) == models.first_wins(rows)
+
+
+def test_hot_end_of_many_paths(spark):
+    # Many paths that all end at rows of one message id, and rows with several blockers.
+    rows = [(i, f"a{i}", "hot") for i in range(40)]
+    rows += [(100 + i, f"a{i}", f"b{i}") for i in range(40)] + [(200 + i, f"c{i}", f"b{i}") for i in range(40)]
+    rows += [(300 + i, f"c{i}", f"b{(i + 1) % 40}") for i in range(40)]
+    assert kept(spark, rows) == models.first_wins(rows)
