@@ -194,27 +194,40 @@ def _shared_windows(window: int):
     return run
 
 
-def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def _numbered(documents: DataFrame) -> DataFrame:
+    """(doc_id, version, text) of rows; the version tells rows that repeat an id apart by their texts."""
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    repeats = ids.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Mostly no id repeats, and rows of the later steps are shorter without a hash of the text.
+    version = F.lit(0) if repeats.isEmpty() else F.hash("text")
+    return ids.select("doc_id", version.alias("version"), "text")
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, version, starts): the windows of a document that a document of a smaller id holds too.
 
-    Starts count words from 0. ``version`` is a hash of the text, which tells apart rows that repeat
-    an id; such rows have no smaller id than each other. Rows without an id have no place in the order
-    and take no part. Documents without such a window have no row.
+    Takes (doc_id, version, text). Starts count words from 0. Rows that repeat an id have no smaller id
+    than each other. Rows without an id have no place in the order and take no part. Documents
+    without such a window have no row.
+
+    The tables that are looked up hold each name of the looked-up rows once, so that a task's share
+    of them is never larger than its share of the rows: they are hashed, and nothing is sorted.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")
-    texts = texts.where("doc_id is not null and text is not null")
-    with scratch(documents.sparkSession, "substring") as keep:
-        held = keep(texts.mapInArrow(_symbols(window), "doc_id long, version int, symbol long"), "symbols")
-        # One row per document and symbol, so a count above one is a second document.
-        shared = held.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
-        marked = held.join(shared, "symbol", "left_semi").groupBy("doc_id", "version")
-        marked = keep(marked.agg(F.collect_set("symbol").alias("symbols")), "shared")
-        windows = texts.join(marked, ["doc_id", "version"]).select("doc_id", "version", "text", "symbols")
+    texts = texts.where("doc_id is not null")
+    spark, document = texts.sparkSession, ["doc_id", "version"]
+    with scratch(spark, "substring") as keep:
+        with scratch(spark, "symbols") as keep_symbols:
+            held = keep_symbols(texts.mapInArrow(_symbols(window), "doc_id long, version int, symbol long"), "symbols")
+            # One row per document and symbol, so a count above one is a second document.
+            shared = held.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
+            marked = held.join(shared.hint("shuffle_hash"), "symbol", "left_semi").groupBy(*document)
+            marked = keep(marked.agg(F.collect_set("symbol").alias("symbols")), "shared")
+        windows = texts.join(marked.hint("shuffle_hash"), document).select(*document, "text", "symbols")
         shape = "doc_id long, version int, start int, key long, check int"
         windows = keep(windows.mapInArrow(_shared_windows(window), shape), "windows")
         first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        first = first.where("first < last").select("key", "check", "first")
-        later = windows.join(first, ["key", "check"]).where("doc_id > first").groupBy("doc_id", "version")
+        first = keep(first.where("first < last").select("key", "check", "first"), "first")
+        later = windows.join(first.hint("shuffle_hash"), ["key", "check"]).where("doc_id > first").groupBy(*document)
         return stage(later.agg(F.collect_set("start").alias("starts")), "repeats")
 
 
@@ -227,9 +240,7 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     whole. Of rows that repeat an id none counts as the earlier one; rows without an id lose
     nothing and cost no other row anything. No rows give none.
     """
-    texts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    texts = _numbered(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,6 +261,6 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    repeats = repeated_windows(documents, window)
-    rows = texts.join(repeats, ["doc_id", "version"], "left").select("doc_id", "text", "starts")
+    repeats = repeated_windows(texts, window)
+    rows = texts.join(repeats.hint("shuffle_hash"), ["doc_id", "version"], "left").select("doc_id", "text", "starts")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
