@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailframe.functions import replies, text, timing
 from mailframe.operators import archive, dedupe, digest, incremental, model, report, scope
+from mailframe.plans.corpus_run import summarize_corpus
 from mailframe.plans.poll import PollSettings, poll
 from mailframe.plans.weekly import run_digest
 from mailframe.schemas import RAW_MAIL
 from mailframe.session import stage, work_dir
 from mailframe.sources import adapters
 from mailframe.sources.corpus import parse_mail, scan_corpus
+from mailframe.sources.corpus_files import write_files
 from mailframe.sources.tables import MailTables, write_records
+from mailframe.streaming import digests
 from mailframe.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,8 +218,8 @@ def dedupe_chain(spark: SparkSession, sf: str) -> DataFrame:
     linked = F.col("value") >= 0.1
     rows = adapters.event_log(spark, sf).select(
         n.alias("arrival"),
-        F.when(linked | (n % 2 == 1), F.expr("(uid + 1) div 2")).alias("uid_key"),
-        F.when(linked | (n % 2 == 0), F.expr("uid div 2")).alias("id_key"),
+        F.when(linked | (n % 2 == 1), F.expr("concat('u', (uid + 1) div 2)")).alias("uid_key"),
+        F.when(linked | (n % 2 == 0), F.expr("concat('m', uid div 2)")).alias("id_key"),
     )
     return dedupe.dedupe_two_keys(rows, ["arrival"], ["uid_key"], ["id_key"])
 
@@ -268,37 +270,14 @@ def pick_attempt(spark: SparkSession, sf: str) -> DataFrame:
     return picked.select("uid", "model.*", "latency_ms", "retried")
 
 
-def stand_in_client() -> model.Client:
-    """A deterministic model: it reads the prompt as a real one would and answers by rule."""
-
-    def client(system: str, user: str, timeout: float) -> str:
-        body = user.split("\n\n", 1)[1]
-        strict = system.endswith("in French.") and "nothing else" in system
-        if "!" in body and not strict:
-            return "Sure!"
-        if len(body) % 10 == 0:
-            raise RuntimeError(f"refused {len(body)} characters")
-        digest_hex = hashlib.md5(body.encode()).hexdigest()
-        return json.dumps(
-            {
-                "summary": f"{len(body)} characters, {digest_hex}",
-                "action_required": "reply" if strict else "fyi",
-                "deadline": "2024-02-29" if strict else None,
-                "tone": "neutral",
-            }
-        )
-
-    return client
-
-
-def model_attempts(spark: SparkSession, sf: str) -> DataFrame:
+def model_attempts(spark: SparkSession, sf: str, factory: model.ClientFactory) -> DataFrame:
     docs = adapters.document_batch(spark, sf).select(
         "uid",
         F.col("source").alias("from_display"),
         F.lit("note").alias("subject"),
         F.col("text").alias("body_text"),
     )
-    answered = model.pick_attempt(model.summarize(docs, stand_in_client, ["uid"]))
+    answered = model.pick_attempt(model.summarize(docs, factory, ["uid"]))
     return answered.select("uid", "model.*", "retried")
 
 
@@ -543,6 +522,33 @@ def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def corpus_run(spark: SparkSession, sf: str, factory: model.ClientFactory) -> DataFrame:
+    """A folder of mail and text files, summarised and written in order, with the totals of the run."""
+    folder, out = work_dir(spark, "corpus"), work_dir(spark, "records")
+    write_files(adapters.corpus_files(spark, sf), folder)
+    totals = report.write_run(summarize_corpus(scan_corpus(spark, folder), factory), out)
+    shape = "path string, from_display string, subject string, parse_error string, status string, checks array<string>"
+    back = spark.read.schema(shape).json(out).select(
+        "*", "_metadata.file_name", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")
+    )
+    # The place of a record in the files as written, one after another.
+    files = back.groupBy("file_name").agg(F.count("*").alias("n"))
+    before = files.select("file_name", (F.sum("n").over(Window.orderBy("file_name")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("file_name").orderBy("at"))
+    shown = ("total", "ok", "error", "validation_warn")
+    return back.join(before, "file_name").select(
+        place.alias("place"),
+        F.substring_index("path", "/", -2).alias("name"),
+        "from_display",
+        "subject",
+        F.col("parse_error").isNotNull().alias("unread"),
+        "status",
+        F.size("checks").cast("bigint").alias("n_checks"),
+        *(F.lit(totals[c]).cast("bigint").alias(c) for c in shown),
+        F.lit(totals["has_warnings"]).alias("has_warnings"),
+    )
+
+
 def _messages_out(tables: MailTables) -> DataFrame:
     return tables.messages().select(
         "mailbox", "uid", "message_id", "from_name", "from_addr", "subject", "raw_path", "summary",
@@ -551,23 +557,23 @@ def _messages_out(tables: MailTables) -> DataFrame:
     )
 
 
-def _settings() -> PollSettings:
+def _settings(factory: model.ClientFactory) -> PollSettings:
     listed = [f"SRC{n}@example.test" for n in range(15)]
-    return PollSettings(stand_in_client, allowlist=listed, zone=ZONE, body_limit=0)
+    return PollSettings(factory, allowlist=listed, zone=ZONE, body_limit=0)
 
 
-def poll_run(spark: SparkSession, sf: str) -> DataFrame:
+def poll_run(spark: SparkSession, sf: str, factory: model.ClientFactory) -> DataFrame:
     """Documents as raw mail through a whole poll: all mailboxes have a cursor below the mail."""
     tables = MailTables(spark, work_dir(spark, "store"))
     raw = adapters.raw_documents(spark, sf)
     state = raw.groupBy("mailbox", "uid_validity").agg((F.max("uid") + 1).alias("uid_next"))
     start = raw.select("mailbox", "uid_validity", F.lit(-1).cast("bigint").alias("last_uid"))
     tables.write_cursors(start.distinct(), 0)
-    poll(tables, raw, state, _settings(), datetime(2024, 2, 1))
+    poll(tables, raw, state, _settings(factory), datetime(2024, 2, 1))
     return _messages_out(tables)
 
 
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+def stream_ingest(spark: SparkSession, sf: str, factory: model.ClientFactory) -> DataFrame:
     """The same mail as a stream that stops and resumes, the second part repeating the first."""
     tables = MailTables(spark, work_dir(spark, "store"))
     incoming, checkpoint = work_dir(spark, "incoming"), work_dir(spark, "checkpoint")
@@ -577,11 +583,11 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     for part in (raw.where(F.col("uid") <= middle), raw):
         part.write.mode("append").parquet(incoming)
         source = spark.readStream.schema(RAW_MAIL).parquet(incoming)
-        ingest_stream(source, tables, checkpoint, _settings()).awaitTermination()
+        ingest_stream(source, tables, checkpoint, _settings(factory)).awaitTermination()
     return _messages_out(tables)
 
 
-def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
+def stream_backlog(spark: SparkSession, sf: str, factory: model.ClientFactory) -> DataFrame:
     """A first start: each mailbox has a baseline, and the stream skips the mail below it."""
     tables = MailTables(spark, work_dir(spark, "store"))
     incoming, checkpoint = work_dir(spark, "incoming"), work_dir(spark, "checkpoint")
@@ -590,21 +596,41 @@ def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
     half = F.expr("max(uid) div 2").alias("last_uid")
     baselines = stage(raw.groupBy("mailbox", "uid_validity").agg(half), "baselines")
     source = spark.readStream.schema(RAW_MAIL).parquet(incoming)
-    ingest_stream(source, tables, checkpoint, _settings(), baselines).awaitTermination()
+    ingest_stream(source, tables, checkpoint, _settings(factory), baselines).awaitTermination()
     return _messages_out(tables)
 
 
-QUERIES: dict[str, Query] = {
-    query.__name__: query
-    for query in (
-        html_to_text, strip_html, clean_reply, message_names, build_prompt, scope_flag,
-        received_at, outcome_rows, outcome_counts, new_since_cursor, baseline_reset,
-        advance_cursors, known_filter, known_index, insert_absent, batch_dedupe, batch_dedupe_two_keys,
-        dedupe_chain,
-        validate_reply, pick_attempt, model_attempts, lint_summary, run_report, records_json,
-        archive_paths, archive_sink, week_start, digest_windows, window_bounds, last_digest,
-        pending_digest, digest_cards, digest_assignment, digest_sizes, digest_text, mark_digested,
-        digest_ledger, mail_parse, mail_shapes, corpus_scan, poll_run, stream_ingest,
-        stream_backlog,
-    )
-}
+def digest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows closed by the clock of the stream; mail is processed up to nine days after its date.
+
+    Three deliveries, each read by a run of the query of its own, overlap in processing time.
+    """
+    incoming, checkpoint, out = (work_dir(spark, name) for name in ("incoming", "checkpoint", "digests"))
+    messages = adapters.event_messages(spark, sf).select("mailbox", "uid_validity", "uid", "received_at", "processed_at")
+    last = messages.agg(F.max("uid")).scalar()
+    for delivery in range(3):
+        part = messages.where(F.floor(F.col("uid") * 3 / (last + 1)) == delivery)
+        part.write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(messages.schema).parquet(incoming)
+        digests.write_digests(digests.digest_stream(source, "10 days", ZONE), out, checkpoint).awaitTermination()
+    totals = digests.window_totals(spark.read.parquet(out))
+    bounds = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end"))
+    return totals.select("mailbox", *bounds, "email_count", "late_count")
+
+
+_QUERIES = (
+    html_to_text, strip_html, clean_reply, message_names, build_prompt, scope_flag, received_at,
+    outcome_rows, outcome_counts, new_since_cursor, baseline_reset, advance_cursors, known_filter,
+    known_index, insert_absent, batch_dedupe, batch_dedupe_two_keys, dedupe_chain, validate_reply,
+    pick_attempt, lint_summary, run_report, records_json, archive_paths, archive_sink, week_start,
+    digest_windows, window_bounds, last_digest, pending_digest, digest_cards, digest_assignment,
+    digest_sizes, digest_text, mark_digested, digest_ledger, mail_parse, mail_shapes, corpus_scan,
+    digest_stream,
+)
+_WITH_MODEL = (model_attempts, poll_run, corpus_run, stream_ingest, stream_backlog)
+
+
+def queries(factory: model.ClientFactory) -> dict[str, Query]:
+    """The registered queries by name; those that ask a model get clients of ``factory``."""
+    asking = {query.__name__: partial(query, factory=factory) for query in _WITH_MODEL}
+    return {query.__name__: query for query in _QUERIES} | asking

@@ -49,6 +49,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _location(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table or folder is there."""
+    system, where = _location(spark, path)
+    return system.exists(where)
+
+
 # With this on, the shuffle files of a query go when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -81,5 +93,5 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str
     try:
         yield lambda df, label: _write(df, f"{root}/{next(numbers)}-{label}")
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, where = _location(spark, root)
+        system.delete(where, True)

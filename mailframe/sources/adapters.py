@@ -144,6 +144,22 @@ def mail_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_batch(spark, sf_dir).select("uid", raw.cast("binary").alias("raw"))
 
 
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): documents as files of six kinds, by uid, in a folder per language.
+
+    Mail and text, names that begin with a dot or an underscore, extensions in capitals, empty
+    files, and one kind that a corpus does not read.
+    """
+    number = F.col("uid").cast("string")
+    names = [(".eml", ""), (".TXT", ""), (".txt", "_"), (".eml", "."), (".Eml", ""), (".md", "")]
+    name = F.coalesce(*(F.when(F.col("uid") % 6 == i, F.concat(F.lit(a), number, F.lit(z))) for i, (z, a) in enumerate(names)))
+    kind = F.col("uid") % 6
+    content = F.when(kind.isin(0, 3), F.col("raw")).when(kind != 4, F.coalesce("text", F.lit("")).cast("binary"))
+    texts = document_batch(spark, sf_dir).select("uid", "text")
+    rows = raw_documents(spark, sf_dir).join(texts, "uid")
+    return rows.select(F.concat(F.coalesce("mailbox", F.lit("none")), F.lit("/"), name).alias("name"), content.alias("content"))
+
+
 def reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as replies: new text, a header, the quoted turn before, a signature."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

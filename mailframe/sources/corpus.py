@@ -19,33 +19,22 @@ from pyspark.sql import types as T
 from mailframe import fixed
 from mailframe.functions.text import format_address, trim_id, trim_space, with_clean_body
 from mailframe.schemas import MAIL_PARTS
+from mailframe.sources.corpus_files import FORMAT, check_path, register
 
 _ENCODED_WORD = re.compile(r"=\?[^?\s]+\?[bqBQ]\?[^?]*\?=")
 _ZONE_AT_END = re.compile(r"(?:[+-]\d{4}|[A-Z]{3,4})\s*(?:\([^)]*\))?\s*$")
 
 
-def has_extension(path: Column | str) -> Column:
-    """Whether a path ends in one of the corpus extensions, in any letter case."""
-    names = "|".join(re.escape(e) for e in fixed.CORPUS_EXTENSIONS)
-    return F.lower(path).rlike(f"({names})\\z")
-
-
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """All .eml and .txt files below ``path`` (or ``path`` itself) as (path, content).
+    """All .eml and .txt files below ``path`` (or ``path`` itself) as (path, content, read_error).
 
-    Order by ``path`` where the output is shown; the scan itself needs none. Spark lists neither
-    empty files nor names that start with ``_`` or ``.``.
+    Empty files and names that start with ``_`` or ``.`` count too; extensions in any letter case.
+    Files come in partitions of about the same number of bytes, in the order of their paths. A file
+    that cannot be opened has ``read_error`` and no content.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
-    if re.search(r"\.[A-Za-z0-9]+$", path.rstrip("/")) and not re.search(
-        "(?i)({})$".format("|".join(re.escape(e) for e in fixed.CORPUS_EXTENSIONS)), path
-    ):
-        named = path.rstrip("/").rsplit("/", 1)[-1]
-        if files.where(F.col("path").endswith(f"/{named}")).limit(1).count():
-            raise ValueError(f"file must be .eml or .txt, got {named!r}")
-    return files.where(has_extension("path")).select("path", "content")
+    check_path(path)
+    register(spark)
+    return spark.read.format(FORMAT).load(path).select("path", "content", "read_error")
 
 
 def _header(message: Message, name: str) -> str:
@@ -176,15 +165,18 @@ def parse_mail(
 def parse_corpus(files: DataFrame, limit: int = fixed.BODY_CHAR_LIMIT) -> DataFrame:
     """Corpus files as records (path, from_display, subject, flags, body_text, parse_error).
 
-    Text files have neither headers nor limits; they never reach a Python worker.
+    Text files have neither headers nor limits; they never reach a Python worker. Files with a
+    ``read_error``, where the table has that column, are records of that error.
     """
+    record = ["path", "from_display", "subject", "has_attachment", "truncated", "body_text", "parse_error"]
+    if "read_error" not in files.columns:
+        files = files.withColumn("read_error", F.lit(None).cast("string"))
     is_text = F.lower("path").endswith(fixed.CORPUS_EXTENSIONS[1])
-    record = ["path", "from_display", "subject", "has_attachment", "truncated", "body_text",
-              "parse_error"]
-    mail = parse_mail(files.where(~is_text).select("path", "content"), "content", limit).withColumn(
+    unread = F.col("read_error").isNotNull()
+    mail = parse_mail(files.where(~is_text & ~unread).select("path", "content"), "content", limit).withColumn(
         "from_display", format_address("from_name", "from_addr")
     )
-    text = files.where(is_text).select(
+    text = files.where(is_text & ~unread).select(
         "path",
         F.lit(fixed.NO_HEADER).alias("from_display"),
         F.lit(fixed.NO_HEADER).alias("subject"),
@@ -193,4 +185,6 @@ def parse_corpus(files: DataFrame, limit: int = fixed.BODY_CHAR_LIMIT) -> DataFr
         trim_space(F.make_valid_utf8(F.col("content").cast("string"))).alias("body_text"),
         F.lit(None).cast("string").alias("parse_error"),
     )
-    return mail.select(*record).unionByName(text.select(*record))
+    absent = [F.lit(None).cast(mail.schema[c].dataType).alias(c) for c in record[1:-1]]
+    failed = files.where(unread).select("path", *absent, F.col("read_error").alias("parse_error"))
+    return mail.select(*record).unionByName(text.select(*record)).unionByName(failed)

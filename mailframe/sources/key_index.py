@@ -12,12 +12,11 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from mailframe.schemas import MESSAGE_KEY
-from mailframe.session import scratch, stage
+from mailframe.session import exists, scratch, stage
 
 # Fixed value: the bits of a bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32_768
@@ -69,12 +68,9 @@ class KeyIndex:
     buckets: int = 256
 
     def _versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{LIVE}, version long").parquet(f"{self.root}/live")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, f"{self.root}/live"):
             return self.spark.createDataFrame([], f"{LIVE}, version long")
+        return self.spark.read.schema(f"{LIVE}, version long").parquet(f"{self.root}/live")
 
     def generations(self) -> list[Row]:
         """The live generations, a handful of rows."""

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailframe import schemas
-from mailframe.session import stage
+from mailframe.session import exists, stage
 from mailframe.sources.key_index import KeyIndex
 
 
@@ -36,12 +35,9 @@ class MailTables:
         return KeyIndex(self.spark, f"{self.root}/known")
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def messages(self) -> DataFrame:
         return self._read("messages", schemas.MESSAGES)
