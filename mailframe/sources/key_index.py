@@ -59,13 +59,13 @@ def _block(blocks: Column) -> Column:
 class KeyIndex:
     """The index below ``root``. Entries may exceed the stored rows, never fall short of them.
 
-    ``buckets`` is fixed for an index; it bounds what a lookup brings to the driver. A generation is
-    live once the newest version of the list of generations names it.
+    ``buckets`` is fixed for an index: a hit opens one bucket, so choose it for the size that the
+    store will have. It also bounds what a lookup brings to the driver. A generation is live once the newest version of the list of generations names it.
     """
 
     spark: SparkSession
     root: str
-    buckets: int = 256
+    buckets: int = 64
 
     def _versions(self) -> DataFrame:
         if not exists(self.spark, f"{self.root}/live"):
@@ -91,7 +91,7 @@ class KeyIndex:
         files = max(1, -(-n // (self.buckets * KEYS_PER_FILE)))
         part = F.pmod(F.shiftright("hash", 40), F.lit(files))
         (
-            keys.repartition(self.buckets * files, "bucket", part)
+            keys.repartition("bucket", part)
             .sortWithinPartitions("bucket", "hash")
             .write.partitionBy("bucket")
             .parquet(f"{self.root}/{generation}/keys")

@@ -29,10 +29,11 @@ class MailTables:
 
     spark: SparkSession
     root: str
+    key_buckets: int = 64
 
     @property
     def known(self) -> KeyIndex:
-        return KeyIndex(self.spark, f"{self.root}/known")
+        return KeyIndex(self.spark, f"{self.root}/known", self.key_buckets)
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         if not exists(self.spark, f"{self.root}/{name}"):
