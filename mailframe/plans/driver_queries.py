@@ -417,8 +417,9 @@ def pending_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest_cards(spark: SparkSession, sf: str) -> DataFrame:
-    week = digest.pending(adapters.event_messages(spark, sf, *WEEK), _ntz(WEEK[0]), _ntz(WEEK[1]))
-    cards = digest.digest_cards(week, ZONE)
+    """A card for every message, with dates moved to both sides of a clock change in March."""
+    moved = F.col("received_at") + F.make_dt_interval(F.lit(50))
+    cards = digest.digest_cards(adapters.event_messages(spark, sf).withColumn("received_at", moved), ZONE)
     shown = [c for c in cards.columns if c.startswith(("card_", "is_"))]
     return cards.select("mailbox", "uid", *shown)
 

@@ -95,51 +95,51 @@ def test_chain_assignment_and_stranded_mail(spark):
     }
 
 
-def golden_rows(spark):
-    five = timedelta(hours=5)
-    start = datetime(2026, 6, 1, 8) + five
+def clock_change(spark):
+    """Three cards out of order in a window over the end of summer time, and a mailbox without mail."""
     rows = [
-        ("a", 1, 1, start + timedelta(hours=1), START, "Tea shop", "orders@tea.example",
-         "Your <green> tea", "The parcel waits at the counter.", "reply", "2026-06-07", "heated",
-         True, "ok", "/data/archive/2026/06/tea.eml"),
-        ("a", 1, 2, start + timedelta(hours=2), START, None, "bot@tea.example",
-         "Stock list", "could not summarize - read original", None, None, None, False,
-         "error", "/data/archive/2026/06/stock.eml"),
+        ("a", 3, 70, datetime(2025, 11, 3, 2, 15), datetime(2025, 11, 4), "Ferry", "piers@ferry.example", "Timetable",
+         "The late ferry is cancelled.", "fyi", None, "neutral", False, "ok", "a/70.eml"),
+        ("a", 3, 12, datetime(2025, 11, 2, 4, 5), datetime(2025, 11, 4), None, "gauge@river.example", None,
+         None, None, None, None, True, "error", "a/12.eml"),
+        ("a", 3, 44, datetime(2025, 10, 29, 20, 0), datetime(2025, 11, 4), "Ana & Co", None, "Roof: \"leak\"",
+         "Ana asks for a visit.", "action", "2025-11-20", "heated", False, "ok", "a/44.eml"),
     ]
     windows = spark.createDataFrame(
-        [("a", start, start + timedelta(days=7)), ("empty", start, start + timedelta(days=7))],
+        [(box, datetime(2025, 10, 29, 13, 45), datetime(2025, 11, 5, 14, 45)) for box in ("a", "b")],
         "mailbox string, window_start timestamp, window_end timestamp",
     )
     return spark.createDataFrame(rows, ROW), windows
 
 
 def test_text_document(spark):
-    df, windows = golden_rows(spark)
-    cards = dg.digest_cards(dg.assign_windows(df, windows), "-05:00")
-    pages = dg.digest_text(windows, cards, "America/Panama").collect()
+    df, windows = clock_change(spark)
+    cards = dg.digest_cards(dg.assign_windows(df, windows), "America/Toronto")
+    pages = dg.digest_text(windows, cards, "America/Toronto").collect()
     text = {r.mailbox: r.text for r in pages}
     assert len(pages) == 2
-    assert text["a"] == (
-        "Weekly email digest\n"
-        "Jun 1, 2026 08:00 EST to Jun 8, 2026 08:00 EST\n"
+    head = "Weekly email digest\nOct 29, 2025 09:45 EDT to Nov 5, 2025 09:45 EST\n"
+    assert text["a"] == head + (
         "\n---\n"
-        "Jun 1, 2026 09:00 | Tea shop <orders@tea.example>\n"
-        "Your <green> tea\n"
-        "The parcel waits at the counter.\n"
-        "Action: reply | Deadline: 2026-06-07 | Tone: heated\n"
-        "Original: /data/archive/2026/06/tea.eml\n"
+        "Oct 29, 2025 16:00 | Ana & Co <>\n"
+        "Roof: \"leak\"\n"
+        "Ana asks for a visit.\n"
+        "Action: action | Deadline: 2025-11-20 | Tone: heated | Out of scope\n"
+        "Original: a/44.eml\n"
         "\n---\n"
-        "Jun 1, 2026 10:00 | bot@tea.example\n"
-        "Stock list\n"
+        "Nov 2, 2025 00:05 | gauge@river.example\n"
+        "(no subject)\n"
         "could not summarize - read original\n"
-        "Action: none | Tone: neutral | Summary error | Out of scope\n"
-        "Original: /data/archive/2026/06/stock.eml\n"
-    )
-    assert text["empty"] == (
-        "Weekly email digest\n"
-        "Jun 1, 2026 08:00 EST to Jun 8, 2026 08:00 EST\n"
-        "\nNo messages were received during this period.\n"
+        "Action: none | Tone: neutral | Summary error\n"
+        "Original: a/12.eml\n"
+        "\n---\n"
+        "Nov 2, 2025 21:15 | Ferry <piers@ferry.example>\n"
+        "Timetable\n"
+        "The late ferry is cancelled.\n"
+        "Action: fyi | Tone: neutral | Out of scope\n"
+        "Original: a/70.eml\n"
     )
+    assert text["b"] == head + "\nNo messages were received during this period.\n"
 
 
 def test_card_defaults(spark):
@@ -177,7 +177,7 @@ def test_zone_names_of_each_bound(spark):
          ("b", datetime(2025, 10, 27, 12), datetime(2025, 11, 3, 13))],
         "mailbox string, window_start timestamp, window_end timestamp",
     )
-    df, _ = golden_rows(spark)
+    df, _ = clock_change(spark)
     cards = dg.digest_cards(dg.assign_windows(df.limit(0), windows), "America/Toronto")
     text = {r.mailbox: r.text for r in dg.digest_text(windows, cards, "America/Toronto").collect()}
     assert "Mar 3, 2025 08:00 EST to Mar 10, 2025 08:00 EDT" in text["a"]
@@ -185,7 +185,7 @@ def test_zone_names_of_each_bound(spark):
 
 
 def test_mail_of_the_runs_own_second_is_in_its_digest(spark):
-    df, windows = golden_rows(spark)
+    df, windows = clock_change(spark)
     now = windows.where("mailbox = 'a'").first().window_end
     late = df.limit(1).withColumn("processed_at", F.lit(now).cast("timestamp"))
     assert dg.assign_windows(late, windows).count() == 1
