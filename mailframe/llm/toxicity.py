@@ -10,8 +10,8 @@ in the order of their upper bounds until no other block can hold a nearer exampl
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +35,43 @@ PRIOR_WEIGHT = 0.3
 THRESHOLD = 0.5
 # Texts' terms whose votes a task remembers, at most.
 REMEMBERED = 20_000
+# Words whose terms a task remembers, at most.
+REMEMBERED_WORDS = 200_000
 # ASCII signs separate words, A-Z are lowered, all other bytes stay.
 FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def term_counts(text: str) -> dict[bytes, int]:
-    """How often a text has its words and their beginnings, these marked by a final star."""
-    words = Counter(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
-    found = dict(words)
-    for length in BEGINNINGS:
-        for word, n in words.items():
-            if len(word) >= length:
-                start = word[:length] + b"*"
-                found[start] = found.get(start, 0) + n
-    return found
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings, these marked by a final star."""
+    return [word, *(word[:length] + b"*" for length in BEGINNINGS if len(word) >= length)]
+
+
+class KnownTerms(dict):
+    """The numbers of a word's terms that are in the vocabulary, remembered up to a bound."""
+
+    def __init__(self, place: dict[bytes, int]):
+        self.place = place
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        return found
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text, in order, and how often it has them."""
+        numbers = np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64)
+        return np.unique(numbers, return_counts=True)
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted(term_counts(text))
+            found = sorted({term for word in set(words_of(text)) for term in terms_of(word)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["label", "term"]
             )
@@ -106,13 +123,16 @@ class BlockMaxIndex:
         rows = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(t) for t, _ in pairs])
         terms, weights = (np.concatenate([p[i] for p in pairs or none]) for i in (0, 1))
         order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order], weights[order]
-        lists = terms[order].astype(np.int64) * self.n_blocks + self.rows // BLOCK_ROWS
+        rows = rows[order]
+        # Ten bytes a posting or so, as every executor gets a copy: a row is its place in its block,
+        # and weights have 24 bits.
+        self.rows, self.weights = (rows % BLOCK_ROWS).astype(np.uint8), weights[order].astype(np.float32)
+        lists = terms[order].astype(np.int64) * self.n_blocks + rows // BLOCK_ROWS
         first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.empty(0, np.int64)
-        self.starts = np.r_[first, len(lists)]
-        self.blocks = lists[first] % self.n_blocks
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1))
+        self.starts = np.r_[first, len(lists)].astype(np.uint32)
+        self.blocks = (lists[first] % self.n_blocks).astype(np.uint16)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
+        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1)).astype(np.uint32)
 
     def nearest(self, vector: Vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples of positive cosine, all weights exact.
@@ -121,19 +141,21 @@ class BlockMaxIndex:
         is no higher than the k-th cosine found. Equal cosines stay in the order of the examples.
         """
         terms, weights = _arrays(vector)
-        a, b = self.of_term[terms], self.of_term[terms + 1]
+        a, b = self.of_term[terms].astype(np.int64), self.of_term[terms + 1].astype(np.int64)
         lists, weights = _ranges(a, b), np.repeat(weights, b - a)
         bounds = np.bincount(self.blocks[lists], weights * self.most[lists], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         rank = np.empty(self.n_blocks, np.int64)
         rank[order] = np.arange(self.n_blocks)
-        rank = rank[self.blocks[lists]]
+        blocks = self.blocks[lists].astype(np.int64)
+        rank = rank[blocks]
         rows, found, start, step = np.empty(0, np.int64), np.empty(0), 0, FIRST_BLOCKS
         while start < self.n_blocks and not (len(found) == k and bounds[order[start]] <= found[-1] + 1e-12):
             met = (rank >= start) & (rank < start + step)
-            a, b = self.starts[lists[met]], self.starts[lists[met] + 1]
+            a, b = self.starts[lists[met]].astype(np.int64), self.starts[lists[met] + 1].astype(np.int64)
             at = _ranges(a, b)
-            scores = np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[met], b - a))
+            whole = self.rows[at] + np.repeat(blocks[met] * BLOCK_ROWS, b - a)
+            scores = np.bincount(whole, self.weights[at] * np.repeat(weights[met], b - a))
             new = np.flatnonzero(scores > 0)
             rows, found = np.concatenate([rows, new]), np.concatenate([found, scores[new]])
             best = np.lexsort((rows, -found))[:k]
@@ -179,9 +201,10 @@ def score_toxicity(
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many documents have each term, and under -1 how many there are."""
         place, seen, n = words.value, np.zeros(len(words.value) + 1, np.int64), 0
+        known = KnownTerms(place)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[_known(text, place)[0]] += 1
+                seen[known.of(text)[0]] += 1
                 n += 1
         seen[-1] = n
         at = np.flatnonzero(seen)
@@ -211,11 +234,12 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids, votes, weight = model.value
+        known = KnownTerms(words.value)
         seen: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(2).to_pylist():
-                found, counts = _known(text, words.value)
+                found, counts = known.of(text)
                 key = found.tobytes(), counts.tobytes()
                 if key not in seen:
                     if len(seen) > REMEMBERED:
@@ -242,21 +266,15 @@ def score_toxicity(
     return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
-def _known(text: str, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of a text that are in the vocabulary, in order, and how often it has them."""
-    found = sorted((place[t], n) for t, n in term_counts(text).items() if t in place)
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
-
-
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(x.values) for x in column]
 
 
 def _example_rows(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownTerms(words.value)
         for batch in batches:
-            found = [_known(x, words.value) for x in batch.column(2).to_pylist()]
+            found = [known.of(x) for x in batch.column(2).to_pylist()]
             columns = [pa.array([f[i].tolist() for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "label", "terms", "counts"])
 
