@@ -31,6 +31,22 @@ def baseline(mailbox_state: DataFrame, cursors: DataFrame) -> DataFrame:
     )
 
 
+def live_cursors(cursors: DataFrame, mailbox_state: DataFrame | None = None) -> DataFrame:
+    """(mailbox, uid_validity, last_uid) of the mailboxes that can have new mail.
+
+    With ``mailbox_state``, a mailbox whose epoch moved on has none (see ``baseline``).
+    """
+    live = cursors.where((F.col("uid_validity") != 0) & (F.col("last_uid") < fixed.MAX_UID))
+    if mailbox_state is not None:
+        live = live.join(mailbox_state, ["mailbox", "uid_validity"], "left_semi")
+    return live.select("mailbox", "uid_validity", "last_uid")
+
+
+def above(raw: DataFrame, live: DataFrame) -> DataFrame:
+    """The rows above their mailbox's live cursor. Spark broadcasts cursors if they are small."""
+    return raw.join(live, ["mailbox", "uid_validity"]).where("uid > last_uid").drop("last_uid")
+
+
 def new_since(
     raw: DataFrame, cursors: DataFrame, mailbox_state: DataFrame | None = None
 ) -> DataFrame:
@@ -38,20 +54,12 @@ def new_since(
 
     With ``mailbox_state``, a mailbox whose epoch moved on gives no rows (see ``baseline``). The
     lowest live cursor is a scalar subquery, whose value Spark hands to the scan of the raw mail at
-    any number of mailboxes; the join is the exact test. Spark broadcasts cursors if they are small
-    and splits a hot mailbox when it has to shuffle.
+    any number of mailboxes; the join is the exact test. Spark splits a hot mailbox when it has to
+    shuffle. A log in ``MailTables`` has bounds for every bucket of mailboxes instead.
     """
-    live = cursors.where((F.col("uid_validity") != 0) & (F.col("last_uid") < fixed.MAX_UID))
-    if mailbox_state is not None:
-        live = live.join(mailbox_state, ["mailbox", "uid_validity"], "left_semi")
-    live = live.select("mailbox", "uid_validity", "last_uid")
+    live = live_cursors(cursors, mailbox_state)
     lowest = live.agg(F.min("last_uid")).scalar()
-    return (
-        raw.where(F.col("uid") > lowest)
-        .join(live, ["mailbox", "uid_validity"])
-        .where("uid > last_uid")
-        .drop("last_uid")
-    )
+    return above(raw.where(F.col("uid") > lowest), live)
 
 
 def batch_moves(batch: DataFrame) -> DataFrame:

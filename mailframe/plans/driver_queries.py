@@ -157,6 +157,17 @@ def new_since_cursor(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("mailbox", "uid_validity", "uid")
 
 
+def log_since_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log as a raw log in folders; one mailbox has been idle from its first message on."""
+    events = adapters.event_log(spark, sf)
+    tables = MailTables(spark, work_dir(spark, "store"), box_buckets=16, uid_block=8192)
+    tables.append_raw(events.withColumn("raw", F.col("props").cast("binary")))
+    idle = events.where("mailbox = 'error'").groupBy("mailbox", "uid_validity").agg(F.min("uid").alias("last_uid"))
+    cursors = stage(_cursors(events).unionByName(idle), "cursors")
+    new = tables.raw_since(cursors, _state(events))
+    return new.select("mailbox", "uid_validity", "uid", F.col("raw").cast("string").alias("props"))
+
+
 def baseline_reset(spark: SparkSession, sf: str) -> DataFrame:
     events = adapters.event_log(spark, sf)
     return incremental.baseline(_state(events), _cursors(events))
@@ -622,7 +633,8 @@ def digest_stream(spark: SparkSession, sf: str) -> DataFrame:
 _QUERIES = (
     html_to_text, strip_html, clean_reply, message_names, build_prompt, scope_flag, received_at,
     outcome_rows, outcome_counts, new_since_cursor, baseline_reset, advance_cursors, known_filter,
-    known_index, insert_absent, batch_dedupe, batch_dedupe_two_keys, dedupe_chain, validate_reply,
+    log_since_cursor, known_index, insert_absent, batch_dedupe, batch_dedupe_two_keys,
+    dedupe_chain, validate_reply,
     pick_attempt, lint_summary, run_report, records_json, archive_paths, archive_sink, week_start,
     digest_windows, window_bounds, last_digest, pending_digest, digest_cards, digest_assignment,
     digest_sizes, digest_text, mark_digested, digest_ledger, mail_parse, mail_shapes, corpus_scan,

@@ -140,16 +140,19 @@ def fresh_rows(batch: DataFrame, messages: DataFrame) -> DataFrame:
 
 def poll(
     tables: MailTables,
-    raw: DataFrame,
+    raw: DataFrame | None,
     mailbox_state: DataFrame,
     settings: PollSettings,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Process what is new since the cursors; first-time and reset mailboxes only get a cursor."""
+    """Process what is new since the cursors; first-time and reset mailboxes only get a cursor.
+
+    Without ``raw`` the mail comes from the log of the store.
+    """
     cursors = tables.cursors()
     started = stage(baseline(mailbox_state, cursors), "baseline")
     resets = started.where("initialized")
-    new = new_since(raw, cursors, mailbox_state)
+    new = tables.raw_since(cursors, mailbox_state) if raw is None else new_since(raw, cursors, mailbox_state)
     counts = process_batch(tables, new, settings, now, resets)
     flags = started.select("mailbox", "initialized")
     return flags.join(counts, "mailbox", "left").na.fill(0)

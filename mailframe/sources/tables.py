@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailframe import schemas
+from mailframe.operators.incremental import above, live_cursors
 from mailframe.session import exists, stage
 from mailframe.sources.key_index import KeyIndex
 
@@ -22,7 +23,8 @@ def received_month(c: str = "received_at") -> Column:
 class MailTables:
     """The tables below one shared root. A missing one reads as empty.
 
-    ``messages`` never holds the original bytes, so scans of it stay small; they are in
+    ``key_buckets``, ``box_buckets`` and ``uid_block`` lay out the key index and the raw log, and stay
+    as they are for the life of a store. ``messages`` never holds the original bytes, so scans of it stay small; they are in
     ``archive``. Nothing is overwritten while it is read: tables only grow, and the cursor table
     is a directory per version of which the highest complete one counts.
     """
@@ -30,6 +32,8 @@ class MailTables:
     spark: SparkSession
     root: str
     key_buckets: int = 64
+    box_buckets: int = 64
+    uid_block: int = 65_536
 
     @property
     def known(self) -> KeyIndex:
@@ -43,6 +47,32 @@ class MailTables:
     def messages(self) -> DataFrame:
         return self._read("messages", schemas.MESSAGES)
 
+    def append_raw(self, rows: DataFrame) -> None:
+        """Raw mail into the log, in folders by bucket of the mailbox and block of uids."""
+        placed = rows.select(*schemas.RAW_MAIL.names).withColumns(
+            {"box_bucket": self._bucket(), "uid_block": F.floor(F.col("uid") / self.uid_block).cast("bigint")}
+        )
+        placed.write.mode("append").partitionBy("box_bucket", "uid_block").parquet(f"{self.root}/raw_mail")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("mailbox"), F.lit(self.box_buckets)).cast("int")
+
+    def raw_since(self, cursors: DataFrame, mailbox_state: DataFrame | None = None) -> DataFrame:
+        """The raw mail of the log above the cursors, as ``new_since``.
+
+        Every bucket of mailboxes is read from the block of its own lowest live cursor on: an idle
+        mailbox widens the scan of its bucket alone, and a bucket without a live one is not read.
+        The bounds are literals over folders, at most one pair of numbers for each bucket.
+        """
+        live = live_cursors(cursors, mailbox_state)
+        lows = live.groupBy(self._bucket().alias("bucket")).agg(F.min("last_uid").alias("low")).collect()
+        folders = F.lit(False)
+        for bucket, low in lows:
+            folders |= (F.col("box_bucket") == bucket) & (F.col("uid_block") >= (low + 1) // self.uid_block)
+        shape = T.StructType([*schemas.RAW_MAIL, T.StructField("box_bucket", T.IntegerType()), T.StructField("uid_block", T.LongType())])
+        log = self._read("raw_mail", shape).where(folders)
+        return above(log.select(*schemas.RAW_MAIL.names), live)
+
     def messages_like(self, batch: DataFrame) -> DataFrame:
         """(message key, message_id) of the stored messages that share a row key or an id with ``batch``.
 

@@ -1,6 +1,7 @@
 """The index of stored keys: lookups against plain joins, and what they open."""
 
 import pytest
+from plans import files_read
 
 from mailframe.sources import key_index
 from mailframe.sources.key_index import KeyIndex
@@ -22,23 +23,6 @@ def batch_of(spark, *rows):
     return spark.createDataFrame(rows, "mailbox string, uid_validity long, uid long, message_id string")
 
 
-def files_read(df):
-    """Files that the file scans of a DataFrame's last run read."""
-    def walk(node):
-        name = node.getClass().getSimpleName()
-        if name == "AdaptiveSparkPlanExec":
-            return walk(node.executedPlan())
-        if name.endswith("QueryStageExec"):
-            return walk(node.plan())
-        number = node.metrics().get("numFiles")
-        own = number.get().value() if number.isDefined() else 0
-        children = node.children()
-        return own + sum(walk(children.apply(i)) for i in range(children.size()))
-
-    df.collect()
-    return walk(df._jdf.queryExecution().executedPlan())
-
-
 def test_row_keys_and_ids_are_found(spark, tmp_path):
     index = KeyIndex(spark, str(tmp_path), buckets=16)
     assert index.matching(batch_of(spark, ("in", 1, 1, "m1"))) is None
