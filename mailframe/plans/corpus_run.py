@@ -22,6 +22,7 @@ def summarize_corpus(
     body_limit: int = fixed.BODY_CHAR_LIMIT,
     timeout: float = fixed.MODEL_TIMEOUT_SECONDS,
     parallelism: int | None = None,
+    in_flight: int = 1,
 ) -> DataFrame:
     """One record per file of ``scan_corpus``; unreadable files are records with parse_error.
 
@@ -30,7 +31,7 @@ def summarize_corpus(
     parsed = stage(parse_corpus(files, body_limit), "corpus")
     readable = parsed.where("parse_error is null")
     answers = pick_attempt(
-        summarize(readable, factory, ["path"], language, timeout, parallelism)
+        summarize(readable, factory, ["path"], language, timeout, parallelism, in_flight=in_flight)
     ).select("path", "model", "raw_response", "latency_ms", "retried")
     answered = parsed.join(answers, "path", "left")
     done = with_lint(answered, "model.text", "model.status", "model.err", "truncated")

@@ -39,6 +39,7 @@ class PollSettings:
     body_limit: int = fixed.BODY_CHAR_LIMIT
     timeout: float = fixed.MODEL_TIMEOUT_SECONDS
     parallelism: int | None = None
+    in_flight: int = 1
     zone: str = fixed.DEFAULT_ZONE
     parse: Callable[..., DataFrame] = parse_mail
     prompt: Callable[..., DataFrame] = build_prompt
@@ -99,6 +100,7 @@ def process_batch(
             settings.timeout,
             settings.parallelism,
             settings.prompt,
+            settings.in_flight,
         )
     ).select(*MESSAGE_KEY, "model")
     located = paths.select(*MESSAGE_KEY, "sha", "raw_path").distinct()

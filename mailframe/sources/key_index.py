@@ -116,8 +116,9 @@ class KeyIndex:
             keys = row_and_id_keys(rows, "received_month")
             keys = keep(keys.withColumn("bucket", F.pmod("hash", F.lit(self.buckets)).cast("int")), "keys")
             n = keys.count()
-            if n:
-                live.append(self._write(keys, n))
+            if not n:
+                return
+            live.append(self._write(keys, n))
         if len(live) > GENERATIONS:
             live.sort(key=lambda g: g[1])
             size, total = 1, live[0][1]
