@@ -77,15 +77,8 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     return components(links.unionByName(stage(across(left), "links")))
 
 
-def families(rows: DataFrame) -> DataFrame:
-    """(node, family): nodes of (bucket, node) rows that a chain of common buckets connects."""
-    first = rows.groupBy("bucket").agg(F.min("node").alias("b"))
-    found = components(rows.join(first, "bucket").select(F.col("node").alias("a"), "b"))
-    return found.select("node", F.col("component").alias("family"))
-
-
 def tiles(nodes: DataFrame, size: int) -> DataFrame:
-    """(family, i, j, node, part): every pair of tiles of a family, for blocked comparison.
+    """(family, i, j, node, part): every pair of tiles of a family of nodes, for blocked comparison.
 
     A family of (family, node) rows is dealt into tiles of about ``size`` nodes; each node goes to the
     pairs of its own tile, so that rows grow by the number of tiles, not of nodes. ``part`` is the

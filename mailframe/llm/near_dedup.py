@@ -3,8 +3,8 @@
 Minima of a document's word shingles under many hashes give band keys, by which candidates meet, and
 their low bits, packed into a few numbers. Of a candidate pair, counts of equal low bits, corrected for
 chance collisions, estimate the similarity; pairs clearly below the threshold go no further, all
-others are confirmed on their full shingle sets. Where a family of candidates stays in several
-components (texts around one long passage, say), its full sets are compared in tiles.
+others are confirmed on their full shingle sets. Where a bucket stays in several components (texts
+around one long passage, say), its signatures are compared in tiles.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .linking import families, link, tiles
+from .linking import components, link, tiles
 
 SHINGLE = 5
 # Links need a share of at least LEAST / 100 of common shingles.
@@ -30,7 +30,7 @@ BITS = 2
 ESTIMATE = 0.55
 CACHED_WORDS = 300_000
 SLAB = 4096
-# Documents of one tile where a family is compared in blocks.
+# Documents of one tile where a bucket is compared in blocks.
 TILE_ROWS = 384
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, low array<long>"
 
@@ -166,60 +166,68 @@ def _confirmer(documents: DataFrame, classes: DataFrame):
     return confirm
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of intersections of different sets, by products of slabs of the incidence matrix."""
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    _, column = np.unique(column[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    edges = np.searchsorted(column, np.arange(0, column.max(initial=-1) + 1 + SLAB, SLAB))
-    for start, end in zip(edges, edges[1:], strict=False):
-        slab = np.zeros((len(sets), SLAB), np.float32)
-        slab[owner[start:end], column[start:end] % SLAB] = 1
-        out += slab @ slab.T
-    return out.astype(np.int64)
-
-
-def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links that join the components of two tiles, each component pair once."""
-    rows = rows.sort_by("node")
-    nodes, parts, names = (rows[c].to_numpy() for c in ("node", "part", "c"))
-    sets = [np.frombuffer(x, np.uint64) for x in rows["found"].to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    common = common_counts(sets)
-    near = 100 * common >= LEAST * (sizes[:, None] + sizes[None, :] - common)
-    near &= names[:, None] < names[None, :]
-    if key[1] != key[2]:
-        near &= parts[:, None] != parts[None, :]
-    x, y = np.nonzero(near)
-    _, first = np.unique(np.stack([names[x], names[y]]), axis=1, return_index=True)
-    a, b = nodes[x[first]], nodes[y[first]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def _across(documents: DataFrame):
-    """Links between components of one family, on full sets and in tiles."""
+def signature_matrix(low: np.ndarray) -> np.ndarray:
+    """Estimated similarities of all pairs of packed signatures (rows of numbers), as ``estimate``."""
+    lanes = np.uint64(0x5555555555555555)
+    unlike = np.zeros((len(low), len(low)), np.int32)
+    for column in low.view(np.uint64).T:
+        d = column[:, None] ^ column[None, :]
+        unlike += np.bitwise_count((d | (d >> np.uint64(1))) & lanes)
+    chance = 2.0**-BITS
+    return (1 - unlike / HASHES - chance) / (1 - chance)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [shingle_set(t, hashes).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "c", "found"]
-            )
+
+def _cell_pairs(best_only: bool):
+    """Likely links between the components of two tiles of a bucket; or the likeliest of each two components."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        nodes, parts, names, sizes = (rows[c].to_numpy() for c in ("node", "part", "c", "n"))
+        low = rows["low"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        found = signature_matrix(low)
+        # Sets of too unequal sizes cannot reach the threshold.
+        likely = (found >= ESTIMATE) & (100 * np.minimum.outer(sizes, sizes) >= LEAST * np.maximum.outer(sizes, sizes))
+        likely &= names[:, None] < names[None, :]
+        if key[1] != key[2]:
+            likely &= parts[:, None] != parts[None, :]
+        x, y = np.nonzero(likely)
+        if best_only:
+            order = np.argsort(-found[x, y], kind="stable")
+            x, y = x[order], y[order]
+            _, first = np.unique(np.stack([names[x], names[y]]), axis=1, return_index=True)
+            x, y = x[first], y[first]
+        a, b = nodes[x], nodes[y]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
+def _across(classes: DataFrame, confirm):
+    """Links between the components of mixed buckets: signatures are compared in tiles, sets for likely pairs.
+
+    A first round tests the likeliest pair of every two components of a tile, which joins most of
+    those that belong together. A second one tests every likely pair between components that are
+    still apart, so that no link is lost.
+    """
+    low = classes.select(F.col("rep").alias("node"), "low", F.col("n_shingles").alias("n"))
+
+    def pairs(rows: DataFrame, best_only: bool) -> DataFrame:
+        shared = rows.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+        rows = rows.join(shared.select("bucket"), "bucket").join(low, "node")
+        dealt = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS)
+        met = dealt.join(rows.withColumnRenamed("bucket", "family"), ["family", "node"])
+        found = met.groupBy("family", "i", "j").applyInArrow(_cell_pairs(best_only), "a long, b long")
+        return stage(found.distinct(), "likely-cells")
 
     def links(rows: DataFrame) -> DataFrame:
-        family = stage(families(rows), "families")
-        nodes = rows.select("node", "c").distinct()
-        texts = documents.join(nodes, F.col("doc_id") == F.col("node")).select("node", "c", "text")
-        sets = stage(texts.mapInArrow(sets_of, "node long, c long, found binary").distinct(), "mixed-sets")
-        met = tiles(family, TILE_ROWS).join(sets, "node")
-        return met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct()
+        first = stage(confirm(pairs(rows, True)), "links")
+        # Components that a link joins are one from here on.
+        named = rows.select("node", "c").distinct()
+        joined = first.join(named.toDF("a", "c_a"), "a").join(named.toDF("b", "c_b"), "b")
+        merged = components(joined.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")))
+        merged = merged.select(F.col("node").alias("c"), F.col("component").alias("whole"))
+        rows = rows.join(merged, "c", "left").select("bucket", "node", F.coalesce("whole", "c").alias("c"))
+        return first.unionByName(confirm(pairs(stage(rows, "mixed-buckets"), False)))
 
     return links
 
@@ -243,7 +251,8 @@ def near_groups(documents: DataFrame) -> DataFrame:
         "near-classes",
     )
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"))
-    found = stage(link(buckets, _confirmer(texts, classes), _across(texts)), "near-components")
+    confirm = _confirmer(texts, classes)
+    found = stage(link(buckets, confirm, _across(classes, confirm)), "near-components")
     of_class = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_id").alias("class_id"), F.coalesce("component", "rep").alias("component")
     )

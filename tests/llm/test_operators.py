@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailframe.llm import (
     bpe, exact_dedup, language, line_dedup, linking, mixing, near_dedup, quality, secret_scan, topk, toxicity,
@@ -315,14 +316,15 @@ def test_near_groups_of_odd_rows(odd, none):
     assert near_dedup.keep_first(odd).columns == odd.columns
 
 
-def test_common_counts_equal_set_intersections():
-    rnd = np.random.RandomState(2)
-    sets = [np.unique(rnd.randint(0, 9000, 700).astype(np.uint64)) for _ in range(20)] + [np.empty(0, np.uint64)]
-    got = near_dedup.common_counts(sets)
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets):
-            shared = len(np.intersect1d(x, y))
-            assert i == j or got[i, j] == shared
+def test_signature_matrix_equals_the_estimate_of_each_pair(spark):
+    rnd = np.random.RandomState(5)
+    base = rnd.randint(-(2**62), 2**62, (1, near_dedup.HASHES * near_dedup.BITS // 64))
+    low = np.where(rnd.rand(12, base.shape[1]) < 0.5, base, rnd.randint(-(2**62), 2**62, (12, base.shape[1]))).astype(np.int64)
+    pairs = [(i, j, low[i].tolist(), low[j].tolist()) for i in range(12) for j in range(12)]
+    df = spark.createDataFrame(pairs, "i int, j int, x array<long>, y array<long>")
+    rows = df.select("i", "j", near_dedup.estimate(F.col("x"), F.col("y")).alias("e")).collect()
+    got = near_dedup.signature_matrix(low)
+    assert all(abs(got[r.i, r.j] - r.e) < 1e-12 for r in rows) and got[3, 3] == 1
 
 
 def test_components_of_chains_and_stars(spark):
