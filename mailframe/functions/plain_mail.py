@@ -52,7 +52,8 @@ def _word(token: Column) -> Column:
 
 def _tokens(header: Column) -> Column:
     joined = F.regexp_replace(header, r"(\?=)\s+(?==\?)", "$1")
-    return F.regexp_extract_all(joined, F.lit(f"{ENCODED_WORD}|[^=]+|="), F.lit(0))
+    cut = F.regexp_extract_all(joined, F.lit(f"{ENCODED_WORD}|[^=]+|="), F.lit(0))
+    return F.when(header.contains("=?"), cut).otherwise(F.array(header))
 
 
 def with_plain_parts(df: DataFrame, raw: str) -> DataFrame:
@@ -80,14 +81,17 @@ def with_plain_parts(df: DataFrame, raw: str) -> DataFrame:
         F.filter(F.split(unfolded, r"\r?\n"), lambda line: line != "").alias("_lines"),
     )
 
+    step = step.select("*", F.transform("_lines", lambda line: F.lower(F.substring_index(line, ":", 1))).alias("_names"))
+
     def header(name: str) -> Column:
-        lines = F.filter("_lines", lambda line: F.lower(F.substring_index(line, ":", 1)) == name)
-        return F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)), r"^[^:]*:", ""), F.lit(""))
+        at = F.array_position("_names", name).cast("int")
+        line = F.when(at > 0, F.try_element_at("_lines", at))
+        return F.coalesce(F.substring(line, F.lit(len(name) + 2), F.length(line)), F.lit(""))
 
     wellformed = (
         F.col("_valid")
         & F.forall("_lines", lambda line: line.rlike(FIELD))
-        & ~F.exists("_lines", lambda line: F.lower(line).startswith("content-disposition:"))
+        & ~F.array_contains("_names", "content-disposition")
     )
     step = step.select(*keep, "_body", wellformed.alias("_valid"), *(header(n).alias(f"_{n}") for n in _HEADERS))
     step = step.select(

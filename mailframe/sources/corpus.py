@@ -20,6 +20,7 @@ from mailframe import fixed
 from mailframe.functions.plain_mail import with_plain_parts
 from mailframe.functions.text import format_address, trim_id, trim_space, with_clean_body
 from mailframe.schemas import MAIL_PARTS
+from mailframe.session import stage
 from mailframe.sources.corpus_files import FORMAT, check_path, register
 
 _ENCODED_WORD = re.compile(r"=\?[^?\s]+\?[bqBQ]\?[^?]*\?=")
@@ -141,32 +142,27 @@ def _read_batches(column: str):
     return run
 
 
-def _routed(df: DataFrame, raw: str, plain: bool) -> DataFrame:
-    """The plain messages with their parts, or all others.
-
-    The flag goes through a generator, which filters do not pass: pushed down, the filter would
-    repeat the reading of the message once for every use of a header.
-    """
-    read = with_plain_parts(df, raw)
-    one = F.array(F.struct(F.col("_plain").alias("plain"), F.col("_parts").alias("parts")))
-    return read.select(*df.columns, F.explode(one).alias("_m")).where(F.col("_m.plain") == F.lit(plain))
-
-
 def parse_mail(
     df: DataFrame, raw: str = "raw", limit: int = fixed.BODY_CHAR_LIMIT
 ) -> DataFrame:
     """Replace ``raw`` by the parsed message; a message that cannot be read has ``parse_error``.
 
     Plain single-part mail is read by native expressions. Only what is left, multipart mail and
-    rare or broken forms, has its container opened in Python. The id is trimmed and the body cleaned
-    and cut by native expressions for all. Other columns travel through the worker, so select what
-    is needed.
+    rare or broken forms, has its container opened in Python. What the expressions found is written
+    once, with the original of the others, and the two kinds are read from there. The id is trimmed
+    and the body cleaned and cut by native expressions for all. Other columns travel through the
+    worker, so select what is needed.
     """
     keep = [f for f in df.schema if f.name != raw]
     names = [f.name for f in keep]
-    plain = _routed(df, raw, True).select(*names, "_m.parts.*")
+    read = with_plain_parts(df, raw)
+    routed = stage(
+        read.select(*names, "_plain", F.when(~F.col("_plain"), F.col(raw)).alias(raw), F.when(F.col("_plain"), F.col("_parts")).alias("_parts")),
+        "routed-mail",
+    )
+    plain = routed.where("_plain").select(*names, "_parts.*")
     schema = T.StructType([*keep, *MAIL_PARTS])
-    others = _routed(df, raw, False).select(*names, raw).mapInPandas(_read_batches(raw), schema)
+    others = routed.where("not _plain").select(*names, raw).mapInPandas(_read_batches(raw), schema)
     cleaned = with_clean_body(plain.unionByName(others), "text", "html", limit)
     times = {
         "message_id": trim_id("message_id_raw"),
