@@ -29,8 +29,9 @@ def flag_scope(
     if allowlist is None:
         allowlist = []
     if isinstance(allowlist, list):
-        entries = [(part,) for text in allowlist for part in text.split(",")]
-        allowlist = df.sparkSession.createDataFrame(entries, "addr string")
+        # As a literal, the list has a size that Spark knows and broadcasts by.
+        entries = F.array(*(F.lit(part) for text in allowlist for part in text.split(","))).cast("array<string>")
+        allowlist = df.sparkSession.range(1).select(F.explode(entries).alias("addr"))
 
     entry = allowlist.columns[0]
     allowed = (
