@@ -115,4 +115,25 @@ ORACLES = {
         )
         select query_id, rank, vec_id, score from ranked where rank <= 20
     """,
+    "op12_substring_dedup": r"""
+        with texts as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+        ), windows as (
+            select doc_id, i, array_to_string(w[i:i + 12], ' ') as g
+            from (select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from texts)
+        ), firsts as (
+            select g, min(doc_id) as first_id from windows group by g
+        ), gone as (
+            select distinct doc_id, i + k as place
+            from windows join firsts using (g), range(0, 13) r(k)
+            where first_id < doc_id
+        ), kept as (
+            select doc_id, count(*) as n, string_agg(word, ' ' order by place) as s
+            from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from texts)
+            anti join gone using (doc_id, place)
+            group by doc_id
+        )
+        select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+        from texts left join kept using (doc_id)
+    """,
 }
