@@ -624,7 +624,8 @@ def digest_stream(spark: SparkSession, sf: str) -> DataFrame:
         part = messages.where(F.floor(F.col("uid") * 3 / (last + 1)) == delivery)
         part.write.mode("append").parquet(incoming)
         source = spark.readStream.schema(messages.schema).parquet(incoming)
-        digests.write_digests(digests.digest_stream(source, "10 days", ZONE), out, checkpoint).awaitTermination()
+        stream = digests.digest_stream(source, "10 days", ZONE)
+        digests.write_digests(stream, out, checkpoint, partitions=16).awaitTermination()
     totals = digests.window_totals(spark.read.parquet(out))
     bounds = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end"))
     return totals.select("mailbox", *bounds, "email_count", "late_count")

@@ -14,6 +14,7 @@ from mailframe.functions.timing import next_week_start, week_start
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 # A window of one mailbox is counted in so many parts, so that a hot mailbox is no single task.
 SHARDS = 16
 _KEY = ["mailbox", "start_us", "end_us", "shard"]
@@ -92,12 +93,20 @@ def digest_stream(
     )
 
 
-def write_digests(digests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append the rows of ``digest_stream`` to Parquet files; a batch that runs again adds nothing."""
+def write_digests(
+    digests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partitions: int | None = None
+) -> StreamingQuery:
+    """Append the rows of ``digest_stream`` to Parquet files; a batch that runs again adds nothing.
+
+    ``partitions`` is how many parts the state has, for the life of the checkpoint; the session's
+    number of shuffle partitions unless given.
+    """
     spark = digests.sparkSession
-    before = spark.conf.get(PROVIDER)
-    # Timers need this state store. A query keeps the setting that it started with.
-    spark.conf.set(PROVIDER, ROCKSDB)
+    # Timers need this state store. A query keeps the settings that it started with.
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(partitions or spark.conf.get(PARTITIONS))}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return (
             digests.writeStream.format("parquet").option("path", path)
@@ -106,7 +115,8 @@ def write_digests(digests: DataFrame, path: str, checkpoint: str, trigger: dict
             .start()
         )
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def window_totals(written: DataFrame) -> DataFrame:
