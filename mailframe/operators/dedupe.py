@@ -38,27 +38,37 @@ def _least(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_o").alias(name))
 
 
-def _pre_reduce(pairs: DataFrame) -> DataFrame:
-    """Drop rows that can never be kept, by map-side combined aggregates only.
+def _caps(rows: DataFrame, key: str, other: str) -> DataFrame:
+    """For each ``other`` key the order by which it is certainly taken.
 
-    Where a row's ``_a`` occurs once, only ``_b`` can block it; of all such rows with one ``_b``
-    none but the first can win. A ``_b`` with very many rows shrinks to one here.
+    The first row of a ``key`` is kept unless its ``other`` key is taken even earlier; a row without
+    a ``key`` is the first of its own.
     """
-    counts = pairs.where("_a is not null").groupBy("_a").agg(F.count("*").alias("_n"))
-    counted = pairs.join(counts, "_a", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    several = counted.where("_n > 1 or _b is null").select("_o", "_a", "_b")
-    single = (
-        counted.where("_n = 1 and _b is not null")
-        .groupBy("_b")
-        .agg(F.min(F.struct("_o", "_a")).alias("_first"))
-        .select("_first._o", "_first._a", "_b")
-    )
-    return several.unionByName(single)
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("_o", other)).alias("_first"))
+    leads = first.select("_first._o", f"_first.{other}").unionByName(rows.where(F.col(key).isNull()).select("_o", other))
+    return _least(leads, other, f"_c{other}")
+
+
+def _prune(rows: DataFrame) -> DataFrame:
+    """Drop rows that come after one of their keys is certainly taken.
+
+    Only aggregates that Spark combines before the shuffle: a key with very many rows shrinks to
+    one row per task, and where one key has few values the caps are small and broadcast.
+    """
+    for key, other in (("_a", "_b"), ("_b", "_a")):
+        cap = f"_c{other}"
+        rows = rows.join(_caps(rows, key, other), other, "left").where(F.col(cap).isNull() | (F.col("_o") <= F.col(cap)))
+        rows = rows.select("_o", "_a", "_b")
+    return rows
 
 
-def _leads(mine: str) -> Column:
-    """Whether a row is the first of its group; a row without that key leads by itself."""
-    return F.col(mine).isNull() | (F.col(mine) == F.col("_o"))
+def _pruned(rows: DataFrame, keep: Staging) -> tuple[DataFrame, int]:
+    """``rows`` pruned as long as that drops a tenth of them, and how many are left."""
+    before, left = 0, rows.count()
+    while left and (not before or 10 * left < 9 * before):
+        rows = keep(_prune(rows), "pruned")
+        before, left = left, rows.count()
+    return rows, left
 
 
 def _without(rows: DataFrame, won: DataFrame) -> DataFrame:
@@ -117,26 +127,20 @@ def _follow(blocked: DataFrame, keep: Staging) -> DataFrame:
     return steps.select("_o", "_many", "_odd")
 
 
-def _matching_rounds(pairs: DataFrame, keep: Staging) -> DataFrame:
+def _matching_rounds(rows: DataFrame, keep: Staging) -> DataFrame:
     """Orders of the rows that a sequential first-wins insert would keep.
 
-    A first round keeps the rows that lead both of their groups and drops the undecided rows that
-    share a key with one of them; that decides most. What is left is decided by whole paths: rows
-    with a single blocker follow it to the path's end, in rounds that quadruple their steps. Only rows
-    with several blockers, and paths that end at one, wait for the next turn. Every round is one
-    written table, so that lost executors cost one round and plans stay short.
+    Rows behind a certain loss of a key are pruned first, which decides most where keys have many
+    rows. What is left is decided by whole paths: rows with a single blocker follow it to the path's
+    end, in rounds that quadruple their steps. Only rows with several blockers, and paths that end at
+    one, wait for the next turn. Every round is one written table, so that lost executors cost one
+    round and plans stay short.
     """
-    undecided = _pre_reduce(pairs)
-    marked = keep(
-        undecided.join(_least(undecided, "_a", "_ma"), "_a", "left")
-        .join(_least(undecided, "_b", "_mb"), "_b", "left")
-        .select("_o", "_a", "_b", (_leads("_ma") & _leads("_mb")).alias("_won")),
-        "leaders",
-    )
-    won, rest = marked.where("_won"), marked.where("not _won")
-    kept = [won.select("_o")]
-    undecided = keep(_without(rest, won), "undecided")
-    while not undecided.isEmpty():
+    kept = []
+    undecided, left = _pruned(rows, keep)
+    # Repeats of one (a, b) pair: a key once taken stays taken, so only the first can be kept.
+    undecided = undecided.groupBy("_a", "_b").agg(F.min("_o").alias("_o")).select("_o", "_a", "_b")
+    while left:
         blocked = keep(_blockers(undecided), "blockers")
         ended = _follow(blocked, keep).withColumnsRenamed({"_many": "_stopped"})
         decided = keep(
@@ -149,8 +153,8 @@ def _matching_rounds(pairs: DataFrame, keep: Staging) -> DataFrame:
         )
         won = decided.where("_won")
         kept.append(won.select("_o"))
-        undecided = keep(_without(decided.where("_waits"), won), "undecided")
-    return reduce(DataFrame.unionByName, kept)
+        undecided, left = _pruned(_without(decided.where("_waits"), won), keep)
+    return reduce(DataFrame.unionByName, kept) if kept else undecided.select("_o")
 
 
 def dedupe_two_keys(
@@ -177,9 +181,7 @@ def dedupe_two_keys(
     )
     bound = keyed.where("_a is not null or _b is not null")
     free = keyed.where("_a is null and _b is null")
-    # Repeats of one (a, b) pair: a key once taken stays taken, so only the first can be kept.
-    pairs = bound.groupBy("_a", "_b").agg(F.min("_o").alias("_o")).select("_o", "_a", "_b")
     with scratch(df.sparkSession, "dedupe") as keep:
-        kept = stage(_matching_rounds(pairs, keep), "dedupe-kept")
-    chosen = first_per_key(bound, ["_o"], ["_o"]).join(kept, "_o", "left_semi")
+        kept = stage(_matching_rounds(bound.select("_o", "_a", "_b"), keep), "dedupe-kept")
+    chosen = first_per_key(bound.join(kept, "_o", "left_semi"), ["_o"], ["_o"])
     return chosen.select(*columns).unionByName(free.select(*columns))

@@ -95,3 +95,12 @@ def test_hot_end_of_many_paths(spark):
     rows += [(100 + i, f"a{i}", f"b{i}") for i in range(40)] + [(200 + i, f"c{i}", f"b{i}") for i in range(40)]
     rows += [(300 + i, f"c{i}", f"b{(i + 1) % 40}") for i in range(40)]
     assert kept(spark, rows) == models.first_wins(rows)
+
+
+def test_few_ids_of_very_many_rows_take_few_rounds(spark, monkeypatch):
+    """Every id has far more rows than can be kept, and senders come back all the time."""
+    written = count_tables(monkeypatch)
+    rnd = random.Random(3)
+    rows = [(i, f"u{rnd.randrange(400)}", f"m{i // 200}-{int(rnd.expovariate(0.2))}") for i in range(6000)]
+    assert kept(spark, rows) == sorted(models.first_wins(rows))
+    assert len(written) <= 30
