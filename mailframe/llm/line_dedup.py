@@ -27,8 +27,8 @@ from .toxicity import FOLD
 DIFFERENT = 64
 # Linked lines need this many of 100 words of the longer one in common order.
 LEAST = 80
-# Documents whose word pairs are counted, about, and slots of the counts. Counts only order the pairs.
-COUNTED, SLOTS = 20_000, 1 << 18
+# Slots of the counts of word pairs. Counts only order the pairs.
+SLOTS = 1 << 18
 LINES = "doc_id long, n_lines int, line int, node long, words int, sim long, sim_b long, keys array<long>"
 _FIRST, _SECOND, _TIMES = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -88,8 +88,7 @@ def line_keys(lines: list[list[bytes]], hashes: WordHashes, counts: np.ndarray)
 
 
 def pair_counts(texts: DataFrame) -> np.ndarray:
-    """How often word pairs of each slot are in a share of the documents; any counts give the same links."""
-    share = max(1, texts.count() // COUNTED)
+    """How often word pairs of each slot are in the documents, all of them; any counts give the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SLOTS, np.int64)
@@ -101,7 +100,7 @@ def pair_counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
 
-    found = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "slot long, n long")
+    found = texts.select("text").mapInArrow(run, "slot long, n long")
     rows = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
