@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
-The field tags tokens as secret begin, inside or outside from their shape, the words and signs around
-them and features of the whole file. Only a token with a digit and at least LEAST_LENGTH characters can
-be in a secret, so the chain falls into short runs of such tokens, and decoding each run by Viterbi
-decodes the whole text. It is trained on texts of the corpus whose pattern matches serve as labels.
+The field tags every token as secret begin, inside or outside from its shape, the words and signs around
+it and features of the whole file. A token whose learned scores leave outside as the only tag of any best
+path cuts the chain, so that Viterbi runs on the stretches between such tokens and still decodes the whole
+text. It is trained on texts of the corpus whose pattern matches serve as labels.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +35,15 @@ LEAST_VALUE, ACCESS, HEX = 12, re.compile("AKIA[A-Z0-9]{14,}"), re.compile("[0-9
 # tokens, at most. Runs in a match come first, up to half of the runs.
 SAMPLE_ROWS, SAMPLE_RUNS = 4000, 3000
 EPOCHS, RATE = 12, 0.3
-LEAST_LENGTH = 8
-# Tokens this close to each other belong to one run.
-GAP = 2
+# Tokens this close to each other belong to one run. Training sees windows of runs of about so many tokens;
+# of those without a secret, at most so many of one document.
+GAP, WINDOW, CLEAN_WINDOWS = 2, 8, 4
 CONTEXT = 24
+# Scores of feature groups that a task remembers.
+REMEMBERED = 200_000
 DIGITS = re.compile("[0-9]+")
-TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-TOKEN_END = re.compile("[A-Za-z0-9+/_=-]*")
+# Tokens have a letter or digit; signs alone are a gap.
+TOKEN = re.compile("((?<![A-Za-z0-9+/_=-])[+/_=-]*+[A-Za-z0-9][A-Za-z0-9+/_=-]*)")
 LAST_WORD = re.compile(r"([A-Za-z_]+)[^A-Za-z_]*$")
 BEGIN, INSIDE, OUTSIDE = range(3)
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -58,68 +62,96 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def token_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that may be in a secret, as (start, end)."""
-    runs: list[list[tuple[int, int]]] = []
-    end = -GAP - 1
-    done = 0
-    for m in DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and text[start - 1] in TOKEN_CHARS:
-            start -= 1
-        done = TOKEN_END.match(text, m.end()).end()
-        if done - start < LEAST_LENGTH:
-            continue
-        if runs and start - end <= GAP:
-            runs[-1].append((start, done))
-        else:
-            runs.append([(start, done)])
-        end = done
-    return runs
+def secrets_in(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the secrets themselves in the pattern matches, without what names them."""
+    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
+    return sorted(found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)])
 
 
 def _bucket(number: int, edges: tuple[int, ...]) -> int:
     return sum(number >= e for e in edges)
 
 
-def features(text: str, run: list[tuple[int, int]], place: int, file: list[str]) -> list[str]:
-    """Shape of the token, what stands around it, and the file's features."""
-    start, end = run[place]
-    token = text[start:end]
+def shape_features(token: str) -> list[str]:
+    """What the token is like."""
     digits = sum(c.isdigit() for c in token)
     lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
     signs = "".join(sorted({c for c in token if not c.isalnum()}))
     hexed = all(c in "0123456789abcdef" for c in token)
-    before = text[max(0, start - CONTEXT) : start]
-    word = LAST_WORD.search(before)
-    sign = before[word.end(1) :].strip() if word else before.strip()
-    shape = f"{int(lower)}{int(upper)}{int(hexed)}{_bucket(100 * digits // len(token), (15, 40, 70, 100))}"
-    length = _bucket(len(token), (12, 16, 20, 32, 41, 64))
-    found = [
+    shape = f"{int(lower)}{int(upper)}{int(hexed)}{_bucket(100 * digits // len(token), (1, 15, 40, 70, 100))}"
+    length = _bucket(len(token), (4, 8, 12, 16, 20, 32, 41, 64))
+    return [
         "bias", f"shape={shape}", f"length={length}", f"both={shape}/{length}", f"signs={signs}",
         f"kinds={_bucket(100 * len(set(token)) // len(token), (20, 40, 60, 80))}",
         f"head={token[:4] if token[:4].isupper() else ''}",
-        f"word={word[1].lower() if word else ''}", f"sign={sign[-2:]}", f"next={text[end : end + 1].strip()}",
-        f"place={min(place, 2)}",
     ]
-    return found + file
 
 
-def file_features(text: str, runs: list[list[tuple[int, int]]]) -> list[str]:
-    tokens = sum(len(r) for r in runs)
-    return [f"tokens={_bucket(tokens, (2, 5, 20))}", f"dense={_bucket(1000 * tokens // (len(text) // 6 + 1), (1, 10, 100))}"]
+def before_features(before: tuple[str, str]) -> list[str]:
+    """The word and signs before the token, in the token before it and the gap between."""
+    text = "".join(before)[-CONTEXT:]
+    word = LAST_WORD.search(text)
+    sign = text[word.end(1) :].strip() if word else text.strip()
+    return [f"word={word[1].lower() if word else ''}", f"sign={sign[-2:]}"]
 
 
-def labels_of(run: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
-    """Begin for the first token that ends inside a match, inside for those after it."""
-    out, last = [], None
-    for start, end in run:
-        owner = next((s for s in spans if s[0] < end and start < s[2]), None)
-        out.append(OUTSIDE if owner is None else INSIDE if owner is last else BEGIN)
-        last = owner
-    return out
+def after_features(sign: str) -> list[str]:
+    return [f"next={sign.strip()}"]
+
+
+def place_features(place: int) -> list[str]:
+    return [f"place={place}"]
+
+
+@dataclass
+class Tokens:
+    """All tokens of a text with what stands around them; a run ends where a gap is longer than GAP."""
+
+    text: str
+
+    def __post_init__(self) -> None:
+        pieces = TOKEN.split(self.text)
+        gaps, self.tokens = pieces[::2], pieces[1::2]
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        self.starts, self.ends = ends[:-1:2], ends[1::2]
+        place = np.arange(len(self.tokens))
+        self.first = np.ones(len(place), bool)
+        self.first[1:] = self.starts[1:] - self.ends[:-1] > GAP
+        self.place = np.minimum(place - np.maximum.accumulate(np.where(self.first, place, 0)), 2).tolist()
+        self.before = [(t[-CONTEXT:], g[-CONTEXT:]) for t, g in zip(["", *self.tokens], gaps[:-1], strict=False)]
+        self.after = [g[:1] for g in gaps[1:]]
+
+    def file(self) -> list[str]:
+        n = len(self.tokens)
+        return [f"tokens={_bucket(n, (5, 20, 100, 1000))}", f"dense={_bucket(1000 * len(DIGITS.findall(self.text)) // (n + 1), (1, 10, 100, 300))}"]
+
+    def features(self, i: int) -> list[str]:
+        """All features of a token but the file's."""
+        return [
+            *shape_features(self.tokens[i]), *before_features(self.before[i]),
+            *after_features(self.after[i]), *place_features(self.place[i]),
+        ]
+
+    def labels(self) -> list[int]:
+        """Begin for the first token that lies in a secret, inside for those after it."""
+        spans, at, last, out = secrets_in(self.text), 0, None, []
+        for start, end, first in zip(self.starts.tolist(), self.ends.tolist(), self.first.tolist(), strict=True):
+            while at < len(spans) and spans[at][1] <= start:
+                at += 1
+            owner, i = None, at
+            while owner is None and i < len(spans) and spans[i][0] < end:
+                owner, i = (spans[i] if start < spans[i][1] else None), i + 1
+            out.append(OUTSIDE if owner is None else INSIDE if owner is last and not first else BEGIN)
+            last = owner
+        return out
+
+    def windows(self, tags: list[int]) -> list[range]:
+        """Stretches of runs of about WINDOW tokens, none of which begins inside a secret."""
+        cuts = []
+        for i, (tag, first) in enumerate(zip(tags, self.first.tolist(), strict=True)):
+            if first or (i - cuts[-1] >= WINDOW and tag != INSIDE):
+                cuts.append(i)
+        return [range(a, b) for a, b in zip(cuts, [*cuts[1:], len(tags)], strict=False)]
 
 
 @dataclass
@@ -137,8 +169,11 @@ class Field:
                 score = [a + b for a, b in zip(score, w, strict=True)]
         return score
 
-    def decode(self, scores: list[list[float]]) -> list[int]:
-        """The best tags of a run; before it stands an outside token, so it cannot start inside."""
+    def decode(self, scores: list[list[float]], goes_on: bool = False) -> list[int]:
+        """The best tags of tokens; before them stands an outside token, so they cannot start inside.
+
+        With ``goes_on`` an outside token stands behind them too.
+        """
         best = [s + self.steps[OUTSIDE][t] for t, s in enumerate(scores[0])]
         best[INSIDE] = -math.inf
         back = []
@@ -150,11 +185,29 @@ class Field:
                 new.append(max(options) + unary[t])
             back.append(came)
             best = new
+        if goes_on:
+            best = [x + self.steps[t][OUTSIDE] for t, x in enumerate(best)]
         tags = [best.index(max(best))]
         for came in reversed(back):
             tags.append(came[tags[-1]])
         return tags[::-1]
 
+    def bounds(self) -> tuple[float, float]:
+        """What a tag other than outside may gain by its steps: before a token that is not inside, and before one that is.
+
+        A token whose outside score leads by more is outside on every best path: tagged outside, and a token
+        inside behind it tagged begin, the path would be better.
+        """
+        step = self.steps
+        plain, inside = [], []
+        for p in (BEGIN, INSIDE, OUTSIDE):
+            for t in (BEGIN, INSIDE) if p != OUTSIDE else (BEGIN,):
+                turn = step[p][t] - step[p][OUTSIDE]
+                plain += [turn, *(turn + step[t][n] - step[OUTSIDE][n] for n in (BEGIN, OUTSIDE))]
+                turn += step[t][INSIDE] - step[OUTSIDE][BEGIN]
+                inside += [turn, *(turn + step[INSIDE][n] - step[BEGIN][n] for n in range(3))]
+        return max(plain), max(inside)
+
     def marginals(self, scores: list[list[float]]) -> tuple[list[list[float]], list[list[list[float]]]]:
         """Chances of tags and of neighbouring tags, by forward and backward sums."""
         n = len(scores)
@@ -212,25 +265,25 @@ def _training_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         ids, rows, marks = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans, runs = base_spans(text), token_runs(text)
-            file = file_features(text, runs)
-            for run in runs:
-                tags = labels_of(run, spans)
+            tokens = Tokens(text)
+            tags, file = tokens.labels(), tokens.file()
+            windows = tokens.windows(tags)
+            secret = [w for w in windows if any(tags[i] != OUTSIDE for i in w)]
+            clean = [w for w in windows if all(tags[i] == OUTSIDE for i in w)]
+            clean.sort(key=lambda w: (zlib.crc32(" ".join(tokens.tokens[w.start : w.stop]).encode()), w.start))
+            for window in secret + clean[:CLEAN_WINDOWS]:
                 ids.append(doc_id)
-                rows.append(json.dumps([[features(text, run, i, file) for i in range(len(run))], tags]))
-                marks.append(any(t != OUTSIDE for t in tags))
+                rows.append(json.dumps([[tokens.features(i) + file for i in window], [tags[i] for i in window]]))
+                marks.append(any(tags[i] != OUTSIDE for i in window))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(rows, pa.string()), pa.array(marks, pa.bool_())], names=["doc_id", "run", "secret"]
         )
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether a document has a match in a token, so that it can teach what a secret looks like."""
+    """Whether a document has a match, so that it can teach what a secret looks like."""
     for batch in batches:
-        found = []
-        for text in batch.column(1).to_pylist():
-            spans = base_spans(text)
-            found.append(bool(spans) and any(t != OUTSIDE for run in token_runs(text) for t in labels_of(run, spans)))
+        found = [bool(secrets_in(text)) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_())], names=["doc_id", "secret"])
 
 
@@ -257,21 +310,67 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, runs: int = SAMPLE_RUNS
     return train([tuple(json.loads(r["run"])) for r in pairs])
 
 
-def field_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+class Remembered(dict):
+    """Scores of groups of features by what they are taken from, remembered up to a bound."""
+
+    def __init__(self, field: Field, found: Callable[..., list[str]]):
+        self.field, self.found, self.rows = field, found, np.empty((1024, 3))
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[n] = self.field.unary(self.found(key))
+        return n
+
+    def scores(self, keys: list) -> np.ndarray:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        return self.rows[at]
+
+
+class Tagger:
+    """The best tags of whole texts by a field."""
+
+    def __init__(self, field: Field):
+        self.field, self.bounds = field, field.bounds()
+        self.groups = [Remembered(field, f) for f in (shape_features, before_features, after_features, place_features)]
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        keys = (tokens.tokens, tokens.before, tokens.after, tokens.place)
+        return sum(group.scores(k) for group, k in zip(self.groups, keys, strict=True)) + np.array(self.field.unary(tokens.file()))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets of a text, by start."""
+        tokens = Tokens(text)
+        if not tokens.tokens:
+            return []
+        scores = self.scores(tokens)
+        lead = scores[:, OUTSIDE] - scores[:, :OUTSIDE].max(axis=1)
+        # What the next token of the run gains as inside rather than begin.
+        gain = np.append(scores[1:, INSIDE] - scores[1:, BEGIN], 0.0)
+        goes_on = np.append(~tokens.first[1:], False)
+        plain, inside = self.bounds
+        maybe = ~((lead > plain) & (~goes_on | (lead - gain > inside)))
+        found: list[tuple[int, int]] = []
+        at = np.flatnonzero(maybe)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] - at[:-1] > 1) | tokens.first[at[1:]]
+        edges = np.append(np.flatnonzero(new), len(at))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            low, high = int(at[a]), int(at[b - 1]) + 1
+            for i, tag in enumerate(self.field.decode(scores[low:high].tolist(), bool(goes_on[high - 1])), low):
+                if tag == BEGIN:
+                    found.append((int(tokens.starts[i]), int(tokens.ends[i])))
+                elif tag == INSIDE:
+                    found[-1] = (found[-1][0], int(tokens.ends[i]))
+        return found
+
+
+def field_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the field adds: whole secrets that no pattern match touches."""
-    added = []
-    runs = token_runs(text)
-    file = file_features(text, runs) if runs else []
-    for run in runs:
-        tags = field.decode([field.unary(features(text, run, i, file)) for i in range(len(run))])
-        spans: list[list[int]] = []
-        for (start, end), tag in zip(run, tags, strict=True):
-            if tag == BEGIN:
-                spans.append([start, end])
-            elif tag == INSIDE:
-                spans[-1][1] = end
-        added += [(s, 3, e) for s, e in spans if not any(b[0] < e and s < b[2] for b in base)]
-    return added
+    return [(s, 3, e) for s, e in tagger.spans(text) if not any(b[0] < e and s < b[2] for b in base)]
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
@@ -286,7 +385,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast(learn(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = model.value
+        tagger = Tagger(model.value) if model.value else None
         for batch in batches:
             counts, digests, spans = [[], [], []], [], []
             for text in batch.column(1).to_pylist():
@@ -294,7 +393,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
                 for kind, column in enumerate(counts):
                     column.append(sum(s[1] == kind for s in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
-                added = field_spans(text, field, base) if field else []
+                added = field_spans(text, tagger, base) if tagger else []
                 spans.append(written(sorted(base + added)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],

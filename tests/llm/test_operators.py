@@ -155,6 +155,26 @@ def test_field_finds_what_patterns_miss_and_decodes_like_brute_force(spark):
         assert field.decode(scores) == tags
 
 
+def test_field_sees_every_token(spark):
+    """Secrets without a digit are found, and cutting at certain tokens changes no best path."""
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    rows = [(i, f"some words go here token = '{key(24)}' and Call them in the Evening now") for i in range(120)]
+    rows.append((900, f"some words go here token > '{key(24)}' and Call them in the Evening now"))
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    start = rows[-1][1].index("'") + 1
+    assert secret_scan.find_secrets(documents).where("doc_id = 900").first().spans == f"crf:{start}:{start + 24}"
+    field = secret_scan.learn(documents)
+    tagger = secret_scan.Tagger(field)
+    for _ in range(60):
+        text = " ".join(rnd.choice(["some", "token =", "'" + key(24), key(9), "\n\n\nCall", "7", "> " + key(30)]) for _ in range(30))
+        tokens, tags = secret_scan.Tokens(text), []
+        for run in np.split(np.arange(len(tokens.tokens)), np.flatnonzero(tokens.first)[1:]):
+            tags += field.decode([field.unary(tokens.features(i) + tokens.file()) for i in run])
+        want = [(int(tokens.starts[i]), i) for i, tag in enumerate(tags) if tag == secret_scan.BEGIN]
+        assert [s for s, _ in tagger.spans(text)] == [s for s, _ in want]
+
+
 def test_field_learns_from_rare_secrets(spark):
     """More clean documents than the sample takes do not switch the field off."""
     rnd = random.Random(6)
@@ -467,3 +487,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(vectors, asked).collect())) == sorted(want)
     assert topk.top_k(vectors, asked.limit(0)).count() == 0
     assert topk._inner(np.array([[2.0**31]]), np.array([[2.0**30 + 1]]))[0, 0] == 2**61 + 2**31
+
+
+def test_word_pairs_of_all_documents_are_counted(spark):
+    texts = spark.range(40_000).selectExpr("id as doc_id", "'one two' as text")
+    assert line_dedup.pair_counts(texts).sum() == 40_000
