@@ -13,8 +13,10 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
+# What the names in assignments are in lower case; a text without any of them has no assignment.
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE, ACCESS, HEX = 12, re.compile("AKIA[A-Z0-9]{14,}"), re.compile("[0-9a-f]{16,}")
 
 # Documents that the field learns from, half of them with a match if there are as many, and runs of their
@@ -39,9 +43,12 @@ EPOCHS, RATE = 12, 0.3
 # of those without a secret, at most so many of one document.
 GAP, WINDOW, CLEAN_WINDOWS = 2, 8, 4
 CONTEXT = 24
-# Scores of feature groups that a task remembers.
+# Edges of the lengths of tokens.
+LENGTHS = (4, 8, 12, 16, 20, 32, 41, 64)
+# Shapes of tokens and scores of feature groups that a task remembers.
+SHAPES = 50_000
 REMEMBERED = 200_000
-DIGITS = re.compile("[0-9]+")
+DIGITS, NO_DIGITS = re.compile("[0-9]+"), str.maketrans("", "", "0123456789")
 # Tokens have a letter or digit; signs alone are a gap.
 TOKEN = re.compile("((?<![A-Za-z0-9+/_=-])[+/_=-]*+[A-Za-z0-9][A-Za-z0-9+/_=-]*)")
 LAST_WORD = re.compile(r"([A-Za-z_]+)[^A-Za-z_]*$")
@@ -49,9 +56,15 @@ BEGIN, INSIDE, OUTSIDE = range(3)
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+def _assignments(text: str) -> Iterator[re.Match]:
+    lowered = text.lower()
+    found = ASSIGN.finditer(text) if any(name in lowered for name in NAMES) else iter(())
+    return (m for m in found if len(m[2]) >= LEAST_VALUE)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all pattern matches, in code points, by start and kind."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
+    found = [(m.start(), 0, m.end()) for m in _assignments(text)]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -64,32 +77,37 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def secrets_in(text: str) -> list[tuple[int, int]]:
     """(start, end) of the secrets themselves in the pattern matches, without what names them."""
-    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
+    found = [m.span(2) for m in _assignments(text)]
     return sorted(found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)])
 
 
 def _bucket(number: int, edges: tuple[int, ...]) -> int:
-    return sum(number >= e for e in edges)
-
-
-def shape_features(token: str) -> list[str]:
-    """What the token is like."""
-    digits = sum(c.isdigit() for c in token)
-    lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
-    signs = "".join(sorted({c for c in token if not c.isalnum()}))
-    hexed = all(c in "0123456789abcdef" for c in token)
-    shape = f"{int(lower)}{int(upper)}{int(hexed)}{_bucket(100 * digits // len(token), (1, 15, 40, 70, 100))}"
-    length = _bucket(len(token), (4, 8, 12, 16, 20, 32, 41, 64))
-    return [
+    return bisect_right(edges, number)
+
+
+@lru_cache(maxsize=SHAPES)
+def _shape_names(lower: bool, upper: bool, hexed: bool, share: int, length: int, signs: str, kinds: int, head: str) -> tuple[str, ...]:
+    shape = f"{int(lower)}{int(upper)}{int(hexed)}{_bucket(share, (1, 15, 40, 70, 100))}"
+    return (
         "bias", f"shape={shape}", f"length={length}", f"both={shape}/{length}", f"signs={signs}",
-        f"kinds={_bucket(100 * len(set(token)) // len(token), (20, 40, 60, 80))}",
-        f"head={token[:4] if token[:4].isupper() else ''}",
-    ]
+        f"kinds={_bucket(kinds, (20, 40, 60, 80))}", f"head={head}",
+    )
 
 
-def before_features(before: tuple[str, str]) -> list[str]:
-    """The word and signs before the token, in the token before it and the gap between."""
-    text = "".join(before)[-CONTEXT:]
+def shape_features(token: str) -> tuple[str, ...]:
+    """What the token is like. Tokens are ASCII."""
+    n, head = len(token), token[:4]
+    return _shape_names(
+        token != token.upper(), token != token.lower(), not token.strip("0123456789abcdef"),
+        0 if token.isalpha() else 100 * (n - len(token.translate(NO_DIGITS))) // n,
+        bisect_right(LENGTHS, n),
+        "" if token.isalnum() else "".join(sorted({c for c in token if not c.isalnum()})),
+        100 * len(set(token)) // n, head if head.isupper() else "",
+    )
+
+
+def before_features(text: str) -> list[str]:
+    """The word and signs before the token, in the end of the token before it and the gap between."""
     word = LAST_WORD.search(text)
     sign = text[word.end(1) :].strip() if word else text.strip()
     return [f"word={word[1].lower() if word else ''}", f"sign={sign[-2:]}"]
@@ -117,8 +135,8 @@ class Tokens:
         place = np.arange(len(self.tokens))
         self.first = np.ones(len(place), bool)
         self.first[1:] = self.starts[1:] - self.ends[:-1] > GAP
-        self.place = np.minimum(place - np.maximum.accumulate(np.where(self.first, place, 0)), 2).tolist()
-        self.before = [(t[-CONTEXT:], g[-CONTEXT:]) for t, g in zip(["", *self.tokens], gaps[:-1], strict=False)]
+        self.place = np.minimum(place - np.maximum.accumulate(np.where(self.first, place, 0)), 2)
+        self.before = [(t + g)[-CONTEXT:] for t, g in zip(["", *self.tokens], gaps[:-1], strict=False)]
         self.after = [g[:1] for g in gaps[1:]]
 
     def file(self) -> list[str]:
@@ -161,13 +179,13 @@ class Field:
     weights: dict[str, list[float]]
     steps: list[list[float]]
 
-    def unary(self, found: list[str]) -> list[float]:
-        score = [0.0, 0.0, 0.0]
+    def unary(self, found: Iterable[str]) -> list[float]:
+        begin = inside = outside = 0.0
         for f in found:
             w = self.weights.get(f)
             if w:
-                score = [a + b for a, b in zip(score, w, strict=True)]
-        return score
+                begin, inside, outside = begin + w[0], inside + w[1], outside + w[2]
+        return [begin, inside, outside]
 
     def decode(self, scores: list[list[float]], goes_on: bool = False) -> list[int]:
         """The best tags of tokens; before them stands an outside token, so they cannot start inside.
@@ -311,21 +329,30 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, runs: int = SAMPLE_RUNS
 
 
 class Remembered(dict):
-    """Scores of groups of features by what they are taken from, remembered up to a bound."""
+    """Scores of groups of features by what they are taken from, remembered up to a bound.
+
+    A key leads to its row of scores. Keys with the same learned features share a row, so that a token
+    never seen before mostly costs its features and no sum.
+    """
 
     def __init__(self, field: Field, found: Callable[..., list[str]]):
-        self.field, self.found, self.rows = field, found, np.empty((1024, 3))
+        self.field, self.found, self.rows, self.same = field, found, np.empty((1024, 3)), {}
 
     def __missing__(self, key) -> int:
-        n = self[key] = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[n] = self.field.unary(self.found(key))
+        learned = tuple(filter(self.field.weights.__contains__, self.found(key)))
+        n = self.same.get(learned)
+        if n is None:
+            n = self.same[learned] = len(self.same)
+            if n == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[n] = self.field.unary(learned)
+        self[key] = n
         return n
 
     def scores(self, keys: list) -> np.ndarray:
         if len(self) >= REMEMBERED:
             self.clear()
+            self.same.clear()
         at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         return self.rows[at]
 
@@ -335,11 +362,13 @@ class Tagger:
 
     def __init__(self, field: Field):
         self.field, self.bounds = field, field.bounds()
-        self.groups = [Remembered(field, f) for f in (shape_features, before_features, after_features, place_features)]
+        self.groups = [Remembered(field, f) for f in (shape_features, before_features, after_features)]
+        self.place = np.array([field.unary(place_features(place)) for place in range(3)])
 
     def scores(self, tokens: Tokens) -> np.ndarray:
-        keys = (tokens.tokens, tokens.before, tokens.after, tokens.place)
-        return sum(group.scores(k) for group, k in zip(self.groups, keys, strict=True)) + np.array(self.field.unary(tokens.file()))
+        keys = (tokens.tokens, tokens.before, tokens.after)
+        groups = sum(group.scores(k) for group, k in zip(self.groups, keys, strict=True))
+        return groups + self.place[tokens.place] + np.array(self.field.unary(tokens.file()))
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the secrets of a text, by start."""

@@ -175,6 +175,21 @@ def test_field_sees_every_token(spark):
         assert [s for s, _ in tagger.spans(text)] == [s for s, _ in want]
 
 
+def test_new_tokens_of_known_kinds_cost_no_sums(monkeypatch):
+    """Tokens never seen before share the scores of those with the same learned features."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(9)) for _ in range(2000)]
+    text = " ".join(words) + " token = 'Ab9Kd8Qw7Zx6Lm5Pq4Rt'"
+    tokens = secret_scan.Tokens(text)
+    weights = {f: [rnd.uniform(-1, 1) for _ in range(3)] for i in (0, 2000, 2001) for f in tokens.features(i)[:8]}
+    field = secret_scan.Field(weights, [[0.0] * 3 for _ in range(3)])
+    want = np.array([field.unary(tokens.features(i) + tokens.file()) for i in range(len(tokens.tokens))])
+    sums, unary = [], secret_scan.Field.unary
+    monkeypatch.setattr(secret_scan.Field, "unary", lambda self, found: sums.append(1) or unary(self, found))
+    assert np.allclose(secret_scan.Tagger(field).scores(tokens), want)
+    assert len(sums) < 200
+
+
 def test_field_learns_from_rare_secrets(spark):
     """More clean documents than the sample takes do not switch the field off."""
     rnd = random.Random(6)
