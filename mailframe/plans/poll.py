@@ -23,7 +23,7 @@ from mailframe.operators.incremental import (
 )
 from mailframe.operators.model import ClientFactory, build_prompt, pick_attempt, summarize
 from mailframe.operators.scope import batch_counts, flag_scope, route_outcome
-from mailframe.schemas import MESSAGE_KEY
+from mailframe.schemas import MESSAGE_KEY, MESSAGES
 from mailframe.session import stage
 from mailframe.sources.corpus import parse_mail
 from mailframe.sources.tables import MailTables
@@ -104,10 +104,12 @@ def process_batch(
         )
     ).select(*MESSAGE_KEY, "model")
     located = paths.select(*MESSAGE_KEY, "sha", "raw_path").distinct()
+    # Bodies have been asked about; only the columns of the message table go into these joins.
     stored = stage(
         route_outcome(fresh.join(answers, MESSAGE_KEY, "left"))
         .join(located, [*MESSAGE_KEY, "sha"])
-        .withColumns({c: empty_to_null(c) for c in ("from_name", "from_addr", "subject")}),
+        .withColumns({c: empty_to_null(c) for c in ("from_name", "from_addr", "subject")})
+        .select(*(c for c in MESSAGES.names if c != "received_month")),
         "stored",
     )
     tables.append_messages(stored)

@@ -6,8 +6,10 @@ import pytest
 
 from mailframe import schemas
 from mailframe.operators.model import pick_attempt, summarize
+from mailframe.plans import poll as poll_plan
 from mailframe.plans.poll import PollSettings, poll
 from mailframe.plans.weekly import run_digest
+from mailframe.session import stage
 from mailframe.sources.tables import MailTables
 from mailframe.streaming.ingest import ingest_stream
 
@@ -129,6 +131,17 @@ def test_polls_and_digest(spark, tables):
     assert tables.digests().count() == 2
 
 
+def test_bodies_do_not_join_the_answers(spark, tables, monkeypatch):
+    """What is stored of a message has no body, so that its joins move and write none."""
+    staged = {}
+    monkeypatch.setattr(poll_plan, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    tables.write_cursors(spark.createDataFrame([("a", 8, 0)], schemas.CURSORS), 0)
+    poll(tables, raw_of(spark, [mail(1, "m1"), mail(2, None, body="bad")]), state_of(spark, ("a", 8, 3)), PollSettings(scripted))
+    assert "body_text" in staged["fresh"].columns
+    assert set(staged["stored"].columns) == set(schemas.MESSAGES.names) - {"received_month"}
+    assert sorted((r.uid, r.llm_status) for r in tables.messages().collect()) == [(1, "ok"), (2, "error")]
+
+
 def test_changed_epoch_only_moves_the_cursor(spark, tables):
     tables.write_cursors(spark.createDataFrame([("a", 7, 99)], schemas.CURSORS), 0)
     raw = raw_of(spark, [mail(20, "x")])
