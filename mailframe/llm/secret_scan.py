@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +98,15 @@ def _shape_names(lower: bool, upper: bool, hexed: bool, share: int, length: int,
 def shape_features(token: str) -> tuple[str, ...]:
     """What the token is like. Tokens are ASCII."""
     n, head = len(token), token[:4]
+    if token.isalpha():
+        lower = token.islower()
+        return _shape_names(
+            lower or not token.isupper(), not lower, lower and not token.strip("abcdef"), 0, bisect_right(LENGTHS, n), "",
+            100 * len(set(token)) // n, "" if lower or not head.isupper() else head,
+        )
     return _shape_names(
         token != token.upper(), token != token.lower(), not token.strip("0123456789abcdef"),
-        0 if token.isalpha() else 100 * (n - len(token.translate(NO_DIGITS))) // n,
+        100 * (n - len(token.translate(NO_DIGITS))) // n,
         bisect_right(LENGTHS, n),
         "" if token.isalnum() else "".join(sorted({c for c in token if not c.isalnum()})),
         100 * len(set(token)) // n, head if head.isupper() else "",
@@ -113,6 +120,11 @@ def before_features(text: str) -> list[str]:
     return [f"word={word[1].lower() if word else ''}", f"sign={sign[-2:]}"]
 
 
+def sign_features(gap: str) -> list[str]:
+    """What before_features says of a gap behind a word; that the word is the token before is told apart."""
+    return [f"sign={gap.strip()[-2:]}"]
+
+
 def after_features(sign: str) -> list[str]:
     return [f"next={sign.strip()}"]
 
@@ -129,15 +141,18 @@ class Tokens:
 
     def __post_init__(self) -> None:
         pieces = TOKEN.split(self.text)
-        gaps, self.tokens = pieces[::2], pieces[1::2]
+        self.gaps, self.tokens = pieces[::2], pieces[1::2]
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self.starts, self.ends = ends[:-1:2], ends[1::2]
         place = np.arange(len(self.tokens))
         self.first = np.ones(len(place), bool)
         self.first[1:] = self.starts[1:] - self.ends[:-1] > GAP
         self.place = np.minimum(place - np.maximum.accumulate(np.where(self.first, place, 0)), 2)
-        self.before = [(t + g)[-CONTEXT:] for t, g in zip(["", *self.tokens], gaps[:-1], strict=False)]
-        self.after = [g[:1] for g in gaps[1:]]
+        self.after = [g[:1] for g in self.gaps[1:]]
+
+    def before(self, i: int) -> str:
+        """The end of what stands before a token."""
+        return ((self.tokens[i - 1] if i else "") + self.gaps[i])[-CONTEXT:]
 
     def file(self) -> list[str]:
         n = len(self.tokens)
@@ -146,7 +161,7 @@ class Tokens:
     def features(self, i: int) -> list[str]:
         """All features of a token but the file's."""
         return [
-            *shape_features(self.tokens[i]), *before_features(self.before[i]),
+            *shape_features(self.tokens[i]), *before_features(self.before(i)),
             *after_features(self.after[i]), *place_features(self.place[i]),
         ]
 
@@ -332,14 +347,18 @@ class Remembered(dict):
     """Scores of groups of features by what they are taken from, remembered up to a bound.
 
     A key leads to its row of scores. Keys with the same learned features share a row, so that a token
-    never seen before mostly costs its features and no sum.
+    never seen before mostly costs its features and no sum. Tuples of features are few and share a row
+    as they are; of lists only what is learned counts.
     """
 
-    def __init__(self, field: Field, found: Callable[..., list[str]]):
+    def __init__(self, field: Field, found: Callable[..., tuple[str, ...] | list[str]]):
         self.field, self.found, self.rows, self.same = field, found, np.empty((1024, 3)), {}
+        self.is_learned = field.weights.__contains__
 
     def __missing__(self, key) -> int:
-        learned = tuple(filter(self.field.weights.__contains__, self.found(key)))
+        learned = self.found(key)
+        if type(learned) is list:
+            learned = tuple(filter(self.is_learned, learned))
         n = self.same.get(learned)
         if n is None:
             n = self.same[learned] = len(self.same)
@@ -362,12 +381,29 @@ class Tagger:
 
     def __init__(self, field: Field):
         self.field, self.bounds = field, field.bounds()
-        self.groups = [Remembered(field, f) for f in (shape_features, before_features, after_features)]
+        groups = (shape_features, before_features, sign_features, after_features)
+        self.shape, self.before, self.sign, self.after = (Remembered(field, f) for f in groups)
         self.place = np.array([field.unary(place_features(place)) for place in range(3)])
+        learned = [f for f in field.weights if f.startswith("word=")]
+        self.words = {f.removeprefix("word="): n for n, f in enumerate(learned, 1)}
+        self.word = np.array([[0.0] * 3, *(field.weights[f] for f in learned)])
+
+    def scores_before(self, tokens: Tokens) -> np.ndarray:
+        """Scores of before_features of all tokens, without a string for each where the word is the token before."""
+        n, gaps = len(tokens.tokens), tokens.gaps[1:-1]
+        out, plain = np.empty((n, 3)), np.zeros(n, bool)
+        if n > 1:
+            lowered = " ".join(tokens.tokens[:-1]).lower().split(" ")
+            out[1:] = self.word[np.fromiter(map(self.words.get, lowered, repeat(0)), np.int64, n - 1)] + self.sign.scores(gaps)
+            plain[1:] = np.fromiter(map(str.isalpha, lowered), bool, n - 1) & (np.diff(tokens.starts) <= CONTEXT)
+            if "_" in tokens.text:
+                plain[1:] &= np.fromiter(("_" not in gap for gap in gaps), bool, n - 1)
+        other = np.flatnonzero(~plain)
+        out[other] = self.before.scores([tokens.before(i) for i in other.tolist()])
+        return out
 
     def scores(self, tokens: Tokens) -> np.ndarray:
-        keys = (tokens.tokens, tokens.before, tokens.after)
-        groups = sum(group.scores(k) for group, k in zip(self.groups, keys, strict=True))
+        groups = self.shape.scores(tokens.tokens) + self.scores_before(tokens) + self.after.scores(tokens.after)
         return groups + self.place[tokens.place] + np.array(self.field.unary(tokens.file()))
 
     def spans(self, text: str) -> list[tuple[int, int]]:

@@ -208,6 +208,26 @@ def test_secrets_of_odd_rows(odd, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_context_of_plain_words_costs_no_search(monkeypatch):
+    """Where the word is the token before, its scores and the gap's add up to those of the searched text."""
+    rnd = np.random.RandomState(4)
+    words = ["the", "Key", "abcdefghijklmnopqrstuvw", "x" * 24, "a1", "1", "b-c", "Wör", "AKIA", "api_key"]
+    gaps = [" ", ". ", ", ", "\n", " | ", " _ ", '": "', " é", "%" * 12 + " ", "\t\n"]
+    texts = ["".join(str(rnd.choice(words)) + str(rnd.choice(gaps)) for _ in range(300)) for _ in range(20)] + ["", "w", " w"]
+    names = [f"word={w}" for w in ("the", "key", "x", "akia", "", "_")] + [f"sign={g}" for g in ("", ".", "|", "é", "%%", ": ", '"')]
+    field = secret_scan.Field({f: rnd.rand(3).tolist() for f in names}, [[0.0] * 3 for _ in range(3)])
+    tagger, searched = secret_scan.Tagger(field), []
+    found = tagger.before.found
+    tagger.before.found = lambda text: searched.append(text) or found(text)
+    for text in texts:
+        tokens = secret_scan.Tokens(text)
+        want = [field.unary(secret_scan.before_features(tokens.before(i))) for i in range(len(tokens.tokens))]
+        assert np.array_equal(tagger.scores_before(tokens), np.array(want).reshape(-1, 3))
+    searched.clear()
+    tagger.scores_before(secret_scan.Tokens("".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}. " for i in range(600))))
+    assert len(searched) <= 1
+
+
 # Classifiers
 
 
