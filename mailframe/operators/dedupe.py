@@ -34,6 +34,16 @@ def _key_struct(columns: list[str]) -> Column:
     return F.when(~_any_null(columns), F.struct(*columns))
 
 
+def _ranked(bound: DataFrame, keep: Staging) -> DataFrame:
+    """Rows with their keys and ``_o``, a number in their order.
+
+    Minima and joins of the rounds take a number in place of a struct of the order and both keys. Rows
+    are sorted over all tasks; numbers rise within a task and from task to task.
+    """
+    rows = bound.select("_row", "_a", "_b").orderBy("_row")
+    return keep(rows.select(F.monotonically_increasing_id().alias("_o"), "_row", "_a", "_b"), "ranked")
+
+
 def _least(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_o").alias(name))
 
@@ -177,11 +187,13 @@ def dedupe_two_keys(
     keyed = (
         df.withColumn("_a", _key_struct(key_a))
         .withColumn("_b", _key_struct(key_b))
-        .withColumn("_o", F.struct(*parts))
+        .withColumn("_row", F.struct(*parts))
     )
     bound = keyed.where("_a is not null or _b is not null")
     free = keyed.where("_a is null and _b is null")
     with scratch(df.sparkSession, "dedupe") as keep:
-        kept = stage(_matching_rounds(bound.select("_o", "_a", "_b"), keep), "dedupe-kept")
-    chosen = first_per_key(bound.join(kept, "_o", "left_semi"), ["_o"], ["_o"])
+        ranked = _ranked(bound, keep)
+        kept = _matching_rounds(ranked.select("_o", "_a", "_b"), keep)
+        kept = stage(ranked.join(kept, "_o", "left_semi").select("_row"), "dedupe-kept")
+    chosen = first_per_key(bound.join(kept, "_row", "left_semi"), ["_row"], ["_row"])
     return chosen.select(*columns).unionByName(free.select(*columns))

@@ -104,3 +104,27 @@ def test_few_ids_of_very_many_rows_take_few_rounds(spark, monkeypatch):
     rows = [(i, f"u{rnd.randrange(400)}", f"m{i // 200}-{int(rnd.expovariate(0.2))}") for i in range(6000)]
     assert kept(spark, rows) == sorted(models.first_wins(rows))
     assert len(written) <= 30
+
+
+def test_rounds_move_numbers_for_rows(spark, monkeypatch):
+    """Minima and joins of the rounds are of one number a row, not of its order and both keys; ties and nulls too."""
+    types = []
+    real = dedupe.scratch
+
+    @contextmanager
+    def noted(spark, name):
+        with real(spark, name) as keep:
+            def note(df, label):
+                types.extend(t for c, t in df.dtypes if c in ("_o", "_to"))
+                return keep(df, label)
+
+            yield note
+
+    monkeypatch.setattr(dedupe, "scratch", noted)
+    rows = [(o, f"u{(i + 1) // 2}", f"m{i // 2}") for i, o in enumerate([5, None, 3, 3, 9, 1, 1, 4, 8, 7, 7, 2])] + [(3, None, "m0")] * 2
+    ranks = {row: n for n, row in enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2])))}
+    taken = models.first_wins(sorted((ranks[row], row[1], row[2]) for row in rows))
+    df = spark.createDataFrame(rows, "o long, a string, b string")
+    got = sorted(ranks[tuple(r)] for r in dedupe_two_keys(df, ["o"], ["a"], ["b"]).collect())
+    assert got == sorted(r[0] for r in taken)
+    assert types and set(types) == {"bigint"}
