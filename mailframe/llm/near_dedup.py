@@ -156,7 +156,7 @@ def _confirmer(documents: DataFrame, classes: DataFrame):
             .where(estimate(F.col("low_a"), F.col("low_b")) >= ESTIMATE)
         )
         likely = stage(likely.select("a", "b"), "likely-pairs")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = stage(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-nodes")
         # Representatives' texts only; of rows that repeat an id, the one with the class's set.
         texts = documents.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
         sets = stage(texts.mapInArrow(sets_of, "node long, found binary"), "shingle-sets")
@@ -215,7 +215,9 @@ def _across(documents: DataFrame):
 
     def links(rows: DataFrame) -> DataFrame:
         family = stage(families(rows), "families")
-        nodes = rows.select("node", "c").distinct()
+        # Written first, so that Spark plans the join by their size, not by that of all rows of their buckets:
+        # unless they are very many, no text is shuffled.
+        nodes = stage(rows.select("node", "c").distinct(), "mixed-nodes")
         texts = documents.join(nodes, F.col("doc_id") == F.col("node")).select("node", "c", "text")
         sets = stage(texts.mapInArrow(sets_of, "node long, c long, found binary").distinct(), "mixed-sets")
         met = tiles(family, TILE_ROWS).join(sets, "node")

@@ -360,6 +360,28 @@ def test_near_groups_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_texts_of_few_mixed_nodes_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Nodes of very many buckets are few rows themselves, whose size decides how texts join."""
+    path = str(tmp_path / "rows")
+    spark.range(8000).selectExpr("xxhash64(id div 3) as bucket", "id % 200 as node", "id % 200 as c").write.parquet(path)
+    texts = spark.range(20000).selectExpr("id as doc_id", "concat('a b c d e f g h i j k l m n o p q r s t u v w x y ', id) as text")
+    plans, real = {}, near_dedup.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(near_dedup, "stage", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "15000")
+    try:
+        links = near_dedup._across(texts)(spark.read.parquet(path).select("bucket", "node", "c"))
+        assert links.count() >= 199
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["mixed-sets"] and "SortMergeJoin" not in plans["mixed-sets"]
+
+
 def test_near_groups_of_odd_rows(odd, none):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == odd.count()
