@@ -3,15 +3,17 @@
 Terms are words and word beginnings (inflected forms share a beginning). The vocabulary holds all terms
 that two examples of a bounded labelled sample have, toxic or not; their document frequencies are
 counted over all documents. A term weighs its frequency in the text, times its inverse document
-frequency, times the root of the likelihood ratio that ties it to either class. Examples lie in an inverted index whose postings are cut
-into blocks of examples, each term knowing its largest weight in a block. A document scores blocks
-in the order of their upper bounds until no other block can hold a nearer example.
+frequency, times the root of the likelihood ratio that ties it to either class. Examples lie in an inverted index: postings of rare
+terms, and for the most common terms blocks of alike examples, with each term's largest weight in a block. A document
+scores the blocks whose upper bound reaches the nearest examples found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+import hashlib
+from array import array
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,13 @@ BEGINNINGS = (4, 5, 6)
 EXAMPLE = "doc_id long, label int, terms array<int>, counts array<int>"
 NEIGHBOURS = 15
 BLOCK_ROWS = 64
-# Blocks that a search scores first; it goes on with twice as many each time.
+# Terms whose weights are a matrix, the most common ones; those of all others are postings.
+COMMON_TERMS = 2048
+# Blocks hold alike examples: clusters of them by their most common terms. Any clusters give the same neighbours.
+CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 32, 512, 6
+# Texts that are searched for together.
+TOGETHER = 256
+# Blocks that a search scores first.
 FIRST_BLOCKS = 8
 # The prior counts as much as one example of this similarity.
 PRIOR_WEIGHT = 0.3
@@ -51,21 +59,45 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class KnownTerms(dict):
-    """The numbers of a word's terms that are in the vocabulary, remembered up to a bound."""
+    """The terms of words that are in the vocabulary, remembered up to a bound: words are numbered, their terms one list."""
 
     def __init__(self, place: dict[bytes, int]):
         self.place = place
+        self.forget()
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        found = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+    def forget(self) -> None:
+        self.clear()
+        # Word number i has the terms from edge i to the next one; the first entry is of no word.
+        self.terms, self.edges = array("i", [0]), array("q", [1])
+
+    def __missing__(self, word: bytes) -> int:
+        self.terms.extend([t for t in map(self.place.get, terms_of(word)) if t is not None])
+        self.edges.append(len(self.terms))
+        found = self[word] = len(self.edges) - 2
         return found
 
+    def _of(self, words: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of words, one word after the other, and how many each word has."""
+        if len(self) >= REMEMBERED_WORDS:
+            self.forget()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        edges = np.frombuffer(self.edges, np.int64)
+        starts, ends = edges.take(numbers), edges.take(numbers + 1)
+        return np.frombuffer(self.terms, np.int32).take(_ranges(starts, ends)), ends - starts
+
+    def distinct(self, text: str) -> np.ndarray:
+        """The known terms of a text, in order."""
+        return np.unique(self._of(set(words_of(text)))[0])
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text, in order, and how often it has them."""
-        numbers = np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64)
-        return np.unique(numbers, return_counts=True)
+        times = Counter(words_of(text))
+        terms, sizes = self._of(times)
+        counts = np.repeat(np.fromiter(times.values(), np.int64, len(times)), sizes)
+        order = np.argsort(terms)
+        terms = terms[order]
+        first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.empty(0, np.int64)
+        return terms[first], np.add.reduceat(counts[order], first) if len(terms) else counts
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,55 +145,126 @@ def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as postings by term and block, with the largest weight of each such list."""
+    """Unit vectors of examples, alike ones in blocks, under the terms that they have.
+
+    Pickled, it is a list of terms and weights by example. A process that searches makes of it the
+    postings of rare terms, the weights of the most common terms as a matrix, and the largest weight of each
+    of those terms in each block.
+    """
 
     def __init__(self, vectors: list[Vector], labels: list[int], n_terms: int):
         self.labels = np.array(labels, np.float64)
-        self.n_blocks = -(-max(len(vectors), 1) // BLOCK_ROWS)
+        self.n_terms, self.n_blocks = n_terms, -(-max(len(vectors), 1) // BLOCK_ROWS)
         pairs = [_arrays(v) for v in vectors]
-        none = [(np.empty(0, np.int32), np.empty(0))]
-        rows = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(t) for t, _ in pairs])
-        terms, weights = (np.concatenate([p[i] for p in pairs or none]) for i in (0, 1))
-        order = np.lexsort((rows, terms))
-        rows = rows[order]
-        # Ten bytes a posting or so, as every executor gets a copy: a row is its place in its block,
-        # and weights have 24 bits.
-        self.rows, self.weights = (rows % BLOCK_ROWS).astype(np.uint8), weights[order].astype(np.float32)
-        lists = terms[order].astype(np.int64) * self.n_blocks + rows // BLOCK_ROWS
-        first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.empty(0, np.int64)
-        self.starts = np.r_[first, len(lists)].astype(np.uint32)
-        self.blocks = (lists[first] % self.n_blocks).astype(np.uint16)
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
-        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1)).astype(np.uint32)
+        sizes = np.array([len(t) for t, _ in pairs], np.int64)
+        frequency = np.zeros(n_terms, np.int64)
+        for terms, _ in pairs:
+            frequency[terms] += 1
+        # The most common terms first; fewer than BLOCK_ROWS examples of a term are postings.
+        common = np.argsort(-frequency, kind="stable")[:COMMON_TERMS]
+        common = common[frequency[common] >= BLOCK_ROWS]
+        self.n_common = len(common)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        # The row of each place: blocks hold examples of one cluster after the other.
+        self.row = np.argsort(_clusters(pairs, self.column), kind="stable")
+        order = [pairs[i] for i in self.row]
+        self.starts = np.r_[0, np.cumsum(sizes[self.row])]
+        # Weights have 24 bits, as every executor gets a copy.
+        self.terms, self.weights = np.empty(self.starts[-1], np.int32), np.empty(self.starts[-1], np.float32)
+        for (terms, weights), a, b in zip(order, self.starts, self.starts[1:], strict=False):
+            by = np.argsort(terms, kind="stable")
+            self.terms[a:b], self.weights[a:b] = terms[by], weights[by]
+        self.lists = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": None}
+
+    def _lists(self) -> tuple[np.ndarray, ...]:
+        """Starts, places and weights of the postings of rare terms; weights of common terms; their maxima by block."""
+        if self.lists is None:
+            place = np.repeat(np.arange(len(self.row), dtype=np.int32), np.diff(self.starts))
+            column = self.column[self.terms]
+            at = np.flatnonzero(column < 0)
+            at = at[np.argsort(self.terms[at], kind="stable")]
+            starts = np.searchsorted(self.terms[at], np.arange(self.n_terms + 1))
+            rare = starts, place[at], self.weights[at]
+            dense = np.zeros((self.n_blocks * BLOCK_ROWS, self.n_common), np.float32)
+            at = np.flatnonzero(column >= 0)
+            dense[place[at], column[at]] = self.weights[at]
+            self.lists = *rare, dense, dense.reshape(self.n_blocks, BLOCK_ROWS, self.n_common).max(axis=1)
+        return self.lists
 
     def nearest(self, vector: Vector, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest examples of positive cosine, all weights exact.
+        """(rows, cosines) of the k nearest examples of positive cosine, all weights exact."""
+        return self.nearest_of([vector], k)[0]
 
-        Blocks are scored by falling upper bound; the search ends when the bound of the next block
-        is no higher than the k-th cosine found. Equal cosines stay in the order of the examples.
+    def nearest_of(self, vectors: list[Vector], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of some vectors, as ``nearest`` has them.
+
+        Postings of rare terms are added up for all examples. With the largest weights of common terms they
+        bound what a block can hold: those of the highest bounds are scored first, of the others those whose
+        bound reaches the k-th cosine found. These scores have 24 bits: all that may be among the k nearest, by the
+        error they can have, are added up again in double precision. Equal cosines stay in the order of the examples.
         """
-        terms, weights = _arrays(vector)
-        a, b = self.of_term[terms].astype(np.int64), self.of_term[terms + 1].astype(np.int64)
-        lists, weights = _ranges(a, b), np.repeat(weights, b - a)
-        bounds = np.bincount(self.blocks[lists], weights * self.most[lists], self.n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        rank = np.empty(self.n_blocks, np.int64)
-        rank[order] = np.arange(self.n_blocks)
-        blocks = self.blocks[lists].astype(np.int64)
-        rank = rank[blocks]
-        rows, found, start, step = np.empty(0, np.int64), np.empty(0), 0, FIRST_BLOCKS
-        while start < self.n_blocks and not (len(found) == k and bounds[order[start]] <= found[-1] + 1e-12):
-            met = (rank >= start) & (rank < start + step)
-            a, b = self.starts[lists[met]].astype(np.int64), self.starts[lists[met] + 1].astype(np.int64)
+        starts, places, weights, dense, most = self._lists()
+        pairs = [_arrays(v) for v in vectors]
+        slack = np.float32((self.n_common + 64) * 2.0**-23)
+        asked = np.zeros((len(pairs), self.n_common), np.float32)
+        rare = np.zeros((len(pairs), len(dense)), np.float32)
+        for i, (terms, found) in enumerate(pairs):
+            column = self.column[terms]
+            asked[i, column[column >= 0]] = found[column >= 0]
+            terms, found = terms[column < 0], found[column < 0]
+            a, b = starts[terms], starts[terms + 1]
             at = _ranges(a, b)
-            whole = self.rows[at] + np.repeat(blocks[met] * BLOCK_ROWS, b - a)
-            scores = np.bincount(whole, self.weights[at] * np.repeat(weights[met], b - a))
-            new = np.flatnonzero(scores > 0)
-            rows, found = np.concatenate([rows, new]), np.concatenate([found, scores[new]])
-            best = np.lexsort((rows, -found))[:k]
-            rows, found = rows[best], found[best]
-            start, step = start + step, 2 * step
-        return rows, found
+            part = weights.take(at, mode="clip") * np.repeat(found.astype(np.float32), b - a)
+            rare[i] = np.bincount(places.take(at, mode="clip"), part, len(dense))
+        bounds = asked @ most.T + rare.reshape(len(pairs), self.n_blocks, BLOCK_ROWS).max(axis=2) + slack
+        scores = np.full(rare.shape, -1, np.float32)
+        # What the k-th cosine is at least, by the blocks of the highest bounds.
+        least = np.zeros(len(pairs), np.float32)
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        for wanted in (first, ~first):
+            wanted &= bounds >= least[:, None]
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                some, part = np.flatnonzero(wanted[:, block]), slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+                scores[some, part] = rare[some, part] + asked[some] @ dense[part].T
+            if len(dense) > k:
+                least = np.maximum(np.partition(scores, -k, axis=1)[:, -k] - slack, 0)
+        out, asked_of, none = [], np.zeros(self.n_terms), [np.empty(0, np.int32)]
+        for (terms, found), score, bound in zip(pairs, scores, least, strict=True):
+            near = np.flatnonzero((score > 0) & (score >= bound - slack))
+            a, b = self.starts[near], self.starts[near + 1]
+            lists = [slice(*edges) for edges in zip(a.tolist(), b.tolist(), strict=True)]
+            asked_of[terms] = found
+            part = asked_of.take(np.concatenate([self.terms[x] for x in lists] or none), mode="clip")
+            part *= np.concatenate([self.weights[x] for x in lists] or none)
+            exact = np.bincount(np.repeat(np.arange(len(near)), b - a), part, len(near))
+            asked_of[terms] = 0
+            rows = self.row[near]
+            best = np.lexsort((rows, -exact))[:k]
+            out.append((rows[best], exact[best]))
+        return out
+
+
+def _clusters(pairs: list[tuple[np.ndarray, np.ndarray]], column: np.ndarray) -> np.ndarray:
+    """A cluster for each vector by its most common terms, after some rounds of spherical k-means."""
+    points = np.zeros((len(pairs), min(len(column), CLUSTER_TERMS)), np.float32)
+    for i, (terms, weights) in enumerate(pairs):
+        at = column[terms]
+        seen = (at >= 0) & (at < CLUSTER_TERMS)
+        points[i, at[seen]] = weights[seen]
+    centres = points[:: -(-max(len(pairs), 1) // CLUSTERS)]
+    own = np.zeros(len(pairs), np.int64)
+    for _ in range(CLUSTER_ROUNDS if len(pairs) else 0):
+        own = np.argmax(points @ centres.T, axis=1)
+        member = np.zeros((len(centres), len(pairs)), np.float32)
+        member[own, np.arange(len(pairs))] = 1
+        centres = member @ points
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return own
 
 
 def _unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +307,7 @@ def score_toxicity(
         known = KnownTerms(place)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[known.of(text)[0]] += 1
+                seen[known.distinct(text)] += 1
                 n += 1
         seen[-1] = n
         at = np.flatnonzero(seen)
@@ -235,26 +338,37 @@ def score_toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids, votes, weight = model.value
         known = KnownTerms(words.value)
-        seen: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
-        for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(2).to_pylist():
+        seen: dict[bytes, tuple[float, list[int]]] = {}
+
+        def vote(near: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
+            weights = cosines * votes[near]
+            liked = (weights * index.labels[near]).sum()
+            return float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT)), ids[near].tolist()
+
+        def results(texts: list[str]) -> list[tuple[float, list[int]]]:
+            keys, new = [], {}
+            for text in texts:
                 found, counts = known.of(text)
-                key = found.tobytes(), counts.tobytes()
-                if key not in seen:
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
+                keys.append(hashlib.blake2b(found.tobytes() + counts.tobytes(), digest_size=16).digest())
+                if keys[-1] not in seen and keys[-1] not in new:
                     vector = _unit(found, counts, weight)
                     if len(vector[0]):
-                        near, cosines = index.nearest(vector)
-                        weights = cosines * votes[near]
-                        liked = (weights * index.labels[near]).sum()
-                        score = float((liked + PRIOR_WEIGHT * prior) / (weights.sum() + PRIOR_WEIGHT))
-                        seen[key] = score, ids[near].tolist()
+                        new[keys[-1]] = vector
                     else:
-                        seen[key] = prior, []
-                scores.append(seen[key][0])
-                evidence.append(seen[key][1])
+                        seen[keys[-1]] = prior, []
+            for key, near in zip(new, index.nearest_of(list(new.values())) if new else [], strict=True):
+                seen[key] = vote(*near)
+            out = [seen[key] for key in keys]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            return out
+
+        for batch in batches:
+            texts, scores, evidence = batch.column(2), [], []
+            for start in range(0, len(texts), TOGETHER):
+                for score, near in results(texts.slice(start, TOGETHER).to_pylist()):
+                    scores.append(score)
+                    evidence.append(near)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(scores, pa.float64()),

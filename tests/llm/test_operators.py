@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pickle
 import random
 import re
 import zlib
@@ -549,3 +550,31 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 def test_word_pairs_of_all_documents_are_counted(spark):
     texts = spark.range(40_000).selectExpr("id as doc_id", "'one two' as text")
     assert line_dedup.pair_counts(texts).sum() == 40_000
+
+
+def test_texts_are_searched_for_together_and_exactly(monkeypatch):
+    """Clusters, common and rare terms, many vectors at once: the rows and cosines of all products."""
+    monkeypatch.setattr(toxicity, "COMMON_TERMS", 30)
+    rnd = np.random.RandomState(3)
+    dense = np.zeros((2000, 300))
+    for i, row in enumerate(dense):
+        start = 100 * (i % 3)
+        row[start + rnd.choice(100, 12, False, np.arange(100, 0, -1) / 5050)] = 0.1 + rnd.rand(12)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    dense = dense.astype(np.float32).astype(np.float64)
+    dense[1500] = dense[3]
+    vectors = [(np.flatnonzero(r).astype(np.int32), r[r > 0]) for r in dense]
+    index = pickle.loads(pickle.dumps(toxicity.BlockMaxIndex(vectors, [0] * 2000, 300)))
+    assert index.n_common == 30
+    for asked, (rows, cosines) in zip(range(0, 2000, 5), index.nearest_of(vectors[::5], 15), strict=True):
+        want = dense @ dense[asked]
+        order = np.lexsort((np.arange(2000), -want.round(12)))[:15]
+        assert rows.tolist() == order.tolist() and np.allclose(cosines, want[order], atol=1e-12)
+
+
+def test_word_terms_survive_forgetting(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED_WORDS", 3)
+    known = toxicity.KnownTerms({t: i for i, t in enumerate([b"able", b"able*", b"bab", b"table", b"tabl*"])})
+    for text, want in [("able table tables", {0: 1, 1: 1, 3: 1, 4: 2}), ("", {}), ("bab Bab x ables", {1: 1, 2: 2}), ("zz", {}), ("tabling", {4: 1})]:
+        terms, counts = known.of(text)
+        assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == want and known.distinct(text).tolist() == sorted(want)
