@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import drop_staged, scratch, stage
 from .common import fresh
-from .linking import link, tiles
+from .linking import link_shared, shared_buckets, tiles
 from .near_dedup import TILE_ROWS, WordHashes, _mix
 from .toxicity import FOLD
 
@@ -215,16 +215,22 @@ def drop_lists(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     counts = documents.sparkSession.sparkContext.broadcast(pair_counts(texts))
-    lines = stage(texts.mapInArrow(_lines(counts), LINES), "lines")
+    spark = documents.sparkSession
     place = F.struct("doc_id", "line")
-    classes = stage(
-        lines.where("node is not null").groupBy("node").agg(
+    # Keys are most of these tables, so each goes as soon as the next one has what is needed of it.
+    named = stage(texts.mapInArrow(_lines(counts), LINES), "named-lines")
+    keyed = stage(
+        named.where("node is not null").groupBy("node").agg(
             F.min(place).alias("at"), *(F.first(c).alias(c) for c in ("words", "sim", "sim_b", "keys"))
         ),
-        "line-classes",
+        "line-keys",
     )
+    lines = stage(named.select("doc_id", "n_lines", "line", "node"), "lines")
+    drop_staged(named)
     # Counted and joined back by bucket from one shuffle of two numbers a row.
-    buckets = classes.select(F.explode("keys").alias("bucket"), "node").repartition("bucket")
+    shared = shared_buckets(keyed.select(F.explode("keys").alias("bucket"), "node").repartition("bucket"))
+    classes = stage(keyed.drop("keys"), "line-classes")
+    drop_staged(keyed)
     sims = classes.select("node", "words", "sim", "sim_b")
     left, right = (sims.toDF(x, f"words_{x}", f"sim_{x}", f"low_{x}") for x in "ab")
     close = (
@@ -232,7 +238,7 @@ def drop_lists(documents: DataFrame) -> DataFrame:
         f" <= 2 * (greatest(words_a, words_b) * {100 - LEAST} div 100) - abs(words_a - words_b)"
     )
 
-    def line_texts(nodes: DataFrame) -> DataFrame:
+    def line_texts(nodes: DataFrame, keep) -> DataFrame:
         wanted = stage(
             classes.join(nodes, "node").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("wanted")),
             "wanted-lines",
@@ -240,26 +246,32 @@ def drop_lists(documents: DataFrame) -> DataFrame:
         # One first occurrence of each wanted line, cut out where its text is read.
         found = texts.join(wanted, "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
         found = found.where("w.line < size(parts)").select("w.node", F.col("parts")[F.col("w.line")].alias("text"))
-        return stage(found.groupBy("node").agg(F.min("text").alias("text")), "line-texts")
+        found = keep(found.groupBy("node").agg(F.min("text").alias("text")), "line-texts")
+        drop_staged(wanted)
+        return found
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
-        near = stage(near, "close-lines")
-        found = line_texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        both = near.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+        with scratch(spark, "line-pairs") as keep:
+            near = keep(near, "close-lines")
+            found = line_texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), keep)
+            both = near.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+            both = both.select("a", "b", "text_a", "text_b")
+            return stage(both.mapInArrow(_verify, "a long, b long"), "line-links")
 
     def across(rows: DataFrame) -> DataFrame:
         nodes = rows.select("node", "c").distinct()
-        lines_of = nodes.join(sims, "node").join(line_texts(nodes.select("node")), "node")
-        met = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS).join(lines_of, "node")
-        return met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct()
+        with scratch(spark, "line-tiles") as keep:
+            lines_of = nodes.join(sims, "node").join(line_texts(nodes.select("node"), keep), "node")
+            met = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS).join(lines_of, "node")
+            return stage(met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct(), "line-links")
 
     group = F.coalesce("component", F.col("node"))
-    found = stage(link(buckets, confirm, across), "line-components").withColumnRenamed("node", "linked")
+    found = stage(link_shared(shared, confirm, across), "line-components").withColumnRenamed("node", "linked")
     grouped = classes.join(found, F.col("node") == F.col("linked"), "left").select("node", "at", group.alias("group"))
     first = grouped.groupBy("group").agg(F.min("at").alias("first"))
     kept = stage(grouped.join(first, "group").select(F.col("node").alias("kept_node"), "first"), "kept-lines")
+    drop_staged(classes, found)
     marked = lines.join(kept, F.col("node") == F.col("kept_node"), "left")
     goes = F.when(F.col("line").isNotNull() & (place != F.col("first")), F.col("line"))
     return marked.groupBy("doc_id").agg(

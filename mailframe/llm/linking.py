@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import drop_staged, stage
 
 Confirm = Callable[[DataFrame], DataFrame]
 Across = Callable[[DataFrame], DataFrame]
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.withColumnRenamed("low", "b")).where("a <> b")
-        edges = stage(small.distinct(), "links")
+        done, edges = edges, stage(small.distinct(), "links")
+        drop_staged(done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -48,6 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, weight), staged: rows of buckets of several rows, a node's weight being the sizes of its buckets."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = stage(buckets.join(sizes, "bucket"), "shared-buckets")
+    weight = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    shared = stage(sized.select("bucket", "node").join(weight, "node"), "shared-buckets")
+    drop_staged(sized)
+    return shared
+
+
 def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     """(node, component) of all nodes with a link; ``buckets`` has (bucket, node), both long.
 
@@ -57,14 +68,17 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     never gathered: a bucket is known by its size, its centre and its smallest and largest component,
     aggregates that are combined before the shuffle, and joined back to its rows.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(buckets.join(sizes, "bucket"), "shared-buckets")
-    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    shared = stage(shared.select("bucket", "node").join(weight, "node"), "shared-buckets")
+    return link_shared(shared_buckets(buckets), confirm, across)
+
+
+def link_shared(shared: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
+    """``link`` from the table of ``shared_buckets``, which is removed; so is every step's table once it has been read."""
     centre = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("centre")
     hubs = shared.groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.node")).alias("hub"))
     first = shared.join(hubs, "bucket").where("node <> hub")
-    links = stage(confirm(stage(_pairs(first, "node", "hub"), "tested-pairs")), "links")
+    tested = stage(_pairs(first, "node", "hub"), "tested-pairs")
+    links = stage(confirm(tested), "links")
+    drop_staged(tested)
     found = stage(components(links), "components")
     placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
         "c", F.coalesce("c", "node")
@@ -74,7 +88,10 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
         F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")
     ).where("low < high and size > 2")
     left = stage(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c"), "mixed-buckets")
-    return components(links.unionByName(stage(across(left), "links")))
+    drop_staged(shared, found)
+    more = stage(across(left), "links")
+    drop_staged(left)
+    return components(links.unionByName(more))
 
 
 def families(rows: DataFrame) -> DataFrame:

@@ -82,6 +82,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return _write(df, work_dir(df.sparkSession, name))
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove what ``stage`` wrote for these tables; nothing may read them any more."""
+    for table in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            system, where = _location(table.sparkSession, folder)
+            system.delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A function like ``stage`` whose tables are removed at the end of the block.

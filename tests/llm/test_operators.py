@@ -578,3 +578,15 @@ def test_word_terms_survive_forgetting(monkeypatch):
     for text, want in [("able table tables", {0: 1, 1: 1, 3: 1, 4: 2}), ("", {}), ("bab Bab x ables", {1: 1, 2: 2}), ("zz", {}), ("tabling", {4: 1})]:
         terms, counts = known.of(text)
         assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == want and known.distinct(text).tolist() == sorted(want)
+
+
+def test_tables_of_line_keys_do_not_stay(spark):
+    """Of 60 lines with words of their own, and of 4 alike, no table with keys, texts or pairs is left behind."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(shared))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"v{j}" for j in range(29)) + f" end{i}") for i in range(4)]
+    got = {r.doc_id: r.dropped for r in line_dedup.drop_lists(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i > 100 else [] for i, _ in rows}
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
+    assert "lines" in left and left <= {"lines", "kept-lines", "links", "line-links", "components"}
