@@ -1,15 +1,17 @@
 """Fuzzy dedup of lines across documents.
 
 Lines are normalised to their words; equal ones are one class. An edit of one word touches two word
-pairs at most, so similar lines have one of their rarest word pairs in common, if each names a few more
+pairs at most, so similar lines have some of their rarest word pairs in common, if each names a few more
 than the edits allowed can touch; by these candidates meet, and no similar pair is missed. Candidates
 are verified by their word edit similarity, and of each connected group of lines the first occurrence
 stays.
+
+Word pairs are many more than lines, so they are dealt out and met as packed records, thousands to a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_staged, scratch, stage
-from .common import fresh
-from .linking import link_shared, shared_buckets, tiles
+from .common import blocks, fresh
+from .linking import link_pairs, shared_buckets, tiles
 from .near_dedup import TILE_ROWS, WordHashes, _mix
 from .toxicity import FOLD
 
@@ -27,10 +29,35 @@ from .toxicity import FOLD
 DIFFERENT = 64
 # Linked lines need this many of 100 words of the longer one in common order.
 LEAST = 80
-# Slots of the counts of word pairs. Counts only order the pairs.
-SLOTS = 1 << 18
-LINES = "doc_id long, n_lines int, line int, node long, words int, sim long, sim_b long, keys array<long>"
-_FIRST, _SECOND, _TIMES = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+# Slots of the counts of words and of word pairs, a power of 2. Counts only order the pairs.
+SLOTS = 1 << 20
+# Slots of a row of counts.
+CHUNK = 1 << 14
+# Characters that are cut into words together.
+LETTERS = 1 << 19
+# Word pairs are dealt into so many parts by the low bits of their hash, a power of 2; PACKED of them are sent together.
+PARTS, PACKED = 1 << 10, 1 << 18
+# Pairs of lines are dealt into so many parts, and MET of them sent together.
+PAIR_PARTS, MET = 1 << 8, 1 << 20
+# Bytes of named word pairs that are looked at together, unless one part has more.
+GATHERED = 1 << 21
+# Of a bucket of more lines than WHOLE, or with more than CROWD close pairs a line, its rows go on instead of its pairs.
+WHOLE, CROWD = 1 << 10, 16
+# Candidates of buckets that are made at a time, unless one bucket has more.
+SLICE = 1 << 20
+SCANNED = "doc_id long, n_lines int, line int, node long, chunk int, low binary, high binary"
+# A word pair that a line names: its hash without the bits of the part; in how many buckets the line must meet
+# another, its size, its class and the parities of its words. Sizes beyond LONG are LONG.
+NAMED = np.dtype([("key", "<u4"), ("need", "u1"), ("size", "<u2"), ("node", "<i8"), ("sim", "<u4")])
+LONG = 0xFFFF
+# Two lines, in how many buckets they met (255 standing for more) and in how many they must.
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("met", "u1"), ("need", "u1")])
+# Parities of a line where many lines are compared, in numbers of 64 bits.
+LANES = 16
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KEY_BITS, _RANK_BITS = 40, 8
+_BYTES = np.random.RandomState(7).randint(1, 2**63, 256).astype(np.uint64)
+_BASE = 0x9FB21C651E98DF25
 
 
 def line_words(line: str) -> list[bytes]:
@@ -38,11 +65,75 @@ def line_words(line: str) -> list[bytes]:
     return line.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+class Lines:
+    """The lines with words of texts, in order: ``text`` and ``line`` say where each is, ``nodes`` what it is.
+
+    ``flat`` has a hash for every word, ``sizes`` the number of words of each line; ``totals`` counts all lines
+    of each text. Words are hashed by differences of running sums, for all texts at once.
+    """
+
+    powers = np.ones((2, 1), np.uint64)
+
+    def __init__(self, texts: list[str]):
+        raw = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
+        joined = b"\n%s\n" % b"\n".join(raw)
+        folded = joined.translate(FOLD)
+        letters = np.frombuffer(folded, np.uint8)
+        gap = letters == 32
+        # Words begin and end in turn, as there is a gap at both ends.
+        change = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        starts, ends = change[::2], change[1::2]
+        powers, inverse = self._powers(len(letters))
+        sums = np.cumsum(_BYTES[letters] * powers)
+        self.flat = _mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        sizes = np.diff(np.searchsorted(starts, breaks))
+        at = np.flatnonzero(sizes)
+        self.sizes = sizes[at]
+        self.totals = np.array([text.count(b"\n") + 1 for text in raw], np.int64)
+        begin = np.cumsum(self.totals) - self.totals
+        self.text = np.repeat(np.arange(len(raw)), self.totals)[at]
+        self.line = at - begin[self.text]
+        # All words with one space behind each: a line's words are a piece of it.
+        kept = ~gap
+        kept[1:] |= kept[:-1]
+        normal = memoryview(letters[kept].tobytes())
+        behind = np.cumsum(ends - starts + 1)
+        last = np.cumsum(self.sizes) - 1
+        edges = zip(np.append(0, behind[last][:-1]).tolist(), (behind[last] - 1).tolist(), strict=False)
+        found = np.fromiter((xxhash.xxh3_64_intdigest(normal[i:j]) for i, j in edges), np.uint64, len(at))
+        self.nodes = (found - np.uint64(1 << 63)).view(np.int64)
+
+    @classmethod
+    def _powers(cls, n: int) -> np.ndarray:
+        """Powers of an odd number and of its inverse, as they are modulo 2 ** 64."""
+        if n > cls.powers.shape[1]:
+            steps = np.empty((2, max(n, 2 * LETTERS)), np.uint64)
+            steps[:, 0], steps[0, 1:], steps[1, 1:] = 1, _BASE, pow(_BASE, -1, 1 << 64)
+            cls.powers = np.cumprod(steps, axis=1)
+        return cls.powers[:, :n]
+
+
+def word_pairs(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of neighbours within lines, and the places of their first words."""
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    first = np.flatnonzero(inside)
+    return _mix(flat[first] * _FIRST + flat[first + 1] * _SECOND), first
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
 def _flat(lines: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words of each line."""
     return np.fromiter((hashes[w] for words in lines for w in words), np.uint64), np.array([len(words) for words in lines])
 
 
+DESCRIBED = "node long, c long, text string, words int, sims binary"
+
+
 def sim_hashes(lines: list[list[bytes]], hashes: WordHashes, lane: int = 0) -> np.ndarray:
     """64 parities of word counts, for lines of at least one word; a word counts in one of two lanes.
 
@@ -54,7 +145,7 @@ def sim_hashes(lines: list[list[bytes]], hashes: WordHashes, lane: int = 0) -> n
 
 
 def n_keys(sizes: np.ndarray) -> np.ndarray:
-    """Pairs of rank that a line of so many words must name; lines of under 4 words only link with equal ones.
+    """Pairs of rank that a line of so many words must name to meet once; lines of under 4 words only link with equal ones.
 
     With k edits, lines of m and m + d words share at least m + d - 1 - 2k of their pairs in number, so the
     shorter, of m - 1 pairs, shares one of its first 2k - d + 1 in any common order. k is at most
@@ -68,81 +159,277 @@ def n_keys(sizes: np.ndarray) -> np.ndarray:
     return np.where((sizes + 1) * (100 - LEAST) >= 100, np.minimum(most, sizes - 1), 0)
 
 
-def line_keys(lines: list[list[bytes]], hashes: WordHashes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signed keys of all lines in order, and the edges between lines: each line's rarest word pairs by ``counts``."""
-    flat, sizes = _flat(lines, hashes)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    inside = line[:-1] == line[1:]
-    pairs, line = _mix(flat[:-1] * _FIRST + flat[1:] * _SECOND)[inside], line[:-1][inside]
-    order = np.lexsort((pairs, line))
-    pairs, place = pairs[order], np.arange(len(pairs))
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])
-    # A pair that a line has again is another one.
-    again = place - np.maximum.accumulate(np.where(new, place, 0))
-    keys = _mix(pairs + again.astype(np.uint64) * _TIMES)
-    order = np.lexsort((keys, counts[(pairs % np.uint64(SLOTS)).astype(np.int64)], line))
-    rank = place - np.searchsorted(line, line)
-    taken = rank < n_keys(sizes)[line]
-    return keys[order][taken].view(np.int64), np.searchsorted(line[taken], np.arange(len(lines) + 1))
+def more(sizes: np.ndarray) -> np.ndarray:
+    """Pairs that lines name beyond n_keys(), so that those that only have a passage in common do not meet often enough."""
+    return np.minimum(sizes // 24 + 1, 200)
+
+
+class Order:
+    """Ranks of word pairs by counts of words and pairs in all texts, the rarest first.
+
+    Pairs are taken for as frequent as their words make likely, and for more frequent if their own slot is
+    clearly above the usual one, which many rare pairs share.
+    """
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray):
+        usual = float(np.median(pairs))
+        above = np.maximum(pairs - usual - 3 * usual**0.5, 2.0**-30)
+        self.pairs = np.clip(4 * (np.log2(above) + 40), 0, 255).astype(np.uint8)
+        # Eighths of a power of 2, so that two of them are quarters after halving.
+        self.words = np.clip(8 * np.log2(np.maximum(words, 1)), 0, 255).astype(np.uint8)
+        self.base = int(4 * (40 - np.log2(max(1, words.sum()))))
+
+    def ranks(self, flat: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        words = self.words[_slots(flat)].astype(np.int64)
+        likely = (words[first] + words[first + 1]) // 2 + self.base
+        return np.maximum(np.clip(likely, 0, 255), self.pairs[_slots(pairs)]).astype(np.uint64)
+
+
+def line_keys(flat: np.ndarray, sizes: np.ndarray, order: Order) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each line's rarest word pairs, more() than it must name: hashes, their lines, and how often these must meet.
+
+    A pair counts once in a line: of its distinct ones no more are missing elsewhere than of all. So a line that
+    has some pairs more than it must name shares one and as many more, and if both name these, two similar
+    lines meet as often as the one of them must that must less.
+    """
+    for lines in range(0, len(sizes), 1 << 16):
+        some = sizes[lines : lines + (1 << 16)]
+        begin = sizes[:lines].sum()
+        words = flat[begin : begin + some.sum()]
+        pairs, first = word_pairs(words, some)
+        line = np.repeat(np.arange(len(some), dtype=np.uint64), some)[first]
+        named = (line << np.uint64(_KEY_BITS + _RANK_BITS)) | (order.ranks(words, pairs, first) << np.uint64(_KEY_BITS))
+        named |= pairs & np.uint64((1 << _KEY_BITS) - 1)
+        named.sort()
+        named = named[np.append(True, named[1:] != named[:-1])[: len(named)]]
+        line = (named >> np.uint64(_KEY_BITS + _RANK_BITS)).astype(np.int64)
+        edges = np.searchsorted(line, np.arange(len(some) + 1))
+        least = n_keys(some)
+        taken = np.arange(len(line)) - edges[line] < (least + more(some))[line]
+        need = np.clip(np.diff(edges) - least, 0, more(some)) + 1
+        yield named[taken] & np.uint64((1 << _KEY_BITS) - 1), line[taken] + lines, need[line[taken]]
+
+
+def _counted(counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCANNED with counts: a byte for each of CHUNK slots, and what bytes cannot hold as pairs of a slot and the rest."""
+    chunks, lows, highs = [], [], []
+    for chunk, some in enumerate(counts.reshape(-1, CHUNK)):
+        if some.any():
+            low = np.minimum(some, 255)
+            at = np.flatnonzero(some > low)
+            chunks.append(chunk)
+            lows.append(low.astype(np.uint8).tobytes())
+            highs.append(np.stack([at, (some - low)[at]]).astype("<i8").tobytes())
+    none = [pa.nulls(len(chunks), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+    return _rows(SCANNED, *none, pa.array(chunks, pa.int32()), pa.array(lows, pa.binary()), pa.array(highs, pa.binary()))
+
+
+def _rows(schema: str, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=[column.split()[0] for column in schema.split(", ")])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per line with words, one with line null for every document, and counts of words and of word pairs."""
+    words, pairs = np.zeros((2, SLOTS), np.int64)
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for some in blocks(texts, LETTERS):
+            found, own = Lines(texts[some]), ids[some]
+            np.add.at(words, _slots(found.flat), 1)
+            np.add.at(pairs, _slots(word_pairs(found.flat, found.sizes)[0]), 1)
+            empty = [pa.nulls(len(own) + len(found.text), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+            no_line = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64())
+            yield _rows(
+                SCANNED,
+                pa.array(np.concatenate([own, own[found.text]]), pa.int64()),
+                pa.array(np.concatenate([found.totals, found.totals[found.text]]), pa.int32()),
+                pa.concat_arrays([no_line[0], pa.array(found.line, pa.int32())]),
+                pa.concat_arrays([no_line[1], pa.array(found.nodes, pa.int64())]),
+                *empty,
+            )
+    yield _counted(np.concatenate([words, pairs]))
+
+
+def _sum_counts(key: tuple, rows: pa.Table) -> pa.Table:
+    total = np.zeros(CHUNK, np.int64)
+    for low, high in zip(rows["low"].to_pylist(), rows["high"].to_pylist(), strict=True):
+        total += np.frombuffer(low, np.uint8)
+        at, rest = np.frombuffer(high, "<i8").reshape(2, -1)
+        total[at] += rest
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _counts(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often words and word pairs of each slot are in all texts, from rows of SCANNED."""
+    chunks = scanned.where("chunk is not null").select("chunk", "low", "high")
+    counts = np.zeros(2 * SLOTS, np.int64)
+    for chunk, n in chunks.groupBy("chunk").applyInArrow(_sum_counts, "chunk int, n binary").collect():
+        counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(n, "<i8")
+    return counts[:SLOTS], counts[SLOTS:]
 
 
 def pair_counts(texts: DataFrame) -> np.ndarray:
     """How often word pairs of each slot are in the documents, all of them; any counts give the same links."""
+    return _counts(texts.select("doc_id", "text").mapInArrow(_scan, SCANNED))[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                flat = np.fromiter((hashes[w] for w in line_words(text.replace("\n", " "))), np.uint64)
-                slots = (_mix(flat[:-1] * _FIRST + flat[1:] * _SECOND) % np.uint64(SLOTS)).astype(np.int64)
-                np.add.at(counts, slots, 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
 
-    found = texts.select("text").mapInArrow(run, "slot long, n long")
-    rows = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+def _name(order):
+    """Packed rows of NAMED for every part: the word pairs that lines name, lines that a task has again left out."""
 
-
-def _lines(counts):
-    """A row per line with words, and one with line null for every document."""
+    def packed(parts: list[np.ndarray], named: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part, rows = np.concatenate(parts), np.concatenate(named)
+        data = rows[np.argsort(part, kind="stable")].tobytes()
+        edges = np.append(0, np.cumsum(np.bincount(part, minlength=PARTS))) * NAMED.itemsize
+        full = np.flatnonzero(np.diff(edges))
+        blobs = [data[edges[i] : edges[i + 1]] for i in full.tolist()]
+        yield _rows("part int, named binary", pa.array(full, pa.int32()), pa.array(blobs, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        parts, rows, waiting, seen = [], [], 0, set()
         for batch in batches:
-            ids, totals, numbers, nodes, sizes, sims, keys = [], [], [], [], [], ([], []), []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.split("\n")
-                worded = [(i, words) for i, line in enumerate(raw) if (words := line_words(line))]
-                lines = [w for _, w in worded]
-                ids.extend([doc_id] * (len(worded) + 1))
-                totals.extend([len(raw)] * (len(worded) + 1))
-                numbers.extend([None, *(i for i, _ in worded)])
-                nodes.extend([None, *(xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for w in lines)])
-                sizes.extend([None, *map(len, lines)])
-                keys.append(None)
-                for lane, column in enumerate(sims):
-                    column.append(None)
-                    if lines:
-                        column.extend(sim_hashes(lines, hashes, lane).tolist())
-                if lines:
-                    found, edges = line_keys(lines, hashes, counts.value)
-                    keys.extend(found[a:b] for a, b in zip(edges, edges[1:], strict=False))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(totals, pa.int32()), pa.array(numbers, pa.int32()),
-                    pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(s, pa.int64()) for s in sims),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_lines", "line", "node", "words", "sim", "sim_b", "keys"],
-            )
+            texts = batch.column(0).to_pylist()
+            for some in blocks(texts, LETTERS):
+                found = Lines(texts[some])
+                if len(seen) > 300_000:
+                    seen.clear()
+                # Adding tells what is new: a set grows.
+                fresh_line = np.fromiter((len(seen) < (seen.add(x) or len(seen)) for x in found.nodes.tolist()), bool, len(found.nodes))
+                fresh_line &= n_keys(found.sizes) > 0
+                sizes, flat = found.sizes[fresh_line], found.flat[np.repeat(fresh_line, found.sizes)]
+                if not len(sizes):
+                    continue
+                sims = np.bitwise_xor.reduceat(np.uint32(1) << (flat & np.uint64(31)).astype(np.uint32), np.cumsum(sizes) - sizes)
+                nodes, short = found.nodes[fresh_line], np.minimum(sizes, LONG)
+                for keys, line, need in line_keys(flat, sizes, order.value):
+                    named = np.empty(len(keys), NAMED)
+                    named["key"], named["need"], named["size"] = keys // np.uint64(PARTS), need, short[line]
+                    named["node"], named["sim"] = nodes[line], sims[line]
+                    parts.append((keys % np.uint64(PARTS)).astype(np.uint16))
+                    rows.append(named)
+                    waiting += len(named)
+                if waiting >= PACKED:
+                    yield from packed(parts, rows)
+                    parts, rows, waiting = [], [], 0
+        if waiting:
+            yield from packed(parts, rows)
 
     return run
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], kind: np.dtype, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(part, record) of whole parts, several parts together up to ``least`` bytes; rows come in order of parts."""
+    parts, blobs, size = [], [], 0
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if size >= least and part != parts[-1]:
+                yield np.repeat(parts, [len(x) // kind.itemsize for x in blobs]), np.frombuffer(b"".join(blobs), kind)
+                parts, blobs, size = [], [], 0
+            parts.append(part)
+            blobs.append(blob)
+            size += len(blob)
+    if blobs:
+        yield np.repeat(parts, [len(x) // kind.itemsize for x in blobs]), np.frombuffer(b"".join(blobs), kind)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _close(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of rows of one bucket whose sizes and parities allow a link; rows of a bucket go up in size."""
+    sizes, node, sim = rows["size"].astype(np.int64), rows["node"], rows["sim"]
+    after = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(rows)) - 1
+    x = np.repeat(np.arange(len(rows)), after)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+    longer, apart = sizes[y], sizes[y] - sizes[x]
+    near = (apart <= longer * (100 - LEAST) // 100) & (np.bitwise_count(sim[x] ^ sim[y]) <= parted(longer, apart))
+    near |= longer == LONG
+    near &= node[x] != node[y]
+    return x[near], y[near]
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray, met: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """PAIR rows, each pair once, by ``a`` and ``b``."""
+    order = np.lexsort((b, a))
+    a, b, met, need = a[order], b[order], met[order], need[order]
+    first = np.flatnonzero(_changes(a, b))
+    out = np.empty(len(first), PAIR)
+    out["a"], out["b"], out["need"] = a[first], b[first], need[first]
+    out["met"] = np.minimum(np.add.reduceat(met, first, dtype=np.int64), 255) if len(first) else 0
+    return out
+
+
+MET_ROWS = "part int, pairs binary, bucket long, node long"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs of lines that name the same word pair, and rows (bucket, node) of buckets that hold too many."""
+
+    def packed(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        found = _pair_rows(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        part = found["a"] % PAIR_PARTS
+        order = np.argsort(part, kind="stable")
+        data = found[order].tobytes()
+        edges = np.append(0, np.cumsum(np.bincount(part, minlength=PAIR_PARTS))) * PAIR.itemsize
+        full = np.flatnonzero(np.diff(edges))
+        none = pa.nulls(len(full), pa.int64())
+        blobs = [data[edges[i] : edges[i + 1]] for i in full.tolist()]
+        yield _rows(MET_ROWS, pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), none, none)
+
+    pairs, waiting = [], 0
+    for part, rows in _gathered(batches, NAMED, GATHERED):
+        key = part.astype(np.uint64) << np.uint64(_KEY_BITS)
+        key |= rows["key"]
+        order = np.argsort(key)
+        again = ~_changes(key[order])
+        order = order[again | np.append(again[1:], False)]
+        key, rows = key[order], rows[order]
+        order = np.lexsort((rows["node"], rows["size"], key))
+        key, rows = key[order], rows[order]
+        own = _changes(key, rows["node"])
+        key, rows = key[own], rows[own]
+        edges = np.append(np.flatnonzero(_changes(key)), len(key)) if len(key) else np.zeros(1, np.int64)
+        sizes = np.diff(edges)
+        crowded = sizes > WHOLE
+        work = np.where(crowded, 0, sizes * sizes)
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(work) // SLICE)) + 1):
+            some = some[~crowded[some]]
+            if not len(some):
+                continue
+            bucket = np.repeat(np.arange(len(some)), sizes[some])
+            at = np.repeat(edges[some], sizes[some]) + np.arange(len(bucket)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+            held = rows[at]
+            x, y = _close(held, np.append(0, np.cumsum(sizes[some])))
+            over = np.bincount(bucket[x], minlength=len(some)) > CROWD * sizes[some]
+            crowded[some[over]] = True
+            x, y = x[~over[bucket[x]]], y[~over[bucket[x]]]
+            a, b = np.minimum(held["node"][x], held["node"][y]), np.maximum(held["node"][x], held["node"][y])
+            pairs.append((a, b, np.ones(len(x), np.uint8), np.minimum(held["need"][x], held["need"][y])))
+            waiting += len(x)
+            if waiting >= MET:
+                yield from packed(pairs)
+                pairs, waiting = [], 0
+        many = np.repeat(crowded, sizes)
+        if many.any():
+            none = pa.nulls(int(many.sum()), pa.int32()), pa.nulls(int(many.sum()), pa.binary())
+            yield _rows(MET_ROWS, *none, pa.array(key[many].astype(np.int64)), pa.array(rows["node"][many]))
+    if waiting:
+        yield from packed(pairs)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that met as often as they must, each once."""
+    for _, rows in _gathered(batches, PAIR, GATHERED):
+        found = _pair_rows(rows["a"], rows["b"], rows["met"], rows["need"])
+        found = found[found["met"] >= found["need"]]
+        yield _rows("a long, b long", pa.array(found["a"], pa.int64()), pa.array(found["b"], pa.int64()))
+
+
 def within_edits(x: list[bytes], y: list[bytes], most: int) -> bool:
     """Whether at most ``most`` words are inserted, deleted or replaced; work grows with ``most``, not with length squared."""
     if abs(len(x) - len(y)) > most:
@@ -171,8 +458,12 @@ def within_edits(x: list[bytes], y: list[bytes], most: int) -> bool:
 
 def similar(x: str, y: str) -> bool:
     a, b = line_words(x), line_words(y)
-    longer = max(len(a), len(b))
-    return within_edits(a, b, longer * (100 - LEAST) // 100)
+    most = max(len(a), len(b)) * (100 - LEAST) // 100
+    of_a, of_b = set(a), set(b)
+    # Every word that the other line does not have at all is an edit.
+    if sum(w not in of_b for w in a) > most or sum(w not in of_a for w in b) > most:
+        return False
+    return within_edits(a, b, most)
 
 
 def parted(longer, apart):
@@ -186,21 +477,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of words and LANES times 64 parities to lines (node, c, text)."""
+    hashes = WordHashes()
+    for batch in batches:
+        lines = [line_words(text) or [b""] for text in batch.column(2).to_pylist()]
+        flat, sizes = _flat(lines, hashes)
+        sims = np.zeros((len(lines), LANES), np.uint64)
+        at = np.repeat(np.arange(len(lines)), sizes), ((flat >> np.uint64(6)) % np.uint64(LANES)).astype(np.int64)
+        np.bitwise_xor.at(sims, at, np.uint64(1) << (flat & np.uint64(63)))
+        packed = pa.array([x.tobytes() for x in sims], pa.binary())
+        yield _rows(DESCRIBED, *batch.columns, pa.array(sizes, pa.int32()), packed)
+
+
 def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links between components of two tiles of a bucket, each component pair once."""
+    """Links that join components of two tiles of a bucket as far as there are any."""
     nodes, parts, names, sizes = (rows[c].to_numpy() for c in ("node", "part", "c", "words"))
     bits = np.zeros((len(nodes), len(nodes)), np.int64)
-    for sims in (rows[c].to_numpy() for c in ("sim", "sim_b")):
-        bits += np.bitwise_count((sims[:, None] ^ sims[None, :]).view(np.uint64))
+    for sims in np.frombuffer(b"".join(rows["sims"].to_pylist()), np.uint64).reshape(-1, LANES).T:
+        bits += np.bitwise_count(sims[:, None] ^ sims[None, :])
     near = bits <= parted(np.maximum(sizes[:, None], sizes[None, :]), np.abs(sizes[:, None] - sizes[None, :]))
     near &= names[:, None] < names[None, :]
     if key[1] != key[2]:
         near &= parts[:, None] != parts[None, :]
-    texts, found = rows["text"], {}
-    for x, y in zip(*np.nonzero(near), strict=True):
-        if (pair := (names[x], names[y])) not in found and similar(texts[x].as_py(), texts[y].as_py()):
-            found[pair] = sorted((int(nodes[x]), int(nodes[y])))
-    low, high = zip(*found.values(), strict=True) if found else ((), ())
+    texts, found, root = rows["text"].to_pylist(), [], {}
+
+    def top(name: int) -> int:
+        while (above := root.get(name, name)) != name:
+            root[name] = name = root.get(above, above)
+        return name
+
+    for x, y in zip(*(place.tolist() for place in np.nonzero(near)), strict=True):
+        # What earlier links have joined needs no other one.
+        if (one := top(int(names[x]))) != (other := top(int(names[y]))) and similar(texts[x], texts[y]):
+            root[one] = other
+            found.append(sorted((int(nodes[x]), int(nodes[y]))))
+    low, high = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
 
@@ -214,69 +526,55 @@ def drop_lists(documents: DataFrame) -> DataFrame:
     texts = documents.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    counts = documents.sparkSession.sparkContext.broadcast(pair_counts(texts))
     spark = documents.sparkSession
     place = F.struct("doc_id", "line")
-    # Keys are most of these tables, so each goes as soon as the next one has what is needed of it.
-    named = stage(texts.mapInArrow(_lines(counts), LINES), "named-lines")
-    keyed = stage(
-        named.where("node is not null").groupBy("node").agg(
-            F.min(place).alias("at"), *(F.first(c).alias(c) for c in ("words", "sim", "sim_b", "keys"))
-        ),
-        "line-keys",
-    )
-    lines = stage(named.select("doc_id", "n_lines", "line", "node"), "lines")
-    drop_staged(named)
-    # Counted and joined back by bucket from one shuffle of two numbers a row.
-    shared = shared_buckets(keyed.select(F.explode("keys").alias("bucket"), "node").repartition("bucket"))
-    classes = stage(keyed.drop("keys"), "line-classes")
-    drop_staged(keyed)
-    sims = classes.select("node", "words", "sim", "sim_b")
-    left, right = (sims.toDF(x, f"words_{x}", f"sim_{x}", f"low_{x}") for x in "ab")
-    close = (
-        "bit_count(sim_a ^ sim_b) + bit_count(low_a ^ low_b)"
-        f" <= 2 * (greatest(words_a, words_b) * {100 - LEAST} div 100) - abs(words_a - words_b)"
-    )
+    scanned = stage(texts.mapInArrow(_scan, SCANNED), "lines")
+    order = spark.sparkContext.broadcast(Order(*_counts(scanned)))
+    named = texts.select("text").mapInArrow(_name(order), "part int, named binary")
+    met = stage(named.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, MET_ROWS), "met-lines")
+    packed = met.where("part is not null").select("part", "pairs")
+    pairs = stage(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_distinct, "a long, b long"), "line-pairs")
+    shared = shared_buckets(met.where("bucket is not null").select("bucket", "node"))
+    drop_staged(met)
+    lines = scanned.where("line is not null").select("doc_id", "line", "node")
+    classes = stage(lines.groupBy("node").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")), "line-classes")
 
     def line_texts(nodes: DataFrame, keep) -> DataFrame:
-        wanted = stage(
+        wanted = keep(
             classes.join(nodes, "node").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("wanted")),
             "wanted-lines",
         )
         # One first occurrence of each wanted line, cut out where its text is read.
         found = texts.join(wanted, "doc_id").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
         found = found.where("w.line < size(parts)").select("w.node", F.col("parts")[F.col("w.line")].alias("text"))
-        found = keep(found.groupBy("node").agg(F.min("text").alias("text")), "line-texts")
-        drop_staged(wanted)
-        return found
+        return keep(found.groupBy("node").agg(F.min("text").alias("text")), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
-        with scratch(spark, "line-pairs") as keep:
-            near = keep(near, "close-lines")
-            found = line_texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), keep)
-            both = near.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
-            both = both.select("a", "b", "text_a", "text_b")
-            return stage(both.mapInArrow(_verify, "a long, b long"), "line-links")
+        both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "line-links")
 
     def across(rows: DataFrame) -> DataFrame:
         nodes = rows.select("node", "c").distinct()
-        with scratch(spark, "line-tiles") as keep:
-            lines_of = nodes.join(sims, "node").join(line_texts(nodes.select("node"), keep), "node")
-            met = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS).join(lines_of, "node")
-            return stage(met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct(), "line-links")
-
-    group = F.coalesce("component", F.col("node"))
-    found = stage(link_shared(shared, confirm, across), "line-components").withColumnRenamed("node", "linked")
-    grouped = classes.join(found, F.col("node") == F.col("linked"), "left").select("node", "at", group.alias("group"))
-    first = grouped.groupBy("group").agg(F.min("at").alias("first"))
-    kept = stage(grouped.join(first, "group").select(F.col("node").alias("kept_node"), "first"), "kept-lines")
-    drop_staged(classes, found)
-    marked = lines.join(kept, F.col("node") == F.col("kept_node"), "left")
-    goes = F.when(F.col("line").isNotNull() & (place != F.col("first")), F.col("line"))
-    return marked.groupBy("doc_id").agg(
-        F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set(goes)).alias("dropped")
+        lines_of = nodes.join(found, "node").select("node", "c", "text").mapInArrow(_describe, DESCRIBED)
+        met = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS).join(lines_of, "node")
+        return stage(met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct(), "line-links")
+
+    with scratch(spark, "line-texts") as keep:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
+        found = line_texts(nodes, keep)
+        linked = stage(link_pairs(pairs, shared, confirm, across), "line-components")
+    # Only lines of several places or links can have an earlier one.
+    grouped = classes.join(linked, "node").select("node", "at", "component")
+    first = grouped.groupBy("component").agg(F.min("at").alias("first"))
+    alone = classes.where("n > 1").join(linked, "node", "left_anti").select("node", F.col("at").alias("first"))
+    kept = stage(grouped.join(first, "component").select("node", "first").unionByName(alone), "kept-lines")
+    drop_staged(classes, linked)
+    goes = lines.join(kept, "node").where(place != F.col("first")).groupBy(F.col("doc_id").alias("cut_id")).agg(
+        F.array_sort(F.collect_set("line")).alias("dropped")
     )
+    totals = scanned.where("doc_id is not null and line is null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
+    dropped = F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
+    return totals.join(goes, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "n_lines", dropped)
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:

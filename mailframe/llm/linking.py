@@ -73,25 +73,59 @@ def link(buckets: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
 
 def link_shared(shared: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
     """``link`` from the table of ``shared_buckets``, which is removed; so is every step's table once it has been read."""
-    centre = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("centre")
-    hubs = shared.groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.node")).alias("hub"))
-    first = shared.join(hubs, "bucket").where("node <> hub")
-    tested = stage(_pairs(first, "node", "hub"), "tested-pairs")
+    tested = stage(_stars(shared), "tested-pairs")
     links = stage(confirm(tested), "links")
     drop_staged(tested)
     found = stage(components(links), "components")
+    left = stage(_mixed(shared, found), "mixed-buckets")
+    drop_staged(shared, found)
+    more = stage(across(left), "links")
+    drop_staged(left)
+    return components(links.unionByName(more))
+
+
+def link_pairs(pairs: DataFrame, shared: DataFrame, confirm: Confirm, across: Across) -> DataFrame:
+    """``link`` from candidates that are known as distinct pairs (a, b), a < b, and buckets that hold too many as ``shared``.
+
+    Of the pairs, each item is tested first against the one of its partners that has most; the others
+    only where they join two components. Both tables are removed, as every step's once it has been read.
+    """
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("b"), "degree")
+    best = F.max(F.struct("degree", (-F.col("b")).alias("b"))).alias("best")
+    hubs = ends.join(degrees, "b").groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("hub"))
+    tested = stage(_pairs(hubs, "a", "hub").unionByName(_stars(shared)).distinct(), "tested-pairs")
+    links = stage(confirm(tested), "links")
+    found = stage(components(links), "components")
+    of_a, of_b = (found.toDF(x, f"c_{x}") for x in "ab")
+    rest = pairs.join(tested, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+    rest = stage(rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b"), "untested-pairs")
+    drop_staged(tested, pairs)
+    more = stage(confirm(rest), "links")
+    drop_staged(rest)
+    left = stage(_mixed(shared, found), "mixed-buckets")
+    drop_staged(shared, found)
+    links = links.unionByName(more).unionByName(stage(across(left), "links"))
+    drop_staged(left)
+    return components(links)
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Distinct pairs of each node and the most central one of each of its buckets."""
+    centre = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("centre")
+    hubs = shared.groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.node")).alias("hub"))
+    return _pairs(shared.join(hubs, "bucket").where("node <> hub"), "node", "hub")
+
+
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, c) of buckets of more than one component; of two items, the one pair has been tested."""
     placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn(
         "c", F.coalesce("c", "node")
     )
-    # Only buckets of more than one component go on; of two items, the one pair has been tested.
     mixed = placed.groupBy("bucket").agg(
         F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")
     ).where("low < high and size > 2")
-    left = stage(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c"), "mixed-buckets")
-    drop_staged(shared, found)
-    more = stage(across(left), "links")
-    drop_staged(left)
-    return components(links.unionByName(more))
+    return placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c")
 
 
 def families(rows: DataFrame) -> DataFrame:
