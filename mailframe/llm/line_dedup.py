@@ -11,6 +11,7 @@ Word pairs are many more than lines, so they are dealt out and met as packed rec
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_staged, scratch, stage
 from .common import blocks, fresh
-from .linking import link_pairs, shared_buckets, tiles
+from .linking import link_pairs, shared_buckets, tiles_across
 from .near_dedup import TILE_ROWS, WordHashes, _mix
 from .toxicity import FOLD
 
@@ -32,7 +33,7 @@ LEAST = 80
 # Slots of the counts of words and of word pairs, a power of 2. Counts only order the pairs.
 SLOTS = 1 << 20
 # Slots of a row of counts.
-CHUNK = 1 << 14
+SLOT_ROWS = 1 << 14
 # Characters that are cut into words together.
 LETTERS = 1 << 19
 # Word pairs are dealt into so many parts by the low bits of their hash, a power of 2; PACKED of them are sent together.
@@ -42,8 +43,8 @@ PAIR_PARTS, MET = 1 << 8, 1 << 20
 # Bytes of named word pairs that are looked at together, unless one part has more.
 GATHERED = 1 << 21
 # Of a bucket of more lines than WHOLE, or with more than CROWD close pairs a line, its rows go on instead of its pairs.
-WHOLE, CROWD = 1 << 10, 16
-# Candidates of buckets that are made at a time, unless one bucket has more.
+WHOLE, CROWD = 1 << 14, 16
+# Pairs of lines that are looked at together.
 SLICE = 1 << 20
 SCANNED = "doc_id long, n_lines int, line int, node long, chunk int, low binary, high binary"
 # A word pair that a line names: its hash without the bits of the part; in how many buckets the line must meet
@@ -54,6 +55,8 @@ LONG = 0xFFFF
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("met", "u1"), ("need", "u1")])
 # Parities of a line where many lines are compared, in numbers of 64 bits.
 LANES = 16
+# Slots of words whose numbers are compared beside them.
+COUNTS = 256
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KEY_BITS, _RANK_BITS = 40, 8
 _BYTES = np.random.RandomState(7).randint(1, 2**63, 256).astype(np.uint64)
@@ -131,7 +134,7 @@ def _flat(lines: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.
     return np.fromiter((hashes[w] for words in lines for w in words), np.uint64), np.array([len(words) for words in lines])
 
 
-DESCRIBED = "node long, c long, text string, words int, sims binary"
+DESCRIBED = "node long, c long, text string, words int, sims binary, counts binary"
 
 
 def sim_hashes(lines: list[list[bytes]], hashes: WordHashes, lane: int = 0) -> np.ndarray:
@@ -211,9 +214,9 @@ def line_keys(flat: np.ndarray, sizes: np.ndarray, order: Order) -> Iterator[tup
 
 
 def _counted(counts: np.ndarray) -> pa.RecordBatch:
-    """Rows of SCANNED with counts: a byte for each of CHUNK slots, and what bytes cannot hold as pairs of a slot and the rest."""
+    """Rows of SCANNED with counts: a byte for each of SLOT_ROWS slots, and what bytes cannot hold as pairs of a slot and the rest."""
     chunks, lows, highs = [], [], []
-    for chunk, some in enumerate(counts.reshape(-1, CHUNK)):
+    for chunk, some in enumerate(counts.reshape(-1, SLOT_ROWS)):
         if some.any():
             low = np.minimum(some, 255)
             at = np.flatnonzero(some > low)
@@ -251,7 +254,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_counts(key: tuple, rows: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
+    total = np.zeros(SLOT_ROWS, np.int64)
     for low, high in zip(rows["low"].to_pylist(), rows["high"].to_pylist(), strict=True):
         total += np.frombuffer(low, np.uint8)
         at, rest = np.frombuffer(high, "<i8").reshape(2, -1)
@@ -264,7 +267,7 @@ def _counts(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     chunks = scanned.where("chunk is not null").select("chunk", "low", "high")
     counts = np.zeros(2 * SLOTS, np.int64)
     for chunk, n in chunks.groupBy("chunk").applyInArrow(_sum_counts, "chunk int, n binary").collect():
-        counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(n, "<i8")
+        counts[chunk * SLOT_ROWS : (chunk + 1) * SLOT_ROWS] = np.frombuffer(n, "<i8")
     return counts[:SLOTS], counts[SLOTS:]
 
 
@@ -340,17 +343,28 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _close(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of rows of one bucket whose sizes and parities allow a link; rows of a bucket go up in size."""
+def _close(rows: np.ndarray, edges: np.ndarray, crowded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of rows of one bucket whose sizes and parities allow a link; rows of a bucket go up in size.
+
+    Marks buckets as ``crowded`` once they have more than CROWD such pairs a row; their pairs count for nothing.
+    """
     sizes, node, sim = rows["size"].astype(np.int64), rows["node"], rows["sim"]
-    after = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(rows)) - 1
-    x = np.repeat(np.arange(len(rows)), after)
-    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
-    longer, apart = sizes[y], sizes[y] - sizes[x]
-    near = (apart <= longer * (100 - LEAST) // 100) & (np.bitwise_count(sim[x] ^ sim[y]) <= parted(longer, apart))
-    near |= longer == LONG
-    near &= node[x] != node[y]
-    return x[near], y[near]
+    members = np.diff(edges)
+    bucket, found = np.repeat(np.arange(len(members)), members), np.zeros(len(members), np.int64)
+    behind = np.repeat(edges[1:], members) - np.arange(len(rows)) - 1
+    behind[crowded[bucket]] = 0
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(behind) // SLICE)) + 1):
+        after = np.where(crowded[bucket[at]], 0, behind[at])
+        x = np.repeat(at, after)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+        longer, apart = sizes[y], sizes[y] - sizes[x]
+        near = (apart <= longer * (100 - LEAST) // 100) & (np.bitwise_count(sim[x] ^ sim[y]) <= parted(longer, apart))
+        near |= longer == LONG
+        x, y = x[near], y[near]
+        found += np.bincount(bucket[x], minlength=len(members))
+        crowded |= found > CROWD * members
+        left = ~crowded[bucket[x]]
+        yield x[left], y[left]
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray, met: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -396,24 +410,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.append(np.flatnonzero(_changes(key)), len(key)) if len(key) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
         crowded = sizes > WHOLE
-        work = np.where(crowded, 0, sizes * sizes)
-        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(work) // SLICE)) + 1):
-            some = some[~crowded[some]]
-            if not len(some):
-                continue
-            bucket = np.repeat(np.arange(len(some)), sizes[some])
-            at = np.repeat(edges[some], sizes[some]) + np.arange(len(bucket)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
-            held = rows[at]
-            x, y = _close(held, np.append(0, np.cumsum(sizes[some])))
-            over = np.bincount(bucket[x], minlength=len(some)) > CROWD * sizes[some]
-            crowded[some[over]] = True
-            x, y = x[~over[bucket[x]]], y[~over[bucket[x]]]
-            a, b = np.minimum(held["node"][x], held["node"][y]), np.maximum(held["node"][x], held["node"][y])
-            pairs.append((a, b, np.ones(len(x), np.uint8), np.minimum(held["need"][x], held["need"][y])))
-            waiting += len(x)
-            if waiting >= MET:
-                yield from packed(pairs)
-                pairs, waiting = [], 0
+        x, y = (np.concatenate(places) for places in zip(*_close(rows, edges, crowded), strict=True))
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        left = ~crowded[bucket[x]]
+        x, y = x[left], y[left]
+        a, b = rows["node"][x], rows["node"][y]
+        need = np.minimum(rows["need"][x], rows["need"][y])
+        pairs.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(x), np.uint8), need))
+        waiting += len(x)
+        if waiting >= MET:
+            yield from packed(pairs)
+            pairs, waiting = [], 0
         many = np.repeat(crowded, sizes)
         if many.any():
             none = pa.nulls(int(many.sum()), pa.int32()), pa.nulls(int(many.sum()), pa.binary())
@@ -431,29 +438,38 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def within_edits(x: list[bytes], y: list[bytes], most: int) -> bool:
-    """Whether at most ``most`` words are inserted, deleted or replaced; work grows with ``most``, not with length squared."""
+    """Whether at most ``most`` words are inserted, deleted or replaced; a step a word, once what is common at both ends is cut off."""
     if abs(len(x) - len(y)) > most:
         return False
-    goal = len(x) - len(y)
-
-    def slide(i: int, diagonal: int) -> int:
-        while i < len(x) and i - diagonal < len(y) and x[i] == y[i - diagonal]:
-            i += 1
-        return i
-
-    # The furthest place in x on each diagonal after e edits.
-    reach = {0: slide(0, 0)}
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= len(x):
-            return True
-        step = {}
-        for d in range(-edits - 1, edits + 2):
-            i = max(reach.get(d, -9) + 1, reach.get(d - 1, -9) + 1, reach.get(d + 1, -9))
-            i = min(i, len(x), len(y) + d)
-            if i >= max(0, d):
-                step[d] = slide(i, d)
-        reach = step
-    return False
+    start = 0
+    while start < len(x) and start < len(y) and x[start] == y[start]:
+        start += 1
+    x, y = x[start:], y[start:]
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    if not x or not y:
+        return max(len(x), len(y)) <= most
+    # All rows of a column of the table of distances at once, as bits that say where it goes up and down.
+    places: dict[bytes, int] = {}
+    for i, word in enumerate(x):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, edits, left = every, 0, len(x), len(y)
+    for word in y:
+        same = places.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (every & ~(across | up)), up & across
+        left -= 1
+        if rise & last:
+            edits += 1
+            if edits - left > most:
+                return False
+        elif fall & last:
+            edits -= 1
+        rise, fall = (rise << 1 | 1) & every, (fall << 1) & every
+        same |= down
+        up, down = fall | (every & ~(same | rise)), rise & same
+    return edits <= most
 
 
 def similar(x: str, y: str) -> bool:
@@ -463,6 +479,9 @@ def similar(x: str, y: str) -> bool:
     # Every word that the other line does not have at all is an edit.
     if sum(w not in of_b for w in a) > most or sum(w not in of_a for w in b) > most:
         return False
+    # So is every time that one has a word more often.
+    if len(of_a) + most < len(a) and max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) > most:
+        return False
     return within_edits(a, b, most)
 
 
@@ -478,7 +497,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number of words and LANES times 64 parities to lines (node, c, text)."""
+    """Adds the number of words, LANES times 64 parities and COUNTS counts of words to lines (node, c, text).
+
+    Counts beyond a byte are the same to all; where words come again and again, parities tell little.
+    """
     hashes = WordHashes()
     for batch in batches:
         lines = [line_words(text) or [b""] for text in batch.column(2).to_pylist()]
@@ -486,20 +508,27 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sims = np.zeros((len(lines), LANES), np.uint64)
         at = np.repeat(np.arange(len(lines)), sizes), ((flat >> np.uint64(6)) % np.uint64(LANES)).astype(np.int64)
         np.bitwise_xor.at(sims, at, np.uint64(1) << (flat & np.uint64(63)))
-        packed = pa.array([x.tobytes() for x in sims], pa.binary())
-        yield _rows(DESCRIBED, *batch.columns, pa.array(sizes, pa.int32()), packed)
+        counts = np.zeros((len(lines), COUNTS), np.int64)
+        np.add.at(counts, (at[0], (flat >> np.uint64(16)).astype(np.int64) % COUNTS), 1)
+        packed = (pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (sims, np.minimum(counts, 255).astype(np.uint8)))
+        yield _rows(DESCRIBED, *batch.columns, pa.array(sizes, pa.int32()), *packed)
 
 
 def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
     """Links that join components of two tiles of a bucket as far as there are any."""
     nodes, parts, names, sizes = (rows[c].to_numpy() for c in ("node", "part", "c", "words"))
-    bits = np.zeros((len(nodes), len(nodes)), np.int64)
+    bits = np.zeros((len(nodes), len(nodes)), np.uint16)
     for sims in np.frombuffer(b"".join(rows["sims"].to_pylist()), np.uint64).reshape(-1, LANES).T:
         bits += np.bitwise_count(sims[:, None] ^ sims[None, :])
     near = bits <= parted(np.maximum(sizes[:, None], sizes[None, :]), np.abs(sizes[:, None] - sizes[None, :]))
     near &= names[:, None] < names[None, :]
     if key[1] != key[2]:
         near &= parts[:, None] != parts[None, :]
+    x, y = np.nonzero(near)
+    counts, few = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16), []
+    for some in np.split(np.arange(len(x)), range(TILE_ROWS, len(x), TILE_ROWS)):
+        few.append(np.abs(counts[x[some]] - counts[y[some]]).sum(axis=1, dtype=np.int64))
+    few = np.concatenate(few) <= parted(np.maximum(sizes[x], sizes[y]), np.abs(sizes[x] - sizes[y]))
     texts, found, root = rows["text"].to_pylist(), [], {}
 
     def top(name: int) -> int:
@@ -507,7 +536,7 @@ def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
             root[name] = name = root.get(above, above)
         return name
 
-    for x, y in zip(*(place.tolist() for place in np.nonzero(near)), strict=True):
+    for x, y in zip(x[few].tolist(), y[few].tolist(), strict=True):
         # What earlier links have joined needs no other one.
         if (one := top(int(names[x]))) != (other := top(int(names[y]))) and similar(texts[x], texts[y]):
             root[one] = other
@@ -556,7 +585,7 @@ def drop_lists(documents: DataFrame) -> DataFrame:
     def across(rows: DataFrame) -> DataFrame:
         nodes = rows.select("node", "c").distinct()
         lines_of = nodes.join(found, "node").select("node", "c", "text").mapInArrow(_describe, DESCRIBED)
-        met = tiles(rows.select(F.col("bucket").alias("family"), "node"), TILE_ROWS).join(lines_of, "node")
+        met = tiles_across(rows.withColumnRenamed("bucket", "family"), TILE_ROWS).join(lines_of, "node")
         return stage(met.groupBy("family", "i", "j").applyInArrow(_tile_links, "a long, b long").distinct(), "line-links")
 
     with scratch(spark, "line-texts") as keep:

@@ -152,6 +152,26 @@ def tiles(nodes: DataFrame, size: int) -> DataFrame:
     )
 
 
+def tiles_across(rows: DataFrame, size: int) -> DataFrame:
+    """``tiles`` of (family, node, c) rows without the pairs of tiles that the largest component of a family fills.
+
+    Its nodes have tiles of their own, the last ones, and go to the pairs with tiles of other nodes only.
+    """
+    parts = rows.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("family").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("size")).select(
+        "family", F.col("most.c").alias("main"), F.ceil(F.col("most.n") / size).cast("int").alias("n_main"),
+        F.ceil((F.col("size") - F.col("most.n")) / size).cast("int").alias("n_rest"),
+    )
+    inside, spread = F.col("c") == F.col("main"), F.xxhash64("node")
+    part = F.when(inside, F.col("n_rest") + F.pmod(spread, F.col("n_main"))).otherwise(F.pmod(spread, F.col("n_rest")))
+    last = F.when(inside, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main")) - 1
+    dealt = rows.join(most, "family").where("n_rest > 0").withColumn("part", part.cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return other.select(
+        "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part"
+    )
+
+
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct (a, b), a < b, of two columns."""
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()

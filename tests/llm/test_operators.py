@@ -1,15 +1,19 @@
 """The operators against brute force, other libraries and held-out labels."""
 
 import hashlib
+import itertools
 import math
 import os
 import pickle
 import random
 import re
+import time
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mailframe.llm import (
@@ -590,3 +594,51 @@ def test_tables_of_line_keys_do_not_stay(spark):
     assert got == {i: [0] if i > 100 else [] for i, _ in rows}
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
     assert "lines" in left and left <= {"lines", "kept-lines", "links", "line-links", "components"}
+
+
+def test_crowded_lines_group_as_brute_force(spark):
+    """Edits of one line, similar to each other or not, some only by way of others: more close pairs than are listed."""
+    rnd = random.Random(12)
+    line = [f"w{i}" for i in range(40)]
+    lines = []
+    for i in range(120):
+        edited = list(line)
+        for at in rnd.sample(range(6, 40), 3 if i % 3 else 8):
+            edited[at] = f"e{i}x{at}"
+        lines.append(" ".join(edited))
+    lines += [" ".join([*line[:12], *(f"u{i}x{j}" for j in range(20))]) for i in range(60)]
+    group = groups_of(list(range(len(lines))), lambda x, y: line_dedup.similar(lines[x], lines[y]))
+    seen, want = set(), {}
+    for i, root in enumerate(group):
+        want[i] = [0] if root in seen else []
+        seen.add(root)
+    close = sum(line_dedup.similar(x, y) for x, y in itertools.combinations(lines[:120], 2))
+    assert close > line_dedup.CROWD * 120 and len(seen) > 60
+    got = {r.doc_id: r.dropped for r in line_dedup.drop_lists(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_word_pairs_are_packed():
+    """All that lines name is a row for each part at most; of 300 lines only the edited ones meet."""
+    lines = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(300)]
+    texts = [*lines, *(x.rsplit(" ", 2)[0] + " a b" for x in lines[:20])]
+    order = types.SimpleNamespace(value=line_dedup.Order(*np.ones((2, line_dedup.SLOTS), np.int64)))
+    rows = [pa.RecordBatch.from_arrays([pa.array(["\n".join(texts)])], names=["text"])]
+    named = pa.Table.from_batches(line_dedup._name(order)(iter(rows)))
+    assert named.num_rows <= line_dedup.PARTS
+    sizes = np.full(320, 30)
+    assert sum(map(len, named["named"].to_pylist())) == line_dedup.NAMED.itemsize * (line_dedup.n_keys(sizes) + line_dedup.more(sizes)).sum()
+    met = pa.Table.from_batches(line_dedup._meet(iter(named.sort_by("part").to_batches()))).sort_by("part").select(["part", "pairs"])
+    pairs = {(r["a"], r["b"]) for b in line_dedup._distinct(iter(met.to_batches())) for r in b.to_pylist()}
+    nodes = line_dedup.Lines(["\n".join(texts)]).nodes.tolist()
+    assert pairs == {tuple(sorted((nodes[i], nodes[300 + i]))) for i in range(20)}
+
+
+def test_long_lines_are_compared_in_little_time():
+    """20,000 words each, far from similar but for their words: 4,000 edits are not tried one by one."""
+    words = [f"w{i}" for i in range(20_000)]
+    other = [w for i in range(0, 20_000, 2) for w in (words[i + 1], words[i])]
+    began = time.process_time()
+    assert not line_dedup.within_edits(words, other, 4_000)
+    assert line_dedup.within_edits(words, [*words[:50], *words[53:], "end"], 4)
+    assert time.process_time() - began < 5
